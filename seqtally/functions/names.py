@@ -162,10 +162,12 @@ def clean_tissue(name: Column) -> Column:
 
 def localization_categories(terms: Column) -> Column:
     """Sorted distinct categories whose keywords occur in any of the array's terms."""
-    found = [
-        F.when(F.exists(terms, lambda t, p=_any_of(words): F.lower(t).rlike(p)), F.lit(category))
-        for category, words in LOCALIZATION_KEYWORDS.items()
-    ]
+
+    def any_term(words) -> Column:
+        pattern = _any_of(words)
+        return F.exists(terms, lambda t: F.lower(t).rlike(pattern))
+
+    found = [F.when(any_term(w), F.lit(c)) for c, w in LOCALIZATION_KEYWORDS.items()]
     return F.array_sort(F.array_compact(F.array(*found)))
 
 

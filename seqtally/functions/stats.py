@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
@@ -28,7 +29,7 @@ def fisher_p(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, p[p <= seen * (1 + 1e-7)].sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_pvalue(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_p(*map(int, t)) for t in zip(a, b, c, d)], dtype=float)
 
@@ -74,7 +75,7 @@ def mann_whitney_p(u1: float, n1: int, n2: int, ties: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mann_whitney_pvalue(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     out = []
     for x, a, b, t in zip(u, n1, n2, ties):

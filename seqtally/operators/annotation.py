@@ -12,7 +12,6 @@ from ..functions.names import ASPECT_NAMES, localization_categories, set_categor
 from ..scale import skew_join
 from .compare import gene_universe
 
-ONE = F.lit(1)
 
 # Thresholds of the expression sets.
 HIGH, MEDIUM, RATIO = 10.0, 1.0, 2.0
@@ -186,7 +185,7 @@ def annotation_summary(
     )
     per_gene = tagged.groupBy("fbgn").agg(F.collect_set("source").alias("s"))
     genes = per_gene.agg(
-        F.count(ONE).alias("total_genes"),
+        F.count("*").alias("total_genes"),
         *[
             F.count_if(F.array_contains("s", name)).alias(f"genes_with_{name}")
             for name in ("expression", "go", "localization")
@@ -280,7 +279,7 @@ def group_set_name(group: Column) -> Column:
 def group_sets(groups: DataFrame, min_genes: int = 10, max_genes: int = 2000) -> DataFrame:
     """Gene groups of moderate size as sets."""
     members = groups.select("group_name", "fbgn").distinct()
-    sized = members.groupBy("group_name").agg(F.count(ONE).alias("_n"))
+    sized = members.groupBy("group_name").agg(F.count("*").alias("_n"))
     kept = sized.where(F.col("_n").between(min_genes, max_genes)).select("group_name")
     return members.join(kept, "group_name", "left_semi").select(
         group_set_name(F.col("group_name")).alias("set_name"), "fbgn"
@@ -293,7 +292,7 @@ def set_summary(sets: DataFrame, min_genes: int = 10, max_genes: int = 5000) ->
         sets.select("set_name", "fbgn")
         .distinct()
         .groupBy("set_name")
-        .agg(F.count(ONE).alias("n_genes"))
+        .agg(F.count("*").alias("n_genes"))
         .where(F.col("n_genes").between(min_genes, max_genes))
         .withColumn("category", set_category(F.col("set_name")))
     )

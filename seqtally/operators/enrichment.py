@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions.names import set_category
-from ..scale import UNB, _range_parts, cumulative_counts, quantiles, with_row_number
-from .rollups import INF, ONE, pct, ratio_or_inf
+from ..scale import UNB, _range_parts, cumulative_counts, quantiles, stage, with_row_number
+from .rollups import INF, pct, ratio_or_inf
 
 
 def gene_hit_density(gene_hits: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def set_metrics(sets: DataFrame, gene_hits: DataFrame) -> DataFrame:
     )
     hits = F.coalesce(F.sum("total_hits"), F.lit(0))
     base = joined.groupBy("set_name").agg(
-        F.count(ONE).alias("n_genes"),
+        F.count("*").alias("n_genes"),
         F.count_if(F.col("total_hits") > 0).alias("n_with_hits"),
         hits.alias("total_hits"),
         F.coalesce(F.sum("total_utr_len"), F.lit(0)).alias("total_utr_len"),
@@ -56,9 +56,9 @@ def contingency(sets: DataFrame, universe: DataFrame, positives: DataFrame) -> D
     c and d come from the universe totals, so the complement is never built.
     """
     u = universe.select("fbgn").distinct()
-    pos = positives.select("fbgn").distinct().withColumn("_p", ONE)
+    pos = positives.select("fbgn").distinct().withColumn("_p", F.lit(1))
     flagged = u.join(pos, "fbgn", "left")
-    n = u.agg(F.count(ONE)).scalar()
+    n = u.agg(F.count("*")).scalar()
     p = flagged.agg(F.count("_p")).scalar()
     return (
         sets.join(flagged, "fbgn")
@@ -86,11 +86,11 @@ def mann_whitney(sets: DataFrame, values: DataFrame, value: str = "density_hits_
     vals = values.select("fbgn", F.col(value).alias("_v"))
     dist = cumulative_counts(vals, [], "_v")
     ties = dist.agg(F.sum(F.col("n").cast("double") * (F.col("n") * F.col("n") - 1))).scalar()
-    total = vals.agg(F.count(ONE)).scalar()
+    total = vals.agg(F.count("*")).scalar()
     placed = with_row_number(vals, F.asc("_v"), F.asc("fbgn"), name="_r").withColumn("_r", F.col("_r") - 1)
     ranks = dist.select("_v", (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
     members = sets.join(placed.join(ranks, "_v"), "fbgn").select("set_name", "_v", "_r", "_rank")
-    sums = members.groupBy("set_name").agg(F.count(ONE).alias("n_in"), F.sum("_rank").alias("_R"))
+    sums = members.groupBy("set_name").agg(F.count("*").alias("n_in"), F.sum("_rank").alias("_R"))
     n_in, n_out = F.col("n_in"), F.col("n_out")
     base = (
         sums.withColumn("n_out", total - n_in)
@@ -141,8 +141,8 @@ def bh_adjust(df: DataFrame, p: str, name: str = "q") -> DataFrame:
     Equal p-values share a q, so the step-up runs over distinct p-values in range slabs.
     """
     clean = df.withColumn("_p", F.coalesce(F.nanvl(F.col(p).cast("double"), F.lit(1.0)), F.lit(1.0)))
-    m = df.agg(F.count(ONE)).scalar()
-    counts = clean.groupBy("_p").agg(F.count(ONE).alias("_n"))
+    m = df.agg(F.count("*")).scalar()
+    counts = clean.groupBy("_p").agg(F.count("*").alias("_n"))
     parts = _range_parts(counts, F.col("_p"))
     slabs = parts.groupBy("_part").agg(F.sum("_n").alias("_slab"))
     along = Window.orderBy("_part")  # one row per slab
@@ -165,21 +165,26 @@ def bh_adjust(df: DataFrame, p: str, name: str = "q") -> DataFrame:
 
 
 def bonferroni(df: DataFrame, p: str, name: str = "q") -> DataFrame:
-    m = df.agg(F.count(ONE)).scalar()
+    m = df.agg(F.count("*")).scalar()
     return df.withColumn(name, F.least(F.col(p) * m, F.lit(1.0)))
 
 
 def usable_sets(sets: DataFrame, universe: DataFrame, min_genes: int = 5) -> DataFrame:
     """Distinct memberships inside the universe, of sets that keep enough genes."""
     kept = sets.select("set_name", "fbgn").distinct().join(universe.select("fbgn").distinct(), "fbgn", "left_semi")
-    big = kept.groupBy("set_name").agg(F.count(ONE).alias("_n")).where(F.col("_n") >= min_genes)
+    big = kept.groupBy("set_name").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_genes)
     return kept.join(big.select("set_name"), "set_name", "left_semi").select("set_name", "fbgn")
 
 
 def enrichment(sets: DataFrame, gene_hits: DataFrame, min_genes: int = 5) -> DataFrame:
-    """Metrics, both tests with q-values and the category of every usable set."""
+    """Metrics, both tests with q-values and the category of every usable set.
+
+    The gene table feeds every step and the per-set results feed both corrections, so each
+    is written once instead of being recomputed by every consumer.
+    """
+    gene_hits = stage(gene_hits, "gene-hits")
     universe = gene_hits.select("fbgn").unionByName(sets.select("fbgn")).distinct()
-    used = usable_sets(sets, universe, min_genes)
+    used = stage(usable_sets(sets, universe, min_genes), "sets")
     table = fisher_exact(contingency(used, universe, gene_hits.where(F.col("total_hits") > 0)))
     ranks = mann_whitney(used, gene_hit_density(gene_hits))
     out = (
@@ -188,13 +193,14 @@ def enrichment(sets: DataFrame, gene_hits: DataFrame, min_genes: int = 5) -> Dat
         .join(ranks.select("set_name", "u", "median_in", "median_out", "mw_p"), "set_name", "left")
         .withColumn("category", set_category(F.col("set_name")))
     )
+    out = stage(out, "set-tests")
     return bh_adjust(bh_adjust(out, "fisher_p", "fisher_q"), "mw_p", "mw_q")
 
 
 def enrichment_by_category(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     sig = F.col("fisher_q") < alpha
     return df.groupBy("category").agg(
-        F.count(ONE).alias("n_sets"),
+        F.count("*").alias("n_sets"),
         F.avg("mean_density").alias("mean_density"),
         F.count_if(sig & (F.col("odds_ratio") > 1)).alias("sig_enriched"),
         F.count_if(sig & (F.col("odds_ratio") < 1)).alias("sig_depleted"),
@@ -236,7 +242,7 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation with a verdict: positive above 0.1, negative below -0.1, else none."""
     r = F.col("r")
     verdict = F.when(r > 0.1, "positive").when(r < -0.1, "negative").otherwise("none")
-    return df.groupBy(*by).agg(F.count(ONE).alias("n"), F.corr(x, y).alias("r")).withColumn("verdict", verdict)
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).withColumn("verdict", verdict)
 
 
 def null_comparison(real: DataFrame, replicates: DataFrame, metrics: Sequence[str], ddof: int = 1) -> DataFrame:
@@ -282,7 +288,7 @@ def rank_gene_sets(sets: DataFrame, density: DataFrame, bias: DataFrame) -> Data
 
     Genes are numbered from the densest; percentile = 100 * (N - rank + 1) / N.
     """
-    total = density.agg(F.count(ONE)).scalar()
+    total = density.agg(F.count("*")).scalar()
     ranked = with_row_number(
         density.select("fbgn", "density_bp_kb"), F.desc("density_bp_kb"), F.asc("fbgn"), name="rank"
     ).withColumn("percentile", 100 * (total - F.col("rank") + 1) / total)
@@ -299,7 +305,7 @@ def rank_gene_sets(sets: DataFrame, density: DataFrame, bias: DataFrame) -> Data
         .join(bias.select("fbgn", "sense_pct"), "fbgn", "left")
         .groupBy("set_name")
         .agg(
-            F.count(ONE).alias("n_genes"),
+            F.count("*").alias("n_genes"),
             F.count("rank").alias("n_ranked"),
             F.avg("percentile").alias("mean_percentile"),
             F.avg("rank").alias("mean_rank"),
@@ -325,7 +331,7 @@ def gene_set_region_summary(sets: DataFrame, five: DataFrame, three: DataFrame)
         .join(side(three, "u3"), "fbgn", "left")
         .groupBy("set_name")
         .agg(
-            F.count(ONE).alias("n_genes"),
+            F.count("*").alias("n_genes"),
             F.count_if(any_hit).alias("genes_with_hits"),
             h5.alias("utr5_hits"),
             pct(s5, h5).alias("utr5_sense_pct"),

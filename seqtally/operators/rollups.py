@@ -16,7 +16,6 @@ from ..functions.names import gene_token, subject_token
 from .hits import number_rows
 
 INF = float("inf")
-ONE = F.lit(1)
 
 
 def pct(part: Column, whole: Column, default: float = 0.0) -> Column:
@@ -32,7 +31,7 @@ def ratio_or_inf(a: Column, b: Column) -> Column:
 
 def hits_per_transcript(hits: DataFrame) -> DataFrame:
     return hits.groupBy(F.col("qseqid").alias("fbtr")).agg(
-        F.count(ONE).alias("total_hits"),
+        F.count("*").alias("total_hits"),
         F.count_if(is_plus()).alias("sense_hits"),
         F.count_if(~is_plus()).alias("anti_hits"),
         F.sum("length").alias("hit_bp"),
@@ -47,7 +46,7 @@ def gene_density(hits: DataFrame, transcripts: DataFrame) -> DataFrame:
     per_tx = hits_per_transcript(hits).join(transcripts.select("fbtr", "fbgn", "tx_len"), "fbtr")
     total = F.sum("tx_len")
     return per_tx.groupBy("fbgn").agg(
-        F.count(ONE).alias("transcripts"),
+        F.count("*").alias("transcripts"),
         total.alias("total_len"),
         F.sum("total_hits").alias("hits"),
         F.sum("hit_bp").alias("hit_bp"),
@@ -59,7 +58,7 @@ def top_subjects_per_gene(hits: DataFrame, transcripts: DataFrame, n: int = 3) -
     """fbgn -> top_te_1..n as `id:count`, blank where a gene has fewer subjects."""
     counts = (
         hits.groupBy(F.col("qseqid").alias("fbtr"), "sseqid")
-        .agg(F.count(ONE).alias("c"))
+        .agg(F.count("*").alias("c"))
         .join(transcripts.select("fbtr", "fbgn"), "fbtr")
         .groupBy("fbgn", "sseqid")
         .agg(F.sum("c").alias("c"))
@@ -83,7 +82,7 @@ def top_bottom(density: DataFrame, n: int = 100) -> DataFrame:
     """
     order = [F.desc("density_bp_kb"), F.asc("fbgn")]
     back = [F.asc("density_bp_kb"), F.desc("fbgn")]
-    total = density.agg(F.count(ONE)).scalar()
+    total = density.agg(F.count("*")).scalar()
     top = number_rows(density.orderBy(*order).limit(n), *order).withColumn("side", F.lit("top"))
     low = (
         number_rows(density.orderBy(*back).limit(n), *back, name="_back")
@@ -116,7 +115,7 @@ def strand_bias_by_subject(hits: DataFrame, min_hits: int = 10) -> DataFrame:
     return (
         hits.groupBy(F.col("sseqid").alias("te_id"))
         .agg(
-            F.count(ONE).alias("total_hits"),
+            F.count("*").alias("total_hits"),
             F.count_if(is_plus()).alias("sense_hits"),
             F.count_if(~is_plus()).alias("anti_hits"),
             F.sum("length").alias("total_bp"),
@@ -137,13 +136,13 @@ def strand_overview(by_query: DataFrame, by_subject: DataFrame) -> DataFrame:
     q = by_query.agg(
         F.coalesce(F.sum("sense_hits"), F.lit(0)).alias("total_sense"),
         F.coalesce(F.sum("anti_hits"), F.lit(0)).alias("total_anti"),
-        F.count(ONE).alias("queries_analyzed"),
+        F.count("*").alias("queries_analyzed"),
         F.count_if(many & (F.col("sense_pct") >= 70)).alias("strong_sense_queries"),
         F.count_if(many & (F.col("anti_pct") >= 70)).alias("strong_anti_queries"),
     )
     s = by_subject.agg(
         F.struct(
-            F.count(ONE).alias("subjects_analyzed"),
+            F.count("*").alias("subjects_analyzed"),
             F.count_if(F.col("sense_pct") >= 60).alias("strong_sense_subjects"),
             F.count_if(F.col("anti_pct") >= 60).alias("strong_anti_subjects"),
         )
@@ -193,7 +192,7 @@ def family_stats(hits: DataFrame, subjects: DataFrame, by: Sequence[str] = ()) -
     """Per family: count, plus, minus, mean evalue and identity, plus/minus ratio, class."""
     by = list(by)
     per_subject = hits.groupBy(*by, "sseqid").agg(
-        F.count(ONE).alias("n"),
+        F.count("*").alias("n"),
         F.count_if(is_plus()).alias("p"),
         F.sum("evalue").alias("e"),
         F.sum("pident").alias("i"),
@@ -281,7 +280,7 @@ def control_overview(hits: DataFrame) -> DataFrame:
     return (
         hits.groupBy("dataset")
         .agg(
-            F.count(ONE).alias("total"),
+            F.count("*").alias("total"),
             F.count_if(is_plus()).alias("plus"),
             F.count_if(~is_plus()).alias("minus"),
         )
@@ -293,7 +292,7 @@ def region_stats(regions: DataFrame, min_length: int = 50) -> DataFrame:
     """Hits and bases per region over all families (family null) and per family."""
     kept = regions.where(F.col("length") >= min_length)
     per = kept.groupBy("family", "region").agg(
-        F.count(ONE).alias("hits"), F.sum("region_bp").alias("bp")
+        F.count("*").alias("hits"), F.sum("region_bp").alias("bp")
     )
     total = per.groupBy("region").agg(F.sum("hits").alias("hits"), F.sum("bp").alias("bp"))
     return per.unionByName(
@@ -339,7 +338,7 @@ def repeat_class_summary(overlaps: DataFrame) -> DataFrame:
     """Overlaps, bases, distinct transcripts and their share, per repeat class."""
     total = overlaps.agg(F.count_distinct("fbtr")).scalar()
     per = overlaps.groupBy("repeat_class").agg(
-        F.count(ONE).alias("overlaps"),
+        F.count("*").alias("overlaps"),
         F.sum("overlap_len").alias("bp"),
         F.count_distinct("fbtr").alias("transcripts"),
     )
@@ -380,7 +379,7 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, n: int) -> DataFr
         df.withColumn("bin", _bucket(F.col(value), lo, hi, n))
         .where(F.col("bin").isNotNull())
         .groupBy("bin")
-        .agg(F.count(ONE).alias("rows"))
+        .agg(F.count("*").alias("rows"))
     )
     total = F.sum("rows").over(Window.partitionBy(F.lit(0)))  # at most n rows
     return counts.withColumn("density", F.col("rows") / total / ((hi - lo) / n))
@@ -392,7 +391,7 @@ def histogram2d(df: DataFrame, x: str, y: str, x_spec: tuple, y_spec: tuple) ->
         df.select(_bucket(F.col(x), *x_spec).alias("x_bin"), _bucket(F.col(y), *y_spec).alias("y_bin"))
         .where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull())
         .groupBy("x_bin", "y_bin")
-        .agg(F.count(ONE).alias("rows"))
+        .agg(F.count("*").alias("rows"))
     )
 
 
@@ -414,9 +413,9 @@ def threshold_ladder(
     held = F.filter(spec, lambda s: (F.col("pident") >= s.p) & (F.col("length") >= s.n))
     long = df.select(F.explode(held).alias("t"), F.col(score).alias("v")).select("t.tier", "v")
     stats = long.groupBy("tier").agg(
-        F.count(ONE).alias("hits"),
+        F.count("*").alias("hits"),
         F.avg("v").alias("mean_score"),
-        (100 * F.count_if(F.col("v") >= 1) / F.count(ONE)).alias("pct_conserved"),
+        (100 * F.count_if(F.col("v") >= 1) / F.count("*")).alias("pct_conserved"),
     )
     return stats.where(F.col("hits") >= min_rows).join(
         upper_median(long, ["tier"], "v", "median_score"), "tier"
@@ -433,7 +432,7 @@ def conservation_categories(df: DataFrame, by: Sequence[str] = (), score: str =
         .when(s >= 0, "weakly_conserved")
         .otherwise("fast_evolving")
     )
-    per = df.groupBy(*by, cat.alias("category")).agg(F.count(ONE).alias("hits"))
+    per = df.groupBy(*by, cat.alias("category")).agg(F.count("*").alias("hits"))
     return per.withColumn(
         "pct", 100 * F.col("hits") / F.sum("hits").over(Window.partitionBy(*(by or [F.lit(0)])))
     )
@@ -443,7 +442,7 @@ def subject_means(df: DataFrame, n: int = 20, min_hits: int = 100, score: str =
     """Subjects with enough hits, highest mean score first."""
     return (
         df.groupBy("te_id")
-        .agg(F.count(ONE).alias("hits"), F.avg(score).alias("mean_score"))
+        .agg(F.count("*").alias("hits"), F.avg(score).alias("mean_score"))
         .where(F.col("hits") >= min_hits)
         .orderBy(F.desc("mean_score"), "te_id")
         .limit(n)
@@ -454,7 +453,7 @@ def synteny_thresholds(df: DataFrame, thresholds: Sequence[float] = (0.25, 0.5,
     """Hits per threshold for each species and for any: (threshold, track, hits, pct)."""
     tracks = ["sim_coverage", "yak_coverage", "ere_coverage", "any_coverage"]
     one = df.agg(
-        F.count(ONE).alias("_n"),
+        F.count("*").alias("_n"),
         *[
             F.count_if(F.col(t) >= th).alias(f"_{i}_{t}")
             for i, th in enumerate(thresholds)
@@ -479,7 +478,7 @@ def synteny_classes(df: DataFrame) -> DataFrame:
     any_ = F.col("any_coverage") >= 0.5
     all3 = F.least("sim_coverage", "yak_coverage", "ere_coverage") >= 0.5
     return df.agg(
-        F.count(ONE).alias("hits"),
+        F.count("*").alias("hits"),
         F.count_if(any_).alias("syntenic_any"),
         F.count_if(all3).alias("syntenic_all"),
         F.count_if(~any_).alias("syntenic_none"),
@@ -496,7 +495,7 @@ def synteny_by_band(df: DataFrame, value: str, bands: Sequence[tuple[float, floa
         df.withColumn("band", index)
         .where(F.col("band").isNotNull())
         .groupBy("band")
-        .agg(F.count(ONE).alias("hits"), F.count_if(F.col("any_coverage") >= 0.5).alias("syntenic"))
+        .agg(F.count("*").alias("hits"), F.count_if(F.col("any_coverage") >= 0.5).alias("syntenic"))
         .withColumn("syntenic_pct", pct(F.col("syntenic"), F.col("hits")))
     )
 
@@ -537,7 +536,7 @@ def spanning_share(segmented: DataFrame, by: str = "qseqid") -> DataFrame:
     """Per query: hits, hits crossing a segment border, their share."""
     return (
         segmented.groupBy(by)
-        .agg(F.count(ONE).alias("hits"), F.count_if("spanning").alias("spanning_hits"))
+        .agg(F.count("*").alias("hits"), F.count_if("spanning").alias("spanning_hits"))
         .withColumn("spanning_pct", pct(F.col("spanning_hits"), F.col("hits")))
     )
 
@@ -590,7 +589,7 @@ def bias_class_means(
     """
     unit = scores.groupBy(key).agg(
         F.avg("score").alias("mean_score"),
-        (100 * F.count_if(F.col("any_coverage") >= 0.5) / F.count(ONE)).alias("pct_syntenic"),
+        (100 * F.count_if(F.col("any_coverage") >= 0.5) / F.count("*")).alias("pct_syntenic"),
     )
     cls = F.when(F.col("sense_pct") >= hi, "sense").when(F.col("sense_pct") <= lo, "antisense").otherwise("balanced")
     means = (
@@ -598,7 +597,7 @@ def bias_class_means(
         .join(unit, key)
         .groupBy(cls.alias("bias_class"))
         .agg(
-            F.count(ONE).alias("units"),
+            F.count("*").alias("units"),
             F.avg("mean_score").alias("mean_score"),
             F.avg("pct_syntenic").alias("pct_syntenic"),
         )
@@ -636,7 +635,7 @@ def family_bias_vs_score(
         .agg(
             F.avg("sense_pct").alias("mean_sense_pct"),
             F.avg("mean_score").alias("mean_score"),
-            F.count(ONE).alias("members"),
+            F.count("*").alias("members"),
             F.sum("total_hits").alias("hits"),
         )
         .where(F.col("members") >= min_members)
@@ -650,7 +649,7 @@ def gene_signal_table(per_query: DataFrame, hits: DataFrame) -> DataFrame:
     """Gene rows from per-query signal (qseqid, length, total_hits, max_signal, total_signal)."""
     gene = gene_token(F.col("qseqid")).alias("gene")
     base = per_query.groupBy(gene).agg(
-        F.count(ONE).alias("isoforms"),
+        F.count("*").alias("isoforms"),
         F.sum("length").alias("total_length"),
         F.sum("total_hits").alias("total_hits"),
         F.max("max_signal").alias("max_signal"),
@@ -658,10 +657,10 @@ def gene_signal_table(per_query: DataFrame, hits: DataFrame) -> DataFrame:
     )
     fams = (
         hits.groupBy(gene, subject_token(F.col("sseqid")).alias("family"))
-        .agg(F.count(ONE).alias("n"))
+        .agg(F.count("*").alias("n"))
         .groupBy("gene")
         .agg(
-            F.count(ONE).alias("families"),
+            F.count("*").alias("families"),
             F.min(F.struct((-F.col("n")).alias("neg"), F.col("family"))).alias("_top"),
         )
         .select("gene", "families", F.col("_top.family").alias("top_family"))
@@ -680,7 +679,7 @@ def family_breakdown(hits: DataFrame, n: int = 8) -> DataFrame:
     """Hits per gene for the n families with most hits overall, the rest as Other."""
     counts = hits.groupBy(
         gene_token(F.col("qseqid")).alias("gene"), subject_token(F.col("sseqid")).alias("family")
-    ).agg(F.count(ONE).alias("n"))
+    ).agg(F.count("*").alias("n"))
     top = (
         counts.groupBy("family")
         .agg(F.sum("n").alias("_all"))
@@ -718,7 +717,7 @@ def sweep_stats(hits: DataFrame, by: str = "combo_id") -> DataFrame:
     base = (
         hits.groupBy(by)
         .agg(
-            F.count(ONE).alias("total_hits"),
+            F.count("*").alias("total_hits"),
             F.count_if(is_plus()).alias("plus_hits"),
             F.count_if(~is_plus()).alias("minus_hits"),
             F.count_distinct("qseqid").alias("unique_queries"),
@@ -776,7 +775,7 @@ def coverage_tiers(coverage: DataFrame) -> DataFrame:
     """One row: subjects, subjects hit, covered share of all bases, counts per tier."""
     c = F.col("covered_pct")
     return coverage.agg(
-        F.count(ONE).alias("subjects"),
+        F.count("*").alias("subjects"),
         F.count_if(F.col("covered_bp") > 0).alias("subjects_hit"),
         (100 * F.sum("covered_bp") / F.sum("te_length")).alias("base_pct"),
         *[F.count_if(c >= t).alias(f"ge_{t}") for t in (25, 50, 75, 100)],
@@ -787,7 +786,7 @@ def positional_thirds(hits: DataFrame, subjects: DataFrame) -> DataFrame:
     """Share of a family's hits by hit midpoint: first 20 %, middle, last 20 % of the subject."""
     mid = (F.col("sstart") + F.col("send")) / 2 / F.col("slen")
     per = hits.groupBy("sseqid").agg(
-        F.count(ONE).alias("n"),
+        F.count("*").alias("n"),
         F.count_if(mid < 0.2).alias("a"),
         F.count_if((mid >= 0.2) & (mid < 0.8)).alias("b"),
         F.count_if(mid >= 0.8).alias("c"),

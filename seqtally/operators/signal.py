@@ -27,7 +27,6 @@ METRICS = (
     "combined_minus",
 )
 EVALUE_FLOOR = 1e-180
-ONE = F.lit(1)
 
 
 def inverse_evalue():
@@ -48,7 +47,7 @@ def weighted_spans(hits: DataFrame) -> DataFrame:
         .where(F.col("lo") < F.col("hi"))
         .groupBy("qseqid", "qlen", "lo", "hi")
         .agg(
-            F.count(ONE).cast("double").alias("hit_count"),
+            F.count("*").cast("double").alias("hit_count"),
             F.sum(inverse_evalue()).alias("evalue_weighted"),
             F.sum(F.col("bitscore") / size).alias("bitscore_weighted"),
             F.sum(combined).alias("combined"),
@@ -99,7 +98,7 @@ def smooth_tiles(
     spans = (
         weighted_spans(hits)
         .select("qseqid", "qlen", "lo", "hi", *metrics)
-        .withColumn("tile", F.explode(F.sequence(from_tile, to_tile)).cast("int"))
+        .withColumn("tile", F.explode(F.sequence(from_tile, to_tile).cast("array<int>")))
     )
     arrays = ", ".join(f"{m}_raw array<double>, {m} array<double>" for m in metrics)
     schema = f"qseqid string, qlen int, tile int, first int, {arrays}"
@@ -156,8 +155,8 @@ def tile_positions(tiles: DataFrame, metrics: Sequence[str], tile: int = 1024) -
     zipped += [F.slice(f"{m}_raw", lead + 1, count).alias(f"{m}_raw") for m in metrics]
     names = [*metrics, *[f"{m}_raw" for m in metrics]]
     if "combined" in metrics:
-        before = F.when(lead > 0, F.slice("combined", F.greatest(lead, ONE), count)).otherwise(
-            F.concat(F.array(F.lit(None).cast("double")), F.slice("combined", ONE, count - 1))
+        before = F.when(lead > 0, F.slice("combined", F.greatest(lead, F.lit(1)), count)).otherwise(
+            F.concat(F.array(F.lit(None).cast("double")), F.slice("combined", F.lit(1), count - 1))
         )
         zipped += [before.alias("prev_combined"), F.slice("combined", lead + 2, count).alias("next_combined")]
         names += ["prev_combined", "next_combined"]
@@ -316,7 +315,7 @@ def density_summary(positions: DataFrame, hits: DataFrame, peaks: DataFrame | No
         .groupBy("qseqid")
         .agg(
             F.max("qlen").alias("length"),
-            F.count(ONE).alias("total_hits"),
+            F.count("*").alias("total_hits"),
             F.count_if(is_plus()).alias("plus_hits"),
             F.count_if(~is_plus()).alias("minus_hits"),
         )
@@ -325,14 +324,14 @@ def density_summary(positions: DataFrame, hits: DataFrame, peaks: DataFrame | No
     maxima = positions.groupBy("qseqid").agg(*[F.max(m).alias(f"max_{m}") for m in five])
     out = counts.join(maxima, "qseqid")
     if peaks is not None:
-        n = peaks.groupBy("qseqid").agg(F.count(ONE).alias("num_peaks"))
+        n = peaks.groupBy("qseqid").agg(F.count("*").alias("num_peaks"))
         out = out.join(n, "qseqid", "left").withColumn("num_peaks", F.coalesce("num_peaks", F.lit(0)))
     return out
 
 
 def signal_totals(positions: DataFrame, hits: DataFrame) -> DataFrame:
     """Per query: length, hits, maximum and summed combined signal."""
-    counts = hits.groupBy("qseqid").agg(F.max("qlen").alias("length"), F.count(ONE).alias("total_hits"))
+    counts = hits.groupBy("qseqid").agg(F.max("qlen").alias("length"), F.count("*").alias("total_hits"))
     sums = positions.groupBy("qseqid").agg(
         F.max("combined").alias("max_signal"), F.sum("combined").alias("total_signal")
     )
@@ -383,7 +382,7 @@ def annotate_clusters(
             ("c_lo", "c_hi"), closed=False, bin_width=bin_width,
         )
         .groupBy(*key, "family")
-        .agg(F.count(ONE).alias("count"), F.sum("w").alias("score"))
+        .agg(F.count("*").alias("count"), F.sum("w").alias("score"))
     )
     top = _top_families(per_family, key, F.struct("count", "score"), "score")
     number = F.row_number().over(Window.partitionBy("qseqid").orderBy("c_lo"))

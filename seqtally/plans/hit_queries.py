@@ -562,11 +562,11 @@ TIERS = [
 @query(
     "conservation_ladder",
     f"""select tier, count(*) as hits, round(avg(score), 6) as mean_score, round(100 * count(*) filter (where score >= 1) / count(*), 6) as pct_conserved,
-    round(list_sort(list(score))[cast(floor(count(*) / 2) as int) + 1], 6) as median_score
+    list_sort(list(score))[cast(floor(count(*) / 2) as int) + 1] as median_score
     from hits join (values {", ".join(f"('{a}', {b}, {c})" for a, b, c in TIERS)}) v(tier, p, n) on pident >= p and length >= n group by tier""",
 )
 def _(t: Tables):
-    return shown(rollups.threshold_ladder(t.hits, TIERS))
+    return shown(rollups.threshold_ladder(t.hits, TIERS), raw=("median_score",))
 
 
 @query(

@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def shown(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, lists joined by commas, so results compare across engines."""
+def shown(df: DataFrame, digits: int = 6, raw: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded (except `raw` columns), lists joined by commas, so results compare
+    across engines."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DoubleType):
+        if isinstance(f.dataType, T.DoubleType) and f.name not in raw:
             c = F.round(c, digits)
         elif isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), ",")
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+def single(df: DataFrame) -> DataFrame:
+    """Doubles at single precision, lists joined: for sums whose last digits depend on the
+    order of addition and whose decimals often end in an exact half."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DoubleType):
+            c = c.cast("float").cast("double")
+        elif isinstance(f.dataType, T.ArrayType):
+            c = F.array_join(c.cast("array<string>"), ",")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def single_sql(text: str) -> str:
+    """The same on the check side: round(x, 4) stands for single precision."""
+    return re.sub(r"round\(((?:(?!round\().)*?), 4\)", r"cast(cast(\1 as float) as double)", text)

@@ -128,7 +128,7 @@ def _header(spark: SparkSession, path: str, accept) -> tuple[str, list[str]]:
 def read_expression_long(spark: SparkSession, path: str) -> DataFrame:
     """fbgn, tissue, rpkm; columns found by header text, the last value of a pair wins."""
     ok = ~F.col("value").startswith("#")
-    line, header = _header(spark, path, lambda v: ~v.startswith("#") & (v.contains(GENE) | F.upper(v).contains("RPKM")))
+    line, header = _header(spark, path, lambda v: ~v.startswith("#") & v.rlike("(?i)rpkm|FBgn(?![0-9])"))
     gene = _find(header, lambda c: "fbgn" in c)
     source = _find(header, lambda c: "source_name" in c)
     value = _find(header, lambda c: "rpkm" in c)
@@ -153,7 +153,7 @@ def read_expression_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Wide matrix to long rows fbgn, tissue, rpkm; numbers that do not parse become 0."""
     # Columns that describe the gene rather than a sample.
     about = ("gene_primary_id", "gene_symbol", "gene_fullname", "gene_type")
-    line, header = _header(spark, path, lambda v: ~v.startswith("##"))
+    line, header = _header(spark, path, lambda v: ~v.startswith("##") & v.rlike("|".join(about)))
     names = [c.lstrip("#") for c in header]
     gene = next((i for i, c in enumerate(names) if c in about and ("primary_id" in c or "fbgn" in c)), 0)
     samples = [(i, header[i]) for i, c in enumerate(names) if c not in about]
