@@ -92,14 +92,31 @@ def dinucleotide_shuffle(
 
 
 def dinuc_counts(seqs: DataFrame, key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """(key, pair, n) over upper-case letter pairs without N."""
-    return (
-        kmers(seqs, 2, key, seq)
-        .select(key, F.upper("kmer").alias("pair"))
-        .where(~F.col("pair").contains("N"))
-        .groupBy(key, "pair")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """(key, pair, n) over upper-case letter pairs without N; one row of `seqs` per key.
+
+    Sequences of A, C, G, T only are counted inside their row: XY by what removing it
+    takes away, XX as letters minus runs of that letter. Others are cut into pairs.
+    """
+    up = seqs.select(key, F.upper(seq).alias("_s"))
+    plain = ~F.col("_s").rlike("[^ACGT]")
+    size = F.length("_s")
+    counts = []
+    for x in "ACGT":
+        for y in "ACGT":
+            if x == y:
+                letters = size - F.length(F.translate("_s", x, ""))
+                n = letters - F.regexp_count("_s", F.lit(f"{x}+"))
+            else:
+                n = (size - F.length(F.replace("_s", F.lit(x + y), F.lit("")))) / 2
+            counts.append(F.struct(F.lit(x + y).alias("pair"), n.cast("long").alias("n")))
+    inside = up.where(plain).select(key, F.inline(F.array(*counts))).where(F.col("n") > 0)
+    cut = (
+        kmers(up.where(~plain), 2, key, "_s")
+        .where(~F.col("kmer").contains("N"))
+        .groupBy(key, F.col("kmer").alias("pair"))
+        .agg(F.count("*").alias("n"))
     )
+    return inside.unionByName(cut)
 
 
 def verify_shuffle(original: DataFrame, shuffled: DataFrame, key: str = "seq_id") -> DataFrame:

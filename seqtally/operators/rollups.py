@@ -402,24 +402,24 @@ def threshold_ladder(
 
     A row enters every tier it meets. The median works on counts per distinct value.
     """
-    from ..scale import upper_median
+    from ..scale import conditional_upper_medians
 
-    spec = F.array(
+    v = F.col(score)
+    meets = {t: (F.col("pident") >= p) & (F.col("length") >= n) for t, p, n in tiers}
+    one = df.agg(
         *[
-            F.struct(F.lit(t).alias("tier"), F.lit(float(p)).alias("p"), F.lit(int(n)).alias("n"))
-            for t, p, n in tiers
+            F.struct(
+                F.lit(t).alias("tier"),
+                F.count_if(ok).alias("hits"),
+                F.avg(F.when(ok, v)).alias("mean_score"),
+                (100 * F.count_if(ok & (v >= 1)) / F.nullif(F.count_if(ok), F.lit(0))).alias("pct_conserved"),
+            ).alias(f"_t{i}")
+            for i, (t, ok) in enumerate(meets.items())
         ]
     )
-    held = F.filter(spec, lambda s: (F.col("pident") >= s.p) & (F.col("length") >= s.n))
-    long = df.select(F.explode(held).alias("t"), F.col(score).alias("v")).select("t.tier", "v")
-    stats = long.groupBy("tier").agg(
-        F.count("*").alias("hits"),
-        F.avg("v").alias("mean_score"),
-        (100 * F.count_if(F.col("v") >= 1) / F.count("*")).alias("pct_conserved"),
-    )
-    return stats.where(F.col("hits") >= min_rows).join(
-        upper_median(long, ["tier"], "v", "median_score"), "tier"
-    )
+    stats = one.select(F.inline(F.array(*[F.col(f"_t{i}") for i in range(len(meets))])))
+    medians = conditional_upper_medians(df, score, meets, "median_score").withColumnRenamed("label", "tier")
+    return stats.where((F.col("hits") >= min_rows) & (F.col("hits") > 0)).join(medians, "tier")
 
 
 def conservation_categories(df: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:

@@ -57,15 +57,49 @@ def weighted_spans(hits: DataFrame) -> DataFrame:
     )
 
 
-def density(hits: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """(qseqid, qlen, pos, metrics...) for every covered 0-based position."""
-    spans = weighted_spans(hits).select("qseqid", "qlen", "lo", "hi", *metrics)
-    return (
-        spans.select(
-            "qseqid", "qlen", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"), *metrics
+def density_runs(hits: DataFrame, metrics: Sequence[str] = METRICS, tile: int = 4096) -> DataFrame:
+    """Density in run-length form: (qseqid, qlen, lo, hi, metrics...) with 0-based [lo, hi).
+
+    The signal only changes where a span starts or ends, so spans are cut at those borders
+    and summed per piece: a few pieces per span instead of one row per base. Borders are
+    gathered per tile of positions, so a crowded or very long query is split over tasks
+    and no group holds more borders than a tile has positions.
+    """
+    metrics = list(metrics)
+    t0 = F.col("tile") * tile
+    spans = (
+        weighted_spans(hits)
+        .select("qseqid", "qlen", "lo", "hi", *metrics)
+        .withColumn(
+            "tile",
+            F.explode(F.sequence(F.floor(F.col("lo") / tile), F.floor((F.col("hi") - 1) / tile))),
         )
-        .groupBy("qseqid", "pos")
+        .withColumns(
+            {
+                "lo": F.greatest("lo", t0).cast("int"),
+                "hi": F.least("hi", t0 + tile).cast("int"),
+            }
+        )
+    )
+    cell = Window.partitionBy("qseqid", "tile")
+    borders = F.array_sort(F.array_union(F.collect_set("lo").over(cell), F.collect_set("hi").over(cell)))
+    pieces = F.filter(
+        F.arrays_zip(F.col("_b").alias("a"), F.slice("_b", 2, F.size("_b")).alias("b")),
+        lambda p: (p["a"] >= F.col("lo")) & (p["a"] < F.col("hi")),
+    )
+    return (
+        spans.withColumn("_b", borders)
+        .select("qseqid", "tile", "qlen", F.explode(pieces).alias("_p"), *metrics)
+        .groupBy("qseqid", "tile", F.col("_p.a").alias("lo"), F.col("_p.b").alias("hi"))
         .agg(F.max("qlen").alias("qlen"), *[F.sum(m).alias(m) for m in metrics])
+        .select("qseqid", "qlen", "lo", "hi", *metrics)
+    )
+
+
+def density(hits: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """(qseqid, qlen, pos, metrics...) for every covered 0-based position."""
+    return density_runs(hits, metrics).select(
+        "qseqid", "qlen", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"), *metrics
     )
 
 
@@ -76,15 +110,15 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
     return w / w.sum()
 
 
-def smooth_tiles(
-    hits: DataFrame, sigma: float = 25, metrics: Sequence[str] = METRICS, tile: int = 1024
+def smooth(
+    hits: DataFrame, sigma: float = 25, metrics: Sequence[str] = METRICS, tile: int = 4096
 ) -> DataFrame:
-    """Raw and smoothed signal per tile of positions, as arrays.
+    """(qseqid, qlen, pos, <metric>_raw, <metric>) per position; edges reflect.
 
-    Columns: qseqid, qlen, tile, first (position of element 0), <metric>_raw, <metric>.
-    The arrays cover the tile plus one position on each side where the query has one, so
-    neighbours of every core position are at hand. Edges reflect. Tiles that no hit
-    reaches are all zero and left out.
+    Each tile is smoothed on its own with a halo of one kernel radius. With `combined`
+    among the metrics its smoothed neighbours come along as prev_combined and
+    next_combined (null outside the query). Tiles that no hit reaches are all zero and
+    left out.
     """
     kernel = gaussian_kernel(sigma)
     radius = len(kernel) // 2
@@ -92,123 +126,94 @@ def smooth_tiles(
     if tile <= halo:
         raise ValueError("tile must exceed the kernel radius")
     metrics = tuple(metrics)
+    beside = "combined" in metrics
     last = F.floor((F.col("qlen") - 1) / tile)
     from_tile = F.greatest(F.floor((F.col("lo") - halo) / tile), F.lit(0))
     to_tile = F.least(F.floor((F.col("hi") - 1 + halo) / tile), last)
-    spans = (
-        weighted_spans(hits)
-        .select("qseqid", "qlen", "lo", "hi", *metrics)
-        .withColumn("tile", F.explode(F.sequence(from_tile, to_tile).cast("array<int>")))
+    runs = density_runs(hits, metrics).withColumn(
+        "tile", F.explode(F.sequence(from_tile, to_tile).cast("array<int>"))
+    )
+    names = [f"{m}_raw" for m in metrics] + list(metrics)
+    names += ["prev_combined", "next_combined"] if beside else []
+    schema = "qseqid string, qlen int, pos int, " + ", ".join(f"{n} double" for n in names)
+    out_schema = pa.schema(
+        [pa.field("qseqid", pa.string()), pa.field("qlen", pa.int32()), pa.field("pos", pa.int32())]
+        + [pa.field(n, pa.float64()) for n in names]
     )
-    arrays = ", ".join(f"{m}_raw array<double>, {m} array<double>" for m in metrics)
-    schema = f"qseqid string, qlen int, tile int, first int, {arrays}"
-    fields = [
-        pa.field("qseqid", pa.string()),
-        pa.field("qlen", pa.int32()),
-        pa.field("tile", pa.int32()),
-        pa.field("first", pa.int32()),
-    ]
-    for m in metrics:
-        fields += [pa.field(f"{m}_raw", pa.list_(pa.float64())), pa.field(m, pa.list_(pa.float64()))]
-    out_schema = pa.schema(fields)
 
     def smooth_one(table: pa.Table) -> pa.Table:
         qlen = table.column("qlen")[0].as_py()
         t = table.column("tile")[0].as_py()
         a, b = max(0, t * tile - halo), min(qlen, (t + 1) * tile + halo)
+        core = slice(t * tile - a, min(qlen, (t + 1) * tile) - a)
         lo = np.clip(table.column("lo").to_numpy(), a, b) - a
         hi = np.clip(table.column("hi").to_numpy(), a, b) - a
+        values = np.stack([table.column(m).to_numpy() for m in metrics])
+        raw = np.zeros((len(metrics), b - a))
+        for k in range(len(lo)):
+            raw[:, lo[k] : hi[k]] = values[:, k : k + 1]  # runs are disjoint
         left = radius if a == 0 else 0
         right = radius if b == qlen else 0
-        keep_from = max(0, t * tile - 1) - a
-        keep_to = min(qlen, (t + 1) * tile + 1) - a
+        padded = np.pad(raw, ((0, 0), (left, right)), mode="symmetric")
+        done = np.stack([np.convolve(row, kernel, mode="same") for row in padded])
+        done = done[:, left : left + raw.shape[1]]
+        n = core.stop - core.start
         columns = [
-            pa.array([table.column("qseqid")[0].as_py()]),
-            pa.array([qlen], pa.int32()),
-            pa.array([t], pa.int32()),
-            pa.array([a + keep_from], pa.int32()),
+            pa.repeat(pa.scalar(table.column("qseqid")[0].as_py(), pa.string()), n),
+            pa.repeat(pa.scalar(qlen, pa.int32()), n),
+            pa.array(np.arange(t * tile, t * tile + n, dtype=np.int32)),
         ]
-        for m in metrics:
-            raw = np.zeros(b - a)
-            for x, y, w in zip(lo, hi, table.column(m).to_numpy()):
-                raw[x:y] += w
-            padded = np.pad(raw, (left, right), mode="symmetric")
-            same = np.convolve(padded, kernel, mode="same")[left : left + len(raw)]
-            columns.append(pa.array([raw[keep_from:keep_to]], pa.list_(pa.float64())))
-            columns.append(pa.array([same[keep_from:keep_to]], pa.list_(pa.float64())))
+        columns += [pa.array(row[core]) for row in raw]
+        columns += [pa.array(row[core]) for row in done]
+        if beside:
+            line = np.concatenate(([np.nan], done[metrics.index("combined")], [np.nan]))
+            for shift in (0, 2):
+                side = line[core.start + shift : core.stop + shift]
+                columns.append(pa.array(side, from_pandas=True))
         return pa.Table.from_arrays(columns, schema=out_schema)
 
-    return spans.groupBy("qseqid", "tile").applyInArrow(smooth_one, schema)
+    return runs.groupBy("qseqid", "tile").applyInArrow(smooth_one, schema)
 
 
-def tile_positions(tiles: DataFrame, metrics: Sequence[str], tile: int = 1024) -> DataFrame:
-    """Tiles back to one row per core position, raw and smoothed.
+def _span(df: DataFrame) -> DataFrame:
+    """Positions or runs, as rows with lo and hi."""
+    return df if "lo" in df.columns else df.withColumns({"lo": F.col("pos"), "hi": F.col("pos") + 1})
 
-    prev_combined and next_combined are added when `combined` is among the metrics; they
-    are null outside the query.
-    """
-    core_from = F.col("tile") * tile
-    core_to = F.least(core_from + tile, F.col("qlen"))
-    lead = F.col("tile") * tile - F.col("first")
-    count = core_to - core_from
-    zipped = [F.slice(m, lead + 1, count).alias(m) for m in metrics]
-    zipped += [F.slice(f"{m}_raw", lead + 1, count).alias(f"{m}_raw") for m in metrics]
-    names = [*metrics, *[f"{m}_raw" for m in metrics]]
-    if "combined" in metrics:
-        before = F.when(lead > 0, F.slice("combined", F.greatest(lead, F.lit(1)), count)).otherwise(
-            F.concat(F.array(F.lit(None).cast("double")), F.slice("combined", F.lit(1), count - 1))
-        )
-        zipped += [before.alias("prev_combined"), F.slice("combined", lead + 2, count).alias("next_combined")]
-        names += ["prev_combined", "next_combined"]
-    return (
-        tiles.select(
-            "qseqid", "qlen", core_from.alias("_from"), F.arrays_zip(*zipped).alias("_z")
-        )
-        .select("qseqid", "qlen", "_from", F.posexplode("_z").alias("_i", "_v"))
-        .select(
-            "qseqid",
-            "qlen",
-            (F.col("_from") + F.col("_i")).alias("pos"),
-            *[F.col("_v").getField(n).alias(n) for n in names],
-        )
-    )
-
-
-def smooth(
-    hits: DataFrame, sigma: float = 25, metrics: Sequence[str] = METRICS, tile: int = 1024
-) -> DataFrame:
-    """Raw and smoothed metrics per position (tiles without any signal are left out)."""
-    return tile_positions(smooth_tiles(hits, sigma, metrics, tile), metrics, tile)
 
+def _above(signal: DataFrame, threshold: float) -> DataFrame:
+    top = signal.groupBy("qseqid").agg(F.max("combined").alias("_top")).where(F.col("_top") > 0)
+    return signal.join(top, "qseqid").where(F.col("combined") > F.col("_top") * threshold).drop("_top")
 
-def _above(positions: DataFrame, threshold: float) -> DataFrame:
-    top = positions.groupBy("qseqid").agg(F.max("combined").alias("_top")).where(F.col("_top") > 0)
-    return positions.join(top, "qseqid").where(F.col("combined") > F.col("_top") * threshold).drop("_top")
 
+def run_maxima(runs: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """Local maxima of a density in run-length form.
 
-def with_neighbours(positions: DataFrame) -> DataFrame:
-    """Add prev_combined and next_combined to a density table; uncovered positions are 0.
-
-    A query's window is bounded by its own length.
+    Inside a run the signal is level, so only its first position can rise strictly from
+    the left; it must not rise to the right and lie inside the query. The window holds the
+    runs of one query, which its length bounds.
     """
-    w = Window.partitionBy("qseqid").orderBy("pos")
-
-    def beside(fn, step: int, edge):
-        same = fn("pos").over(w) == F.col("pos") + step
-        value = F.when(same, fn("combined").over(w)).otherwise(0.0)
-        return F.when(edge, F.lit(None)).otherwise(value)
-
-    return positions.withColumns(
-        {
-            "prev_combined": beside(F.lag, -1, F.col("pos") == 0),
-            "next_combined": beside(F.lead, 1, F.col("pos") == F.col("qlen") - 1),
-        }
+    w = Window.partitionBy("qseqid").orderBy("lo")
+    before = F.when(F.lag("hi").over(w) == F.col("lo"), F.lag("combined").over(w)).otherwise(0.0)
+    after = F.when(F.lead("lo").over(w) == F.col("hi"), F.lead("combined").over(w)).otherwise(0.0)
+    level = F.col("hi") - F.col("lo") > 1
+    top = F.max("combined").over(Window.partitionBy("qseqid"))
+    return (
+        runs.withColumns({"_l": before, "_r": after, "_top": top})
+        .where(
+            (F.col("combined") > F.col("_top") * threshold)
+            & (F.col("combined") > F.col("_l"))
+            & (level | (F.col("combined") >= F.col("_r")))
+            & (F.col("lo") > 0)
+            & (F.col("lo") < F.col("qlen") - 1)
+        )
+        .withColumn("pos", F.col("lo"))
+        .drop("_l", "_r", "_top", "lo", "hi")
     )
 
 
 def local_maxima(positions: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Interior positions above the threshold share of the query's maximum that rise
-    strictly from the left and do not rise to the right."""
+    strictly from the left and do not rise to the right (smoothed positions)."""
     return _above(positions, threshold).where(
         (F.col("combined") > F.col("prev_combined")) & (F.col("combined") >= F.col("next_combined"))
     )
@@ -240,8 +245,10 @@ def space_out(peaks: DataFrame, min_distance: int = 10) -> DataFrame:
     return peaks.join(kept, ["qseqid", "pos"], "left_semi")
 
 
-def find_peaks(positions: DataFrame, threshold: float = 0.1, min_distance: int = 10) -> DataFrame:
-    return space_out(local_maxima(positions, threshold), min_distance)
+def find_peaks(signal: DataFrame, threshold: float = 0.1, min_distance: int = 10) -> DataFrame:
+    """Spaced local maxima of a smoothed signal or of a density in run-length form."""
+    maxima = run_maxima if "lo" in signal.columns else local_maxima
+    return space_out(maxima(signal, threshold), min_distance)
 
 
 def _spans_with_family(hits: DataFrame, underscore: bool) -> DataFrame:
@@ -332,8 +339,9 @@ def density_summary(positions: DataFrame, hits: DataFrame, peaks: DataFrame | No
 def signal_totals(positions: DataFrame, hits: DataFrame) -> DataFrame:
     """Per query: length, hits, maximum and summed combined signal."""
     counts = hits.groupBy("qseqid").agg(F.max("qlen").alias("length"), F.count("*").alias("total_hits"))
-    sums = positions.groupBy("qseqid").agg(
-        F.max("combined").alias("max_signal"), F.sum("combined").alias("total_signal")
+    size = F.col("hi") - F.col("lo")
+    sums = _span(positions).groupBy("qseqid").agg(
+        F.max("combined").alias("max_signal"), F.sum(F.col("combined") * size).alias("total_signal")
     )
     return counts.join(sums, "qseqid")
 
@@ -342,9 +350,10 @@ def find_clusters(
     positions: DataFrame, threshold: float = 0.1, merge: int = 50, min_length: int = 20
 ) -> DataFrame:
     """Regions above the threshold share of the query's maximum, joined over gaps of at
-    most `merge`, at least `min_length` long: qseqid, c_lo, c_hi (0-based half-open)."""
-    above = _above(positions, threshold).select(
-        "qseqid", F.col("pos").alias("c_lo"), (F.col("pos") + 1).alias("c_hi")
+    most `merge`, at least `min_length` long: qseqid, c_lo, c_hi (0-based half-open).
+    Takes positions or runs."""
+    above = _above(_span(positions), threshold).select(
+        "qseqid", F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi")
     )
     return iv.collapse(above, ["qseqid"], "c_lo", "c_hi", gap=merge).where(
         F.col("c_hi") - F.col("c_lo") >= min_length
@@ -364,15 +373,16 @@ def annotate_clusters(
     """
     key = ["qseqid", "c_lo", "c_hi"]
     cl = clusters.select(*key)
-    points = positions.select(
-        "qseqid", F.col("pos").alias("p_lo"), (F.col("pos") + 1).alias("p_hi"), "combined", "hit_count"
+    points = _span(positions).select(
+        "qseqid", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), "combined", "hit_count"
     )
+    inside = F.least("p_hi", "c_hi") - F.greatest("p_lo", "c_lo")
     stats = (
         iv.overlap_join(points, cl, ["qseqid"], ("p_lo", "p_hi"), ("c_lo", "c_hi"), closed=False, bin_width=bin_width)
         .groupBy(*key)
         .agg(
             F.max("combined").alias("max_signal"),
-            F.sum("combined").alias("total_signal"),
+            F.sum(F.col("combined") * inside).alias("total_signal"),
             F.max("hit_count").alias("max_hit_count"),
         )
     )

@@ -59,7 +59,7 @@ def _(t: Tables):
     "alignment_match_lines",
     """with a as (select doc_id, replace(seq, 'AC', 'A-') as q, substr(seq, 2) as s from sequences),
     p as (select doc_id, q, s, least(length(q), length(s)) as n from a),
-    m as (select doc_id, array_to_string(list_transform(range(1, n + 1), lambda i: case when q[i] = s[i] then '|' when q[i] = '-' or s[i] = '-' then ' ' else '.' end), '') as line from p)
+    m as (select doc_id, array_to_string(list_transform(list_zip(string_split(substr(q, 1, n), ''), string_split(substr(s, 1, n), '')), lambda z: case when z[1] = z[2] then '|' when z[1] = '-' or z[2] = '-' then ' ' else '.' end), '') as line from p where n > 0)
     select doc_id, length(line) as columns, md5(line) as digest, length(line) - length(replace(line, '|', '')) as equal, length(line) - length(replace(line, ' ', '')) as gaps from m where line <> ''""",
 )
 def _(t: Tables):

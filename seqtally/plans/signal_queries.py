@@ -54,7 +54,7 @@ def _(t: Tables):
     from h join dens d on h.qseqid = d.qseqid group by 1, 2, 3, 4, 5""",
 )
 def _(t: Tables):
-    return single(signal.density_summary(signal.density(t.hits), t.hits))
+    return single(signal.density_summary(signal.density_runs(t.hits), t.hits))
 
 
 @query("smoothed_signal")
@@ -72,8 +72,8 @@ PEAKS = f"""with {POS}, top as (select qseqid, max(combined) as mx from dens gro
 
 @query("raw_local_maxima", PEAKS + "select qseqid, cast(pos as int) as pos, round(combined, 4) as combined from mx")
 def _(t: Tables):
-    d = signal.with_neighbours(signal.density(t.hits, ["combined"]))
-    return single(signal.local_maxima(d).select("qseqid", "pos", "combined"))
+    d = signal.density_runs(t.hits, ["combined"])
+    return single(signal.run_maxima(d).select("qseqid", "pos", "combined"))
 
 
 @query(
@@ -84,14 +84,14 @@ def _(t: Tables):
     select qseqid, cast(pos as int) as pos from walk where keep""",
 )
 def _(t: Tables):
-    d = signal.with_neighbours(signal.density(t.hits, ["combined"]))
+    d = signal.density_runs(t.hits, ["combined"])
     return signal.find_peaks(d).select("qseqid", "pos")
 
 
 def _smoothed(t: Tables) -> DataFrame:
     # written once: the query's maximum and the positions both read it
     metrics = ("combined", "combined_plus", "combined_minus")
-    return signal.tile_positions(stage(signal.smooth_tiles(t.hits, metrics=metrics)), metrics)
+    return stage(signal.smooth(t.hits, metrics=metrics))
 
 
 @query("smoothed_peaks")
@@ -112,8 +112,8 @@ def _(t: Tables):
     from mx m join r on m.qseqid = r.qseqid and m.pos = r.pos group by 1, 2, 3, 4, 5""",
 )
 def _(t: Tables):
-    d = signal.with_neighbours(signal.density(t.hits, ["combined", "combined_plus", "combined_minus"]))
-    out = signal.annotate_peaks(signal.local_maxima(d), t.hits)
+    d = signal.density_runs(t.hits, ["combined", "combined_plus", "combined_minus"])
+    out = signal.annotate_peaks(signal.run_maxima(d), t.hits)
     return single(out.withColumn("families", F.map_keys("families")))
 
 
@@ -126,7 +126,7 @@ CLUSTERS = f"""with {POS}, top as (select qseqid, max(combined) as mx from dens
 
 @query("signal_clusters", CLUSTERS + "select * from cl")
 def _(t: Tables):
-    return signal.find_clusters(signal.density(t.hits, ["combined"]))
+    return signal.find_clusters(signal.density_runs(t.hits, ["combined"]))
 
 
 @query(
@@ -143,7 +143,7 @@ def _(t: Tables):
     from id join st on id.qseqid = st.qseqid and id.c_lo = st.c_lo join rk on id.qseqid = rk.qseqid and id.c_lo = rk.c_lo group by 1, 2, 3, 4, 5, 6, 7, 8, 9""",
 )
 def _(t: Tables):
-    d = signal.density(t.hits, ["combined", "hit_count"])
+    d = stage(signal.density_runs(t.hits, ["combined", "hit_count"]))
     out = signal.annotate_clusters(signal.find_clusters(d), d, t.hits)
     named = F.transform(
         F.map_entries("families"), lambda e: F.concat_ws("=", e["key"], e["value"]["count"].cast("string"))
@@ -154,7 +154,7 @@ def _(t: Tables):
 @query("smoothed_clusters_with_sequence")
 def _(t: Tables):
     metrics = ("combined", "hit_count")
-    d = signal.tile_positions(stage(signal.smooth_tiles(t.hits, metrics=metrics)), metrics)
+    d = stage(signal.smooth(t.hits, metrics=metrics))
     seqs = t.sequences.select(F.concat(F.lit("tr"), F.col("doc_id").cast("string")).alias("seq_id"), "seq")
     out = signal.annotate_clusters(signal.find_clusters(d), d, t.hits, seqs)
     return single(out.withColumn("families", F.to_json("families")))
@@ -199,7 +199,7 @@ GENES = f"""with {TOK}, pos as (select q, unnest(range(qstart - 1, least(qend, q
 
 def _gene_table(t: Tables) -> DataFrame:
     h = _tokened(t)
-    totals = signal.signal_totals(signal.density(h, ["combined"]), h)
+    totals = signal.signal_totals(signal.density_runs(h, ["combined"]), h)
     return rollups.gene_signal_table(totals, h)
 
 

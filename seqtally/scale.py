@@ -183,3 +183,48 @@ def upper_median(df: DataFrame, by: Sequence[str], value: str, name: str) -> Dat
     """The element at index n // 2 of the sorted values."""
     cum = cumulative_counts(df, by, value)
     return cum.groupBy(*by).agg(_at(F.floor(F.col("total") / 2), value).alias(name))
+
+
+def conditional_upper_medians(
+    df: DataFrame, value: str, conditions: dict[str, Column], name: str
+) -> DataFrame:
+    """(label, name): the element at index n // 2 among the rows of each condition.
+
+    Conditions may overlap. Every distinct value is shuffled once with one count per
+    condition, rather than once per condition.
+    """
+    labels = list(conditions)
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(value)
+        .agg(*[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(conditions.values())])
+    )
+    parts = _range_parts(counts, F.col(value))
+    slabs = parts.groupBy("_part").agg(*[F.sum(f"_n{i}").alias(f"_s{i}") for i in range(len(labels))])
+    along, whole = Window.orderBy("_part"), Window.partitionBy(F.lit(0))  # one row per slab
+    offsets = slabs.select(
+        "_part",
+        *[(F.sum(f"_s{i}").over(along) - F.col(f"_s{i}")).alias(f"_o{i}") for i in range(len(labels))],
+        *[F.sum(f"_s{i}").over(whole).alias(f"_t{i}") for i in range(len(labels))],
+    )
+    local = Window.partitionBy("_part").orderBy(value)
+    placed = parts.join(F.broadcast(offsets), "_part").select(
+        value,
+        *[
+            F.struct(
+                (F.col(f"_o{i}") + F.sum(f"_n{i}").over(local) - F.col(f"_n{i}")).alias("before"),
+                F.col(f"_n{i}").alias("n"),
+                F.floor(F.col(f"_t{i}") / 2).alias("k"),
+            ).alias(f"_c{i}")
+            for i in range(len(labels))
+        ],
+    )
+
+    def pick(i: int) -> Column:
+        c = F.col(f"_c{i}")
+        inside = (c["before"] <= c["k"]) & (c["k"] < c["before"] + c["n"])
+        return F.max(F.when(inside, F.col(value))).alias(f"_m{i}")
+
+    one = placed.agg(*[pick(i) for i in range(len(labels))])
+    rows = [F.struct(F.lit(x).alias("label"), F.col(f"_m{i}").alias(name)) for i, x in enumerate(labels)]
+    return one.select(F.inline(F.array(*rows)))
