@@ -61,12 +61,8 @@ def exact_u_tail(u: float, n1: int, n2: int) -> float:
     return float(ways[int(math.ceil(u)) :].sum() / ways.sum())
 
 
-def mann_whitney_p(u1: float, n1: int, n2: int, ties: float) -> float:
-    """Two-sided: exact when a side has at most 8 values and no ties, else normal with
-    tie and continuity correction. `ties` is the sum of t^3 - t."""
-    u = max(u1, n1 * n2 - u1)
-    if min(n1, n2) <= 8 and ties == 0:
-        return min(1.0, 2 * exact_u_tail(u, n1, n2))
+def normal_u_p(u: float, n1: int, n2: int, ties: float) -> float:
+    """Two-sided normal approximation for the larger U, with tie and continuity correction."""
     n = n1 + n2
     var = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))
     if var <= 0:
@@ -75,6 +71,15 @@ def mann_whitney_p(u1: float, n1: int, n2: int, ties: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2)))
 
 
+def mann_whitney_p(u1: float, n1: int, n2: int, ties: float) -> float:
+    """Two-sided: exact when a side has at most 8 values and there are no ties, else
+    normal. `ties` is the sum of t^3 - t over tied values."""
+    u = max(u1, n1 * n2 - u1)
+    if min(n1, n2) <= 8 and ties == 0:
+        return min(1.0, 2 * exact_u_tail(u, n1, n2))
+    return normal_u_p(u, n1, n2, ties)
+
+
 @F.pandas_udf(T.DoubleType())
 def mann_whitney_pvalue(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     out = []

@@ -130,7 +130,9 @@ def mann_whitney(sets: DataFrame, values: DataFrame, value: str = "density_hits_
             "ties",
             "median_in",
             F.coalesce("median_out", F.lit(0.0)).alias("median_out"),
-            st.mann_whitney_pvalue("u", "n_in", "n_out", "ties").alias("mw_p"),
+            F.coalesce(
+                st.mann_whitney_pvalue("u", "n_in", "n_out", "ties"), F.lit(float("nan"))
+            ).alias("mw_p"),
         )
     )
 

@@ -84,11 +84,8 @@ def repeats_on_transcripts(
 def match_score(p1: str, p2: str, l1: str, l2: str) -> Column:
     """2 - |identity difference| / 100 - |length difference| / longer length."""
     longest = F.greatest(F.col(l1), F.col(l2), F.lit(1))
-    return (
-        1
-        - F.abs(F.col(p1) - F.col(p2)) / 100
-        + 1
-        - F.abs(F.col(l1) - F.col(l2)) / longest
+    return (1 - F.abs(F.col(p1) - F.col(p2)) / 100) + (
+        1 - F.abs(F.col(l1) - F.col(l2)) / longest
     )
 
 

@@ -304,10 +304,10 @@ def _(t: Tables):
 # candidates and loci -------------------------------------------------------------------
 
 # conservation rows stand on their own table; identity and length differ a little
-CONS = """select l_orderkey * 8 + l_linenumber as cons_no, qseqid as transcript, sseqid as te_id, round(pident - l_linenumber % 3, 1) as r_pident,
+CONS = """select l_orderkey * 8 + l_linenumber as cons_no, qseqid as transcript, sseqid as te_id, pident - l_linenumber % 3 as r_pident,
  length + l_linenumber % 5 as r_length, score as phylo from hits where l_orderkey % 5 <> 0"""
 MATCH = f"""with c as (select transcript, te_id, r_pident, r_length, min(cons_no) as cons_no, arg_min(phylo, cons_no) as phylo from ({CONS}) x group by 1, 2, 3, 4),
- m as (select {', '.join('s.' + k for k in KEYS)}, phylo, 1 - abs(s.pident - r_pident) / 100 + 1 - abs(s.length - r_length) / greatest(s.length, r_length, 1) as ms, cons_no
+ m as (select {', '.join('s.' + k for k in KEYS)}, phylo, (1 - abs(s.pident - r_pident) / 100) + (1 - abs(s.length - r_length) / greatest(s.length, r_length, 1)) as ms, cons_no
  from synteny s join c on s.transcript = c.transcript and s.te_id = c.te_id),
  b as (select *, row_number() over (partition by {K} order by ms desc, cons_no) as rn from m)
  """

@@ -64,7 +64,17 @@ def _(t: Tables):
     return signal.smooth(t.hits).groupBy("qseqid").agg(F.count("*").alias("positions"), *sums)
 
 
-PEAKS = f"""with {POS}, top as (select qseqid, max(combined) as mx from dens group by qseqid),
+# Level stretches must stay level, so both sides compare sums at single precision: the last
+# digits of a sum depend on the order of addition.
+POS1 = POS.replace("sum(c) as combined,", "cast(cast(sum(c) as float) as double) as combined,")
+
+
+def _runs(t: Tables, metrics: list[str]) -> DataFrame:
+    runs = signal.density_runs(t.hits, metrics)
+    return runs.withColumn("combined", F.col("combined").cast("float").cast("double"))
+
+
+PEAKS = f"""with {POS1}, top as (select qseqid, max(combined) as mx from dens group by qseqid),
  nb as (select d.*, coalesce(l.combined, 0) as lc, coalesce(r.combined, 0) as rc from dens d left join dens l on l.qseqid = d.qseqid and l.pos = d.pos - 1
   left join dens r on r.qseqid = d.qseqid and r.pos = d.pos + 1),
  mx as (select nb.* from nb join top on nb.qseqid = top.qseqid where combined > mx * 0.1 and combined > lc and combined >= rc and pos > 0 and pos < qlen - 1) """
@@ -72,7 +82,7 @@ PEAKS = f"""with {POS}, top as (select qseqid, max(combined) as mx from dens gro
 
 @query("raw_local_maxima", PEAKS + "select qseqid, cast(pos as int) as pos, round(combined, 4) as combined from mx")
 def _(t: Tables):
-    d = signal.density_runs(t.hits, ["combined"])
+    d = _runs(t, ["combined"])
     return single(signal.run_maxima(d).select("qseqid", "pos", "combined"))
 
 
@@ -84,7 +94,7 @@ def _(t: Tables):
     select qseqid, cast(pos as int) as pos from walk where keep""",
 )
 def _(t: Tables):
-    d = signal.density_runs(t.hits, ["combined"])
+    d = _runs(t, ["combined"])
     return signal.find_peaks(d).select("qseqid", "pos")
 
 
@@ -112,12 +122,12 @@ def _(t: Tables):
     from mx m join r on m.qseqid = r.qseqid and m.pos = r.pos group by 1, 2, 3, 4, 5""",
 )
 def _(t: Tables):
-    d = signal.density_runs(t.hits, ["combined", "combined_plus", "combined_minus"])
+    d = _runs(t, ["combined", "combined_plus", "combined_minus"])
     out = signal.annotate_peaks(signal.run_maxima(d), t.hits)
     return single(out.withColumn("families", F.map_keys("families")))
 
 
-CLUSTERS = f"""with {POS}, top as (select qseqid, max(combined) as mx from dens group by qseqid),
+CLUSTERS = f"""with {POS1}, top as (select qseqid, max(combined) as mx from dens group by qseqid),
  ab as (select d.qseqid, pos from dens d join top on d.qseqid = top.qseqid where combined > mx * 0.1),
  fl as (select *, case when pos - lag(pos) over (partition by qseqid order by pos) - 1 <= 50 then 0 else 1 end as f from ab),
  gr as (select *, sum(f) over (partition by qseqid order by pos rows unbounded preceding) as g from fl),
@@ -126,7 +136,7 @@ CLUSTERS = f"""with {POS}, top as (select qseqid, max(combined) as mx from dens
 
 @query("signal_clusters", CLUSTERS + "select * from cl")
 def _(t: Tables):
-    return signal.find_clusters(signal.density_runs(t.hits, ["combined"]))
+    return signal.find_clusters(_runs(t, ["combined"]))
 
 
 @query(
@@ -143,7 +153,7 @@ def _(t: Tables):
     from id join st on id.qseqid = st.qseqid and id.c_lo = st.c_lo join rk on id.qseqid = rk.qseqid and id.c_lo = rk.c_lo group by 1, 2, 3, 4, 5, 6, 7, 8, 9""",
 )
 def _(t: Tables):
-    d = stage(signal.density_runs(t.hits, ["combined", "hit_count"]))
+    d = stage(_runs(t, ["combined", "hit_count"]))
     out = signal.annotate_clusters(signal.find_clusters(d), d, t.hits)
     named = F.transform(
         F.map_entries("families"), lambda e: F.concat_ws("=", e["key"], e["value"]["count"].cast("string"))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scale import spread
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -186,7 +188,8 @@ class Tables:
             if name in BASE:
                 self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             elif name in VIEWS:
-                self._seen[name] = self.sql(VIEWS[name].replace("{g}", ""))
+                view = self.sql(VIEWS[name].replace("{g}", ""))
+                self._seen[name] = spread(view, "doc_id") if name == "sequences" else view
             else:
                 raise AttributeError(name)
         return self._seen[name]

@@ -80,6 +80,16 @@ def skew_join(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a scan that has fewer splits than the session has cores.
+
+    For heavy per-row work on a small number of large files; a scan with enough splits is
+    returned as it is, so large inputs are not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _range_parts(df: DataFrame, *order: Column) -> DataFrame:
     """Sorted slabs `_part` 0..n-1; written out, so slab borders cannot move on a retry."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
