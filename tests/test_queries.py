@@ -7,7 +7,7 @@ from seqtally.plans.views import BASE
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "gene_density_report", "strand_overview", "family_by_dataset", "conservation_ladder", "known_and_novel_hits",
-    "hit_species_coverage", "candidate_loci", "annotated_loci", "best_conservation_match", "raw_peaks",
+    "hit_species_coverage", "candidate_loci", "annotated_loci", "first_conservation_match", "raw_peaks",
     "annotated_clusters", "rank_tests", "false_discovery_rates", "annotation_table", "similarity_hits",
     "read_gff", "streamed_strand_tallies",
 ]
