@@ -12,24 +12,30 @@ def _count_of(seq: Column, letters: str) -> Column:
     return F.length(seq) - F.length(F.translate(seq, letters, ""))
 
 
+def _let(value: Column, body) -> Column:
+    """`body` applied to `value`, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shannon_entropy(seq: Column) -> Column:
     """Base entropy over A, C, G, T with the full length as denominator; 0 when empty."""
-    up = F.upper(seq)
-    total = F.length(up)
-    out = F.lit(0.0)
-    for base in "ACGT":
-        f = _count_of(up, base) / total
-        out = out - F.when(f > 0, f * F.log2(f)).otherwise(0.0)
-    return F.when(total > 0, out).otherwise(F.when(seq.isNotNull(), F.lit(0.0)))
+
+    def entropy(up: Column) -> Column:
+        shares = F.array(*[F.try_divide(_count_of(up, b), F.length(up)) for b in "ACGT"])
+        return F.aggregate(
+            shares, F.lit(0.0), lambda sum_, f: sum_ - F.when(f > 0, f * F.log2(f)).otherwise(0.0)
+        )
+
+    return F.when(seq.isNotNull(), _let(F.upper(seq), entropy))
 
 
 def at_content(seq: Column) -> Column:
     """A and T over A, C, G and T; 0 when there is none of them."""
-    up = F.upper(seq)
-    acgt = _count_of(up, "ACGT")
-    return F.when(acgt > 0, _count_of(up, "AT") / acgt).otherwise(
-        F.when(seq.isNotNull(), F.lit(0.0))
-    )
+
+    def share(up: Column) -> Column:
+        return F.coalesce(F.try_divide(_count_of(up, "AT"), _count_of(up, "ACGT")), F.lit(0.0))
+
+    return F.when(seq.isNotNull(), _let(F.upper(seq), share))
 
 
 def homopolymer_runs(seq: Column, n: int = 4) -> Column:

@@ -161,8 +161,8 @@ def ancient_candidates(df: DataFrame, min_species: int = 2, min_score: float = 1
 def complexity_columns(df: DataFrame, seq: str = "qseq") -> DataFrame:
     """Add entropy, at_content and homopolymers of the gap-free sequence.
 
-    The three go through a one-element inline(), so that a later filter on them reads the
-    finished columns instead of having the whole expressions copied into its predicate.
+    The three go through a one-element inline_outer(), so that a later filter on them reads
+    the finished columns instead of having the whole expressions copied into its predicate.
     """
     bare = sq.ungap(F.col(seq))
     measures = F.struct(
@@ -170,7 +170,7 @@ def complexity_columns(df: DataFrame, seq: str = "qseq") -> DataFrame:
         sq.at_content(bare).alias("at_content"),
         sq.homopolymer_runs(bare).alias("homopolymers"),
     )
-    return df.withColumn("_m", F.array(measures)).select(*df.columns, F.inline("_m"))
+    return df.withColumn("_m", F.array(measures)).select(*df.columns, F.inline_outer("_m"))
 
 
 def complexity_reason(
