@@ -317,8 +317,7 @@ def _(t: Tables):
     sets = t.part.select(F.lower("p_type").alias("set_name"), fb("FBgn", n - n % 3).alias("fbgn"))
     root = scratch_path(t.spark, "sets")
     sinks.write_gene_sets(sets, root, 1, 10**9)
-    # one folder per set; the reader takes the set name from that folder through partitioning
-    return t.spark.read.text(root).select("set_name", F.col("value").alias("fbgn"))
+    return ann.read_gene_sets(t.spark, root, one_file_per_set=False)
 
 
 @query(

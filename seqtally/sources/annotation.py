@@ -62,16 +62,25 @@ def read_gene_list_symbols(spark: SparkSession, path: str) -> DataFrame:
     return _last_wins(rows, ["fbgn"], "symbol")
 
 
-def read_gene_sets(spark: SparkSession, folder: str, suffix: str = "_fbgn_ids") -> DataFrame:
-    """set_name (file stem without the suffix) and fbgn for every file of a folder."""
+def read_gene_sets(
+    spark: SparkSession, folder: str, suffix: str = "_fbgn_ids", one_file_per_set: bool = True
+) -> DataFrame:
+    """set_name and fbgn of every set below a folder.
+
+    Sets are files named <set><suffix>.txt, or, with one_file_per_set off, the set_name=...
+    folders that write_gene_sets makes.
+    """
     line = F.trim("value")
     ids = F.filter(_tabs(line), lambda p: p.startswith(GENE))
-    stem = F.regexp_replace(F.col("_metadata.file_name"), f"({suffix})?[.]txt$", "")
+    if one_file_per_set:
+        text = spark.read.option("pathGlobFilter", f"*{suffix}.txt").text(folder)
+        name = F.regexp_replace(F.col("_metadata.file_name"), f"({suffix})?[.]txt$", "")
+    else:
+        text = spark.read.text(folder)
+        name = F.col("set_name")
     return (
-        spark.read.option("pathGlobFilter", f"*{suffix}.txt")
-        .text(folder)
-        .where((line != "") & ~line.startswith("#"))
-        .select(stem.alias("set_name"), F.get(ids, F.lit(0)).alias("fbgn"))
+        text.where((line != "") & ~line.startswith("#"))
+        .select(name.alias("set_name"), F.get(ids, F.lit(0)).alias("fbgn"))
         .where(F.col("fbgn").isNotNull())
     )
 
