@@ -15,14 +15,16 @@ from .registry import query
 from .shape import shown, single, single_sql
 from .views import Tables
 
-# Only part of the genes have hits here, so that both columns of the 2x2 tables are filled.
-GENE_HITS = f"""gh as (select fbgn, total_hits, sense_hits, anti_hits, total_utr_len from ({BYG}) b
- where cast(substr(fbgn, 3) as int) % 4 <> 0 and total_hits % 7 <> 0)"""
+# Only the best hits count here, so that part of the genes have none and both columns of
+# the 2x2 tables are filled.
+BEST = "pident >= 100 and length >= 190"
+_BEST_GENES = BYG.replace("from hits group by qseqid", f"from hits where {BEST} group by qseqid")
+GENE_HITS = f"gh as (select fbgn, total_hits, sense_hits, anti_hits, total_utr_len from ({_BEST_GENES}) b)"
 SETS = "ss as (select distinct set_name, fbgn from gene_sets)"
 
 
 def _gene_hits(t: Tables) -> DataFrame:
-    return by_gene(t).where("cast(substr(fbgn, 3) as int) % 4 <> 0 and total_hits % 7 <> 0")
+    return _side(t, BEST)
 
 
 def _sets(t: Tables) -> DataFrame:
