@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import find_contamination
+from .html_text import extract_text, host_of
+from .language import identify
 from .mixing import mix
 from .quality import quality
 from .query_sql import CHECKS
+from .toxicity import toxicity
+from .warc import archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,6 +34,13 @@ def op2_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"))
 
 
+@query
+def op3_site_style_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = extract_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words the scheduled mix takes of every document."""
@@ -52,6 +63,49 @@ def op5_fm_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as WARC archives and read back by the salvage reader."""
+    return archived_pages(spark, table(spark, folder, "pages"))
+
+
+@query
+def op7_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """(doc_id, markup, suffix, page_host) of the page a document was taken from, if any.
+
+    The number in a page's path is its document's id; of several pages the smallest page_id counts.
+    """
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    number = F.regexp_extract(path, "/(\\d+)(?:[./]|$)", 1)
+    markup = F.lower(F.regexp_extract("html", "(?i)<html\\b[^>]*\\blang\\s*=\\s*[\"']?([a-z]{2,3})", 1))
+    rows = pages.where(number != "").select(
+        number.cast("long").alias("doc_id"),
+        F.struct(
+            "page_id",
+            F.when(markup != "", markup).alias("markup"),
+            F.when(host_of(F.col("url")) != "", host_of(F.col("url"))).alias("host"),
+        ).alias("p"),
+    )
+    first = rows.groupBy("doc_id").agg(F.min("p").alias("p"))
+    return first.select("doc_id", "p.markup", F.substring_index("p.host", ".", -1).alias("suffix"), F.col("p.host").alias("page_host"))
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document from its text, declarations, address and host.
+
+    A document's host is its source; the markup language and address suffix are those of the
+    page it was taken from.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", F.col("source").alias("host"))
+    return identify(docs, evidence=page_evidence(table(spark, folder, "pages")).drop("page_host"))
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
