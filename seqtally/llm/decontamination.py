@@ -24,7 +24,8 @@ BLOCK_BYTES = 4_000_000
 #: Words of one index; a shard with more gets several.
 INDEX_WORDS = 1 << 20
 SAMPLE = 16
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in a text whose A-Z are as they were.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SCHEMA = "struct<n_words bigint, n_hit bigint, items array<string>, words array<struct<start: int, end: int>>, spans array<struct<start: int, end: int>>>"
 ONE = np.uint64(1)
 
