@@ -17,9 +17,14 @@ from .language import identify
 from .mixing import mix
 from .quality import quality
 from .query_sql import CHECKS
+from .token_counts import edit_aware_counts, read_ranks
 from .toxicity import toxicity
+from .url_filter import filter_urls
 from .warc import archived_pages
 
+#: A public byte-level vocabulary; any file of that layout can be named instead.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -28,6 +33,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_edit_aware_tokens(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Tokens of every document before and after redaction."""
+    found = edit_aware_counts(table(spark, folder, "documents"), read_ranks(spark, vocabulary))
+    return found.select(
+        "doc_id",
+        F.col("n_before").alias("n_tokens"),
+        F.col("n_after").alias("n_tokens_edited"),
+        "n_edits",
+        "chars_before",
+        "chars_after",
+        "chars_encoded",
+    )
+
+
 @query
 def op2_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Quality rules with the distance of every document from its language's reference."""
@@ -75,23 +95,27 @@ def op7_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def page_document(url):
+    """Id of the document a page was taken from: the number in its path; null without one."""
+    number = F.regexp_extract(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), "/(\\d{1,18})(?:[./]|$)", 1)
+    return F.when(number != "", number).cast("long")
+
+
 def page_evidence(pages: DataFrame) -> DataFrame:
     """(doc_id, markup, suffix, page_host) of the page a document was taken from, if any.
 
     The number in a page's path is its document's id; of several pages the smallest page_id counts.
     """
-    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
-    number = F.regexp_extract(path, "/(\\d+)(?:[./]|$)", 1)
     markup = F.lower(F.regexp_extract("html", "(?i)<html\\b[^>]*\\blang\\s*=\\s*[\"']?([a-z]{2,3})", 1))
-    rows = pages.where(number != "").select(
-        number.cast("long").alias("doc_id"),
+    rows = pages.select(
+        page_document(F.col("url")).alias("doc_id"),
         F.struct(
             "page_id",
             F.when(markup != "", markup).alias("markup"),
             F.when(host_of(F.col("url")) != "", host_of(F.col("url"))).alias("host"),
         ).alias("p"),
     )
-    first = rows.groupBy("doc_id").agg(F.min("p").alias("p"))
+    first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("p").alias("p"))
     return first.select("doc_id", "p.markup", F.substring_index("p.host", ".", -1).alias("suffix"), F.col("p.host").alias("page_host"))
 
 
@@ -106,6 +130,16 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, evidence=page_evidence(table(spark, folder, "pages")).drop("page_host"))
 
 
+@query
+def op10_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL; pages of documents labelled as toxic or of low quality are bad ones."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labels = table(spark, folder, "labels").select("doc_id", bad.alias("bad"))
+    linked = pages.select("page_id", page_document(F.col("url")).alias("doc_id")).join(labels, "doc_id")
+    return filter_urls(pages, linked.select("page_id", "bad"))
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

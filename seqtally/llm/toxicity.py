@@ -22,13 +22,13 @@ class Settings:
     """`max_rows` bounds the labelled rows the model is fitted on; they are those with the
     smallest hash of doc_id, taken whole. Scoring reads every row."""
 
-    max_rows: int = 12_000
-    epochs: int = 2
+    max_rows: int = 20_000
+    epochs: int = 3
     log_size: int = 20
-    alpha: float = 0.15
+    alpha: float = 0.7
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 1.0
+    l1: float = 6.0
+    l2: float = 0.1
     threshold: float = 0.3
 
 
