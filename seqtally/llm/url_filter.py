@@ -99,9 +99,11 @@ def merge_similar(stats: DataFrame, s: Settings) -> DataFrame:
     both = wide.join(sums, ["host", "wider"])
     l1, b1 = F.col("labelled"), F.col("bad")
     l2, b2 = F.col("l") - l1, F.col("b") - b1
-    pooled = F.col("b") / F.col("l")
-    error = F.sqrt(pooled * (1 - pooled) * (1 / l1 + 1 / l2))
-    apart = F.when((l1 > 0) & (l2 > 0) & (pooled > 0) & (pooled < 1), F.abs(b1 / l1 - b2 / l2) / error).otherwise(F.lit(0.0))
+    pooled = F.try_divide("b", "l")
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), l1) + F.try_divide(F.lit(1), l2)))
+    gap = F.try_divide(F.abs(F.try_divide(b1, l1) - F.try_divide(b2, l2)), error)
+    # null where a side has no label or all labels agree: nothing sets the branches apart
+    apart = F.coalesce(gap, F.lit(0.0))
     joins = (F.col("k") > 1) & (apart < s.max_z)
     return both.select("host", "template", F.when(joins, F.col("wider")).otherwise(F.col("template")).alias("merged"))
 
