@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import find_contamination
 from .html_text import extract_text, host_of
+from .jaccard_join import near_duplicates
 from .language import identify
 from .mixing import mix
 from .quality import quality
@@ -130,6 +131,12 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, evidence=page_evidence(table(spark, folder, "pages")).drop("page_host"))
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op10_path_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's URL; pages of documents labelled as toxic or of low quality are bad ones."""

@@ -56,3 +56,25 @@ from texts left join words using (r) left join found using (r)
 """
 
 CHECKS["op5_fm_index"] = _WINDOWS.replace("{documents}", "documents")
+
+_LINKS = r"""
+with recursive texts as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents),
+tokens as (
+  select distinct doc_id, list_aggregate(w[i : i + 4], 'string_agg', ' ') as t
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from texts where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from tokens group by doc_id),
+pairs as (
+  select x.doc_id as a, y.doc_id as b, count(*) as k from tokens x join tokens y on x.t = y.t and x.doc_id < y.doc_id
+  group by all),
+links as (
+  select a, b from pairs join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+  where 100 * k >= 80 * (p.n + q.n - k)),
+ends as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from texts union select r.a, e.b from reach r join ends e on r.b = e.a),
+comp as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from comp left join sizes using (doc_id)
+"""
+
+CHECKS["op9_jaccard_join"] = _LINKS
