@@ -84,35 +84,35 @@ def templates(counted: DataFrame, s: Settings) -> DataFrame:
     return whole.select("host", "shape", F.array_join(F.col("parts.name"), "/").alias("template"))
 
 
-def _wider(template: Column) -> Column:
-    """Template with its last literal segment as a wildcard; the same one if there is none.
-
-    Literals are segments without placeholder or wildcard."""
-    return F.regexp_replace(template, "^(.*/)[^/{}*]+((?:/[^/]*[{}*][^/]*|/)*)$", "$1*$2")
-
-
 def merge_similar(stats: DataFrame, s: Settings) -> DataFrame:
     """(host, template, merged): templates that share a wider one join it when their bad rates
-    are within `max_z` standard errors of the rate of the wider template's other pages."""
-    wide = stats.withColumn("wider", _wider(F.col("template")))
+    are within `max_z` standard errors of the rate of the wider template's other pages.
+
+    A wider template has one literal segment (one without placeholder or wildcard) as `*`; of
+    several to join, the one of most branches is taken, then the one nearest to the root.
+    """
+    segments = F.split("template", "/")
+    spots = F.filter(F.transform(segments, lambda x, i: F.when((x != "") & ~x.rlike("[{*]"), i)), lambda i: i.isNotNull())
+    wide = stats.withColumn("spot", F.explode(spots))
+    wide = wide.withColumn("wider", F.array_join(F.transform(segments, lambda x, i: F.when(i == F.col("spot"), "*").otherwise(x)), "/"))
     sums = wide.groupBy("host", "wider").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.count(F.lit(1)).alias("k"))
-    both = wide.join(sums, ["host", "wider"])
+    both = wide.join(sums.where("k > 1"), ["host", "wider"])
     l1, b1 = F.col("labelled"), F.col("bad")
     l2, b2 = F.col("l") - l1, F.col("b") - b1
     pooled = F.try_divide("b", "l")
     error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), l1) + F.try_divide(F.lit(1), l2)))
     gap = F.try_divide(F.abs(F.try_divide(b1, l1) - F.try_divide(b2, l2)), error)
     # null where a side has no label or all labels agree: nothing sets the branches apart
-    apart = F.coalesce(gap, F.lit(0.0))
-    joins = (F.col("k") > 1) & (apart < s.max_z)
-    return both.select("host", "template", F.when(joins, F.col("wider")).otherwise(F.col("template")).alias("merged"))
+    alike = both.where(F.coalesce(gap, F.lit(0.0)) < s.max_z)
+    best = alike.groupBy("host", "template").agg(F.max(F.struct("k", F.negative("spot").alias("near"), "wider")).alias("m"))
+    return stats.join(best, ["host", "template"], "left").select("host", "template", F.coalesce("m.wider", "template").alias("merged"))
 
 
 def template_purity(stats: DataFrame, s: Settings) -> DataFrame:
     """(host, template, purity): share of bad labelled pages, smoothed to the host's, and that to all."""
     hosts = stats.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     total = stats.agg(F.sum("labelled"), F.sum("bad")).first()
-    base = float((total[1] or 0) + 1) / float((total[0] or 0) + 2)
+    base = float((total[1] or 0) + 1) / float((total[0] or 0) + 10)  # one in ten before any label
     rate = (F.col("hb") + s.prior * base) / (F.col("hl") + s.prior)
     purity = (F.col("bad") + s.prior * rate) / (F.col("labelled") + s.prior)
     return stats.join(hosts, "host").select("host", "template", purity.alias("purity"))
