@@ -178,16 +178,19 @@ def usable_sets(sets: DataFrame, universe: DataFrame, min_genes: int = 5) -> Dat
     return kept.join(big.select("set_name"), "set_name", "left_semi").select("set_name", "fbgn")
 
 
-def enrichment(sets: DataFrame, gene_hits: DataFrame, min_genes: int = 5) -> DataFrame:
+def enrichment(sets: DataFrame, gene_hits: DataFrame, min_genes: int = 5, positives: DataFrame | None = None) -> DataFrame:
     """Metrics, both tests with q-values and the category of every usable set.
 
+    positives: genes (fbgn) of the first column of the 2x2 tables; those with hits by default.
+
     The gene table feeds every step and the per-set results feed both corrections, so each
     is written once instead of being recomputed by every consumer.
     """
     gene_hits = stage(gene_hits, "gene-hits")
     universe = gene_hits.select("fbgn").unionByName(sets.select("fbgn")).distinct()
     used = stage(usable_sets(sets, universe, min_genes), "sets")
-    table = fisher_exact(contingency(used, universe, gene_hits.where(F.col("total_hits") > 0)))
+    positives = gene_hits.where(F.col("total_hits") > 0) if positives is None else positives
+    table = fisher_exact(contingency(used, universe, positives))
     ranks = mann_whitney(used, gene_hit_density(gene_hits))
     out = (
         set_metrics(used, gene_hits)

@@ -332,7 +332,7 @@ def candidate_details(
 
 def candidates_by_gene(df: DataFrame, shown: int = 3) -> DataFrame:
     """Per gene: candidates, best score, the first families by name and how many more."""
-    fams = F.array_sort(F.collect_set(F.substring("te_name", 1, 15)))
+    fams = F.array_sort(F.collect_set("te_name"))
     more = F.size("_f") - shown
     return (
         df.groupBy("symbol")

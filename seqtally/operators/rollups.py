@@ -289,13 +289,16 @@ def control_overview(hits: DataFrame) -> DataFrame:
 
 
 def region_stats(regions: DataFrame, min_length: int = 50) -> DataFrame:
-    """Hits and bases per region over all families (family null) and per family."""
+    """Hits and bases per region over all families (family null) and per family.
+
+    Hits of unmapped families (`unannotated`) count in the overall rows only.
+    """
     kept = regions.where(F.col("length") >= min_length)
     per = kept.groupBy("family", "region").agg(
         F.count("*").alias("hits"), F.sum("region_bp").alias("bp")
     )
     total = per.groupBy("region").agg(F.sum("hits").alias("hits"), F.sum("bp").alias("bp"))
-    return per.unionByName(
+    return per.where(F.col("region") != "unannotated").unionByName(
         total.select(F.lit(None).cast("string").alias("family"), "region", "hits", "bp")
     )
 

@@ -182,19 +182,23 @@ def _(t: Tables):
 
 @query(
     "hits_with_subject",
-    f"""select {K}, coalesce(family, sseqid) as family, coalesce(te_class, 'Unknown') as te_class
-    from hits left join (select te_id, family, te_class from subjects where te_id <> 'te7') s on sseqid = te_id""",
+    # one subject's hits name an id that the dimension does not have
+    f"""select {K}, coalesce(family, sid) as family, coalesce(te_class, 'Unknown') as te_class
+    from (select *, case when sseqid = 'te7' then 'unlisted' else sseqid end as sid from hits) h left join subjects on sid = te_id""",
 )
 def _(t: Tables):
-    return hits.with_subject(t.hits, t.subjects.where("te_id <> 'te7'")).select(*KEYS, "family", "te_class")
+    renamed = F.when(F.col("sseqid") == "te7", "unlisted").otherwise(F.col("sseqid"))
+    return hits.with_subject(t.hits.withColumn("sseqid", renamed), t.subjects).select(*KEYS, "family", "te_class")
 
 
 @query(
     "hits_with_gene",
-    f"""select {K}, fbgn, tx_len from hits join transcripts on qseqid = fbtr where t_strand = '+'""",
+    # a seventh line names a transcript that the dimension does not have
+    f"""select {K}, fbgn, tx_len from (select *, case when l_linenumber = 7 then concat(qseqid, 'x') else qseqid end as qid from hits) h join transcripts on qid = fbtr""",
 )
 def _(t: Tables):
-    return hits.with_gene(t.hits, t.transcripts.where("t_strand = '+'")).select(*KEYS, "fbgn", "tx_len")
+    renamed = F.when(F.col("l_linenumber") == 7, F.concat("qseqid", F.lit("x"))).otherwise(F.col("qseqid"))
+    return hits.with_gene(t.hits.withColumn("qseqid", renamed), t.transcripts).select(*KEYS, "fbgn", "tx_len")
 
 
 # summaries -----------------------------------------------------------------------------
@@ -450,27 +454,31 @@ def _(t: Tables):
 
 # sets of ids ---------------------------------------------------------------------------
 
-LONG_A = "select sseqid from hits where length > 190 and dataset = 'A' and pident > 95"
-LONG_B = "select sseqid from hits where length > 190 and dataset = 'N' and pident > 95"
+PAIR = "concat(qseqid, '/', sseqid)"
+PAIRS_A = f"select {PAIR} as pair from hits where dataset = 'A'"
+PAIRS_B = f"select {PAIR} as pair from hits where dataset = 'N'"
 
 
 @query(
     "subjects_in_either_set",
-    f"""with a as ({LONG_A}), b as ({LONG_B}) select sseqid, case when sseqid in (select sseqid from a) and sseqid in (select sseqid from b) then 'both'
-    when sseqid in (select sseqid from a) then 'a_only' else 'b_only' end as side from (select sseqid from a union select sseqid from b) u""",
+    # query and subject together: which pairs occur in one data set, the other, or both
+    f"""with a as ({PAIRS_A}), b as ({PAIRS_B}) select pair, case when pair in (select pair from a) and pair in (select pair from b) then 'both'
+    when pair in (select pair from a) then 'a_only' else 'b_only' end as side from (select pair from a union select pair from b) u""",
 )
 def _(t: Tables):
-    best = t.hits.where("length > 190 and pident > 95")
-    return compare.set_partition(best.where("dataset = 'A'"), best.where("dataset = 'N'"), "sseqid")
+    pairs = t.hits.select("dataset", F.concat("qseqid", F.lit("/"), "sseqid").alias("pair"))
+    return compare.set_partition(pairs.where("dataset = 'A'"), pairs.where("dataset = 'N'"), "pair")
 
 
 @query(
     "subjects_never_hit",
-    """select te_id, family, te_class from subjects where te_id not in (select sseqid from hits where length > 190 and pident > 95 and dataset = 'A')""",
+    # the catalogue lists every subject under a second name that no hit uses
+    """select te_id, family, te_class from (select te_id, family, te_class from subjects union all select concat(te_id, 'x'), family, te_class from subjects) s
+    where te_id not in (select sseqid from hits)""",
 )
 def _(t: Tables):
-    some = t.hits.where("length > 190 and pident > 95 and dataset = 'A'")
-    return compare.not_hit(t.subjects, some).select("te_id", "family", "te_class")
+    again = t.subjects.withColumn("te_id", F.concat("te_id", F.lit("x")))
+    return compare.not_hit(t.subjects.unionByName(again), t.hits).select("te_id", "family", "te_class")
 
 
 def _tb(cond: str) -> str:
@@ -494,14 +502,13 @@ def _(t: Tables):
 
 @query(
     "two_source_comparison",
-    f"""with a as (select * from ({fam("where dataset = 'A' and pident > 98")}) x), b as (select * from ({fam("where dataset = 'R' and pident > 98")}) x)
+    f"""with a as (select * from ({fam("where dataset = 'A'")}) x), b as (select * from ({fam("where dataset = 'R'")}) x)
     select coalesce(a.family, b.family) as family, coalesce(a.hits, 0) as a_hits, coalesce(a.plus, 0) as a_plus, coalesce(a.minus, 0) as a_minus,
     coalesce(b.hits, 0) as b_hits, coalesce(b.plus, 0) as b_plus, coalesce(b.minus, 0) as b_minus from a full join b on a.family = b.family""",
 )
 def _(t: Tables):
-    best = t.hits.where("pident > 98")
-    a = rollups.family_stats(best.where("dataset = 'A'"), t.subjects)
-    b = rollups.family_stats(best.where("dataset = 'R'"), t.subjects)
+    a = rollups.family_stats(t.hits.where("dataset = 'A'"), t.subjects)
+    b = rollups.family_stats(t.hits.where("dataset = 'R'"), t.subjects)
     return compare.compare_sources(a, b, ["family"], ["hits", "plus", "minus"])
 
 

@@ -303,9 +303,10 @@ def _(t: Tables):
 
 # candidates and loci -------------------------------------------------------------------
 
-# conservation rows stand on their own table; identity and length differ a little
-CONS = """select l_orderkey * 8 + l_linenumber as cons_no, qseqid as transcript, sseqid as te_id, pident - l_linenumber % 3 as r_pident,
- length + l_linenumber % 5 as r_length, score as phylo from hits where l_orderkey % 5 <> 0"""
+# conservation rows stand on their own table; identity and length differ a little, and a
+# fifth of them name other transcripts
+CONS = """select l_orderkey * 8 + l_linenumber as cons_no, case when l_orderkey % 5 = 0 then concat(qseqid, 'x') else qseqid end as transcript, sseqid as te_id, pident - l_linenumber % 3 as r_pident,
+ length + l_linenumber % 5 as r_length, score as phylo from hits"""
 MATCH = f"""with c as (select transcript, te_id, r_pident, r_length, min(cons_no) as cons_no, arg_min(phylo, cons_no) as phylo from ({CONS}) x group by 1, 2, 3, 4),
  m as (select {', '.join('s.' + k for k in KEYS)}, phylo, (1 - abs(s.pident - r_pident) / 100) + (1 - abs(s.length - r_length) / greatest(s.length, r_length, 1)) as ms, cons_no
  from synteny s join c on s.transcript = c.transcript and s.te_id = c.te_id),
@@ -348,12 +349,15 @@ def _named(t: Tables) -> DataFrame:
 
 @query(
     "conservation_by_name",
-    f"""select {NAMED} as name, score, cast(sim_coverage >= 0.5 as int) + cast(yak_coverage >= 0.5 as int) + cast(ere_coverage >= 0.5 as int) as syntenic_species,
-    cast(sim_coverage >= 0.5 as int) + cast(yak_coverage >= 0.5 as int) + cast(ere_coverage >= 0.5 as int) >= 2 as is_syntenic from synteny where l_orderkey % 5 <> 0""",
+    # a fifth of the scores stand under another name, so their candidates have no match
+    f"""with c as (select case when l_orderkey % 5 = 0 then concat({NAMED}, 'x') else {NAMED} end as name, score from synteny)
+    select name, c.score, cast(sim_coverage >= 0.5 as int) + cast(yak_coverage >= 0.5 as int) + cast(ere_coverage >= 0.5 as int) as syntenic_species,
+    cast(sim_coverage >= 0.5 as int) + cast(yak_coverage >= 0.5 as int) + cast(ere_coverage >= 0.5 as int) >= 2 as is_syntenic from (select {NAMED} as name, * exclude (score) from synteny) s join c using (name)""",
 )
 def _(t: Tables):
     rows = _named(t)
-    cons = rows.where("l_orderkey % 5 <> 0").select("name", "score")
+    name = F.when(F.col("l_orderkey") % 5 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name"))
+    cons = rows.select(name.alias("name"), "score")
     return lc.merge_conservation(rows.drop("score", "syntenic_species"), cons).select(
         "name", "score", "syntenic_species", "is_syntenic"
     )
@@ -524,7 +528,7 @@ def _(t: Tables):
 
 @query(
     "candidates_by_gene",
-    f"""with c as (select fbgn as symbol, score, substr(name, 1, 15) as n from ({ANCIENT}) a join transcripts on fbtr = transcript join subjects s on s.te_id = a.te_id),
+    f"""with c as (select fbgn as symbol, score, name as n from ({ANCIENT}) a join transcripts on fbtr = transcript join subjects s on s.te_id = a.te_id),
     g as (select symbol, count(*) as candidates, max(score) as best_score, list_sort(list(distinct n)) as f from c group by symbol)
     select symbol, candidates, best_score, concat(array_to_string(f[1:3], ', '), case when len(f) > 3 then concat(' +', len(f) - 3) else '' end) as families from g""",
 )
@@ -574,10 +578,11 @@ def _(t: Tables):
 
 # structural regions and segments -------------------------------------------------------
 
-REGIONS = """select concat('rg', cast(s_nationkey as string)) as region_id, case s_suppkey % 3 when 0 then 'LTR' when 1 then 'CDS' else 'other' end as region,
- 1 + s_suppkey * 37 % 1500 as reg_start, 301 + s_suppkey * 37 % 1500 as reg_end from supplier where s_nationkey % 5 <> 0"""
-FAMILY_MAP = """select distinct lower(family) as family_key, concat('rg', cast(s_nationkey as string)) as region_id from supplier
- join subjects on te_id = concat('te', cast(s_suppkey as string)) where s_nationkey % 7 <> 0"""
+# some regions and families stand under ids that the other table does not have
+REGIONS = """select concat(case when s_nationkey % 5 = 0 then 'other' else 'rg' end, cast(s_nationkey as string)) as region_id, case s_suppkey % 3 when 0 then 'LTR' when 1 then 'CDS' else 'other' end as region,
+ 1 + s_suppkey * 37 % 1500 as reg_start, 301 + s_suppkey * 37 % 1500 as reg_end from supplier"""
+FAMILY_MAP = """select distinct lower(case when s_nationkey % 7 = 0 then concat('other', family) else family end) as family_key, concat('rg', cast(s_nationkey as string)) as region_id from supplier
+ join subjects on te_id = concat('te', cast(s_suppkey as string))"""
 REGION_SQL = f"""with rg as ({REGIONS}), fm as ({FAMILY_MAP}), h as (select {K}, length, family, least(sstart, send) as lo, greatest(sstart, send) as hi
   from hits join subjects on sseqid = te_id), m as (select h.*, region_id from h left join (select * from fm where region_id in (select region_id from rg)) f on family_key = lower(family)),
  o as (select m.*, region, least(hi, reg_end) - greatest(lo, reg_start) as bp from m join rg on m.region_id = rg.region_id and greatest(lo, reg_start) < least(hi, reg_end)),
@@ -601,7 +606,7 @@ def _(t: Tables):
     "region_statistics",
     REGION_SQL
     + """, k as (select * from r where length >= 50) select family, region, count(*) as hits, cast(sum(region_bp) as bigint) as bp from k group by 1, 2
-    union all select null, region, count(*), cast(sum(region_bp) as bigint) from k group by region""",
+    having region <> 'unannotated' union all select null, region, count(*), cast(sum(region_bp) as bigint) from k group by region""",
 )
 def _(t: Tables):
     return rollups.region_stats(_regions(t))
@@ -638,11 +643,13 @@ def _(t: Tables):
     return shown(rollups.spanning_share(_segmented(t)))
 
 
-PARTS = """select concat('gn', cast(doc_id - doc_id % 3 as string)) as fbgn, concat('tr', cast(doc_id as string)) as fbtr, {x} as seq,
- length({x}) as length from sequences where {w}"""
-U5 = PARTS.format(x="substr(seq, 1, 100)", w="doc_id % 4 <> 1")
-CD = PARTS.format(x="substr(seq, 101, 300)", w="doc_id % 5 <> 2 and doc_id % 9 > 2")
-U3 = PARTS.format(x="seq", w="doc_id % 7 <> 3")
+# thirds of each text; some parts stand under a transcript of their own, so others lack them
+PARTS = """select concat('gn', cast(doc_id - doc_id % 3 as string)) as fbgn, concat('tr', cast(doc_id as string), case when {w} then '' else '{n}' end) as fbtr, {x} as seq,
+ length({x}) as length from sequences"""
+THIRD = "cast((length(seq) - length(seq) % 3) / 3 as int)"
+U5 = PARTS.format(x=f"substr(seq, 1, {THIRD})", w="doc_id % 4 <> 1", n="u")
+CD = PARTS.format(x=f"substr(seq, {THIRD} + 1, {THIRD})", w="doc_id % 5 <> 2 and doc_id % 9 > 2", n="c")
+U3 = PARTS.format(x=f"substr(seq, 2 * {THIRD} + 1)", w="doc_id % 7 <> 3", n="e")
 
 
 @query(
@@ -663,14 +670,14 @@ def _(t: Tables):
 
 SUBCOV = (
     "with c as (select sseqid, min(lo) as lo, max(hi) as hi from ("
-    + islands_sql("(select sseqid, least(sstart, send) as lo, greatest(sstart, send) as hi from hits where length > 150 and score > 3) b", "sseqid", "lo", "hi", 1)
+    + islands_sql("(select sseqid, least(sstart, send) as lo, greatest(sstart, send) as hi from hits) b", "sseqid", "lo", "hi", 1)
     + """) i group by sseqid, island), s as (select te_id, family, te_length, cast(coalesce(sum(hi - lo + 1), 0) as bigint) as covered_bp,
  100 * coalesce(sum(hi - lo + 1), 0) / te_length as covered_pct from subjects left join c on te_id = sseqid group by te_id, family, te_length) """
 )
 
 
 def _subject_cov(t: Tables) -> DataFrame:
-    return rollups.subject_coverage(t.hits.where("length > 150 and score > 3"), t.subjects)
+    return rollups.subject_coverage(t.hits, t.subjects)
 
 
 @query("subject_coverage", SUBCOV + "select te_id, family, te_length, covered_bp, round(covered_pct, 6) as covered_pct from s")

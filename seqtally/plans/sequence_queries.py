@@ -38,20 +38,25 @@ def _(t: Tables):
 
 @query(
     "sequence_transforms",
-    """select doc_id, md5(upper(seq)) as hash, md5(reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))) as reverse_complement, concat(seq_id, '_antisense') as antisense_id,
-    replace(substr(text, 1, 40), '-', '') as ungapped, substr(seq, 11, 20) as sub, substr(seq, 1, least(40, length(seq))) as context from sequences join documents using (doc_id)""",
+    # places come from the hits of the transcript with the text's number
+    """with p as (select l_partkey as doc_id, min(qstart) as lo, max(qend) as hi from hits group by 1)
+    select doc_id, md5(upper(seq)) as hash, md5(reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))) as reverse_complement, concat(seq_id, '_antisense') as antisense_id,
+    md5(replace(text, '-', '')) as ungapped, md5(substr(seq, lo, hi - lo + 1)) as sub,
+    md5(substr(seq, greatest(lo - 10, 1), least(hi + 10, length(seq)) - greatest(lo - 10, 1) + 1)) as context
+    from sequences join documents using (doc_id) left join p using (doc_id)""",
 )
 def _(t: Tables):
     c = F.col("seq")
-    joined = t.sequences.join(t.documents.select("doc_id", "text"), "doc_id")
+    places = t.hits.groupBy(F.col("l_partkey").alias("doc_id")).agg(F.min("qstart").alias("lo"), F.max("qend").alias("hi"))
+    joined = t.sequences.join(t.documents.select("doc_id", "text"), "doc_id").join(places, "doc_id", "left")
     return joined.select(
         "doc_id",
         sq.seq_hash(c).alias("hash"),
         F.md5(sq.reverse_complement(c)).alias("reverse_complement"),
         F.concat("seq_id", F.lit("_antisense")).alias("antisense_id"),
-        sq.ungap(F.substring("text", 1, 40)).alias("ungapped"),
-        sq.hit_subseq(c, F.lit(11), F.lit(30)).alias("sub"),
-        sq.hit_context(c, F.lit(11), F.lit(30)).alias("context"),
+        F.md5(sq.ungap(F.col("text"))).alias("ungapped"),
+        F.md5(sq.hit_subseq(c, F.col("lo"), F.col("hi"))).alias("sub"),
+        F.md5(sq.hit_context(c, F.col("lo"), F.col("hi"))).alias("context"),
     )
 
 
@@ -182,11 +187,13 @@ def _(t: Tables):
 
 @query(
     "merged_sequence_sets",
-    """with u as (select seq_id, seq, 0 as s from sequences where doc_id % 3 <> 0 union all select seq_id, reverse(seq), 1 from sequences union all select seq_id, seq, 2 from subject_seqs)
+    # a third of the first set stands under names of its own
+    """with u as (select case when doc_id % 3 = 0 then concat(seq_id, 'x') else seq_id end as seq_id, seq, 0 as s from sequences union all select seq_id, reverse(seq), 1 from sequences union all select seq_id, seq, 2 from subject_seqs)
     select seq_id, md5(arg_min(seq, s)) as digest from u group by seq_id""",
 )
 def _(t: Tables):
-    a = t.sequences.where("doc_id % 3 <> 0").select("seq_id", "seq")
+    own = F.when(F.col("doc_id") % 3 == 0, F.concat("seq_id", F.lit("x"))).otherwise(F.col("seq_id"))
+    a = t.sequences.select(own.alias("seq_id"), "seq")
     b = t.sequences.select("seq_id", F.reverse("seq").alias("seq"))
     c = t.subject_seqs.select("seq_id", "seq")
     return compare.merge_sequences([a, b, c]).select("seq_id", F.md5("seq").alias("digest"))

@@ -10,21 +10,20 @@ from ..functions.names import set_category, set_label
 from ..operators import enrichment as en
 from ..operators import hits as ht
 from ..operators import rollups
+from ..scale import stage
 from .hit_queries import BYG, BYS, DENSITY, K, KEYS, by_gene
 from .registry import query
 from .shape import shown, single, single_sql
 from .views import Tables
 
-# Only the best hits count here, so that part of the genes have none and both columns of
-# the 2x2 tables are filled.
-BEST = "pident >= 100 and length >= 190"
-_BEST_GENES = BYG.replace("from hits group by qseqid", f"from hits where {BEST} group by qseqid")
-GENE_HITS = f"gh as (select fbgn, total_hits, sense_hits, anti_hits, total_utr_len from ({_BEST_GENES}) b)"
+# every gene has hits here, so a gene is positive in the 2x2 tables when most of its hits are sense
+POSITIVE = "sense_hits * 2 > total_hits"
+GENE_HITS = f"gh as (select fbgn, total_hits, sense_hits, anti_hits, total_utr_len from ({BYG}) b)"
 SETS = "ss as (select distinct set_name, fbgn from gene_sets)"
 
 
 def _gene_hits(t: Tables) -> DataFrame:
-    return _side(t, BEST)
+    return by_gene(t)
 
 
 def _sets(t: Tables) -> DataFrame:
@@ -46,7 +45,7 @@ def _(t: Tables):
 
 
 TABLE = f"""{GENE_HITS}, {SETS}, uni as (select fbgn from gh union select fbgn from ss),
- fl as (select u.fbgn, g.fbgn is not null and g.total_hits > 0 as p from uni u left join gh g on u.fbgn = g.fbgn),
+ fl as (select u.fbgn, g.fbgn is not null and g.sense_hits * 2 > g.total_hits as p from uni u left join gh g on u.fbgn = g.fbgn),
  ct as (select set_name, count(*) filter (where p) as a, count(*) filter (where not p) as b, (select count(*) from fl where p) - count(*) filter (where p) as c,
   (select count(*) from fl where not p) - count(*) filter (where not p) as d from ss join fl on ss.fbgn = fl.fbgn group by set_name),
  ora as (select *, case when a + b = 0 or c + d = 0 or a + c = 0 or b + d = 0 then cast('nan' as double) when b = 0 or c = 0 then cast('inf' as double)
@@ -58,7 +57,7 @@ def _universe(t: Tables) -> DataFrame:
 
 
 def _table(t: Tables) -> DataFrame:
-    return en.contingency(_sets(t), _universe(t), _gene_hits(t).where("total_hits > 0"))
+    return en.contingency(_sets(t), _universe(t), _gene_hits(t).where(POSITIVE))
 
 
 @query("contingency_tables", f"with {TABLE} select set_name, a, b, c, d, round(odds_ratio, 6) as odds_ratio from ora")
@@ -67,9 +66,18 @@ def _(t: Tables):
     return shown(table.withColumn("odds_ratio", st.odds_ratio("a", "b", "c", "d")))
 
 
-@query("fisher_tests")
+
+FISHER = f"""{TABLE}, cells as (select *, a + b as r, a + c as l, a + b + c + d as n from ora),
+ logs as (select *, lgamma(l + 1) - lgamma(k + 1) - lgamma(l - k + 1) + lgamma(n - l + 1) - lgamma(r - k + 1) - lgamma(n - l - r + k + 1)
+  - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1) as lp from (select *, unnest(range(cast(greatest(0, r + l - n) as bigint), cast(least(r, l) as bigint) + 1)) as k from cells) x),
+ fi as (select set_name, case when max(a + b) = 0 or max(c + d) = 0 or max(l) = 0 or max(b + d) = 0 then 1.0
+  else least(1, sum(exp(lp)) filter (where lp <= seen + 1e-7)) end as fisher_p
+  from (select *, max(lp) filter (where k = a) over (partition by set_name) as seen from logs) y group by set_name)"""
+
+
+@query("fisher_tests", f"with {FISHER} select set_name, a, b, c, d, round(odds_ratio, 6) as odds_ratio, round(fisher_p, 6) as fisher_p from ora join fi using (set_name)")
 def _(t: Tables):
-    return en.fisher_exact(_table(t))
+    return shown(en.fisher_exact(_table(t)))
 
 
 VALUES = f"""{GENE_HITS}, {SETS}, v as (select fbgn, total_hits / total_utr_len * 1000 as x from gh where total_hits > 0 and total_utr_len > 0),
@@ -119,7 +127,8 @@ def _(t: Tables):
 
 
 def _enriched(t: Tables) -> DataFrame:
-    return en.enrichment(t.gene_sets, _gene_hits(t))
+    gene_hits = stage(_gene_hits(t), "gene-hits")
+    return en.enrichment(t.gene_sets, gene_hits, positives=gene_hits.where(POSITIVE))
 
 
 @query("gene_set_enrichment")
@@ -225,16 +234,22 @@ def _(t: Tables):
     return shown(en.rank_gene_sets(_sets(t), dens, by_gene(t)))
 
 
+# a hit is of a side when it covers bases of that segment of its transcript
+FIVE_PRIME = "qstart <= utr5_len and qend >= 1"
+THREE_PRIME = "qend > utr5_len + cds_len and qstart <= utr5_len + cds_len + utr3_len"
+
+
 def _side_sql(cond: str) -> str:
-    return BYG.replace("from hits group by qseqid", f"from hits where {cond} group by qseqid")
+    touching = f"(select h.* from hits h join transcripts x on h.qseqid = x.fbtr where {cond}) h"
+    return BYG.replace("from hits group by qseqid", f"from {touching} group by qseqid")
 
 
 def _side(t: Tables, cond: str) -> DataFrame:
-    by_query = rollups.strand_bias_by_query(t.hits.where(cond), t.transcripts)
-    return rollups.strand_bias_by_gene(by_query)
+    touching = rollups.segment_annotation(t.hits, t.transcripts).where(cond).select(t.hits.columns)
+    return rollups.strand_bias_by_gene(rollups.strand_bias_by_query(touching, t.transcripts))
 
 
-REG = f"""{SETS}, f as ({_side_sql("dataset = 'A' and qstart < 90")}), h as ({_side_sql("dataset <> 'A'")}),
+REG = f"""{SETS}, f as ({_side_sql(FIVE_PRIME)}), h as ({_side_sql(THREE_PRIME)}),
  rg as (select set_name, count(*) as n_genes, count(*) filter (where coalesce(f.total_hits, 0) > 0 or coalesce(h.total_hits, 0) > 0) as genes_with_hits,
  cast(coalesce(sum(f.total_hits), 0) as bigint) as utr5_hits, case when sum(f.total_hits) > 0 then 100 * sum(f.sense_hits) / sum(f.total_hits) else 0 end as s5,
  cast(coalesce(sum(h.total_hits), 0) as bigint) as utr3_hits, case when sum(h.total_hits) > 0 then 100 * sum(h.sense_hits) / sum(h.total_hits) else 0 end as s3,
@@ -242,7 +257,7 @@ REG = f"""{SETS}, f as ({_side_sql("dataset = 'A' and qstart < 90")}), h as ({_s
 
 
 def _region_summary(t: Tables) -> DataFrame:
-    return en.gene_set_region_summary(_sets(t), _side(t, "dataset = 'A' and qstart < 90"), _side(t, "dataset <> 'A'"))
+    return en.gene_set_region_summary(_sets(t), _side(t, "bp_utr5 > 0"), _side(t, "bp_utr3 > 0"))
 
 
 @query(

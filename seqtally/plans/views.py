@@ -75,7 +75,7 @@ from orders where o_orderstatus <> 'F'""",
 select o_orderkey as cds_id, concat('chr', cast(o_orderkey % 6 as string)) as chrom,
   1 + o_orderkey * 13 as c_start, 21 + o_orderkey * 13 + o_custkey % 60 as c_end,
   concat('tr', cast(o_custkey as string)) as owner
-from orders where o_orderstatus = 'F' and o_custkey % 5 = 0""",
+from orders where o_orderstatus = 'F'""",
     "species_blocks": """
 select concat('chr', cast(o_orderkey % 6 as string)) as chrom,
   o_orderkey * 13 as b_start, o_orderkey * 13 + 100 + o_custkey % 400 as b_end,
@@ -121,7 +121,7 @@ select concat('gn', cast(p_partkey - p_partkey % 3 as string)) as fbgn,
     else 'GO:0009999' end as go_id,
   case p_size % 7 when 0 then 'F' when 1 then 'F' when 2 then 'P' when 3 then 'P' when 4 then 'C'
     when 5 then 'c' else 'P' end as aspect
-from part where p_partkey % 11 <> 0""",
+from part""",
     "synteny": """
 select h.l_orderkey, h.l_linenumber, h.l_partkey, h.l_suppkey, h.qseqid as transcript,
   h.sseqid as te_id, h.chrom, h.bed_start as start_pos, h.bed_end as end_pos, h.pident, h.length,

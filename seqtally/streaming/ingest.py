@@ -37,7 +37,7 @@ def tally_report(tallies: DataFrame, min_hits: int = 10) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_trigger: int = 1) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
     """Process what is in `folder`, then stop; each batch replaces the table at `out`.
 
     Tallies are written whole per batch under a batch number, so a batch that is retried
