@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,8 +166,7 @@ def localization_categories(terms: Column) -> Column:
     """Sorted distinct categories whose keywords occur in any of the array's terms."""
 
     def any_term(words) -> Column:
-        pattern = _any_of(words)
-        return F.exists(terms, lambda t: F.lower(t).rlike(pattern))
+        return F.exists(terms, lambda t: reduce(lambda a, b: a | b, [F.lower(t).contains(w) for w in words]))
 
     found = [F.when(any_term(w), F.lit(c)) for c, w in LOCALIZATION_KEYWORDS.items()]
     return F.array_sort(F.array_compact(F.array(*found)))

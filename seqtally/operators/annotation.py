@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import ASPECT_NAMES, localization_categories, set_category
@@ -134,6 +134,29 @@ def select_tissues(names: Sequence[str], few: int = 10, fill_to: int = 25) -> li
     return list(chosen.items())
 
 
+def candidate_samples(expression: DataFrame, fill_to: int = 25) -> DataFrame:
+    """Sample names (tissue) that `select_tissues` can choose: for each key tissue as many of the
+    first matching names as there are key tissues, and the first names of all. At most
+    len(KEY_TISSUES) ** 2 + len(KEY_TISSUES) + fill_to rows, however many samples there are."""
+    names = expression.select("tissue").where("tissue is not null").distinct()
+    keys = F.array(*[F.when(_matches(F.col("tissue"), marks), F.lit(i)) for i, (_, marks) in enumerate(KEY_TISSUES)])
+    hits = names.select("tissue", F.explode(F.array_compact(keys)).alias("_k"))
+    rank = F.row_number().over(Window.partitionBy("_k").orderBy("tissue"))
+    first = hits.withColumn("_r", rank).where(F.col("_r") <= len(KEY_TISSUES)).select("tissue")
+    return first.unionByName(names.orderBy("tissue").limit(fill_to + len(KEY_TISSUES))).distinct()
+
+
+def tissue_columns(expression: DataFrame) -> DataFrame:
+    """(column_name, tissue, genes) of the selected samples."""
+    names = sorted(r[0] for r in candidate_samples(expression).collect())  # bounded, see there
+    pairs = [F.struct(F.lit(t).alias("tissue"), F.lit(c).alias("column_name")) for t, c in select_tissues(names)]
+    if not pairs:
+        return expression.where("false").select(F.lit("").alias("column_name"), "tissue", F.lit(0).cast("long").alias("genes"))
+    chosen = expression.sparkSession.range(1).select(F.inline(F.array(*pairs)))
+    counts = expression.groupBy("tissue").agg(F.count("*").alias("genes"))
+    return counts.join(chosen, "tissue").select("column_name", "tissue", "genes")
+
+
 def go_by_aspect(go: DataFrame, aspect: str) -> DataFrame:
     """Sorted distinct ontology ids per gene for one aspect code."""
     return (
@@ -203,43 +226,48 @@ def annotation_summary(
 
 
 def _matches(column: Column, marks: Sequence[str]) -> Column:
-    return F.lower(column).rlike("|".join(marks))
+    """True when the column contains one of the texts, any case; they are no patterns."""
+    return reduce(lambda a, b: a | b, [F.lower(column).contains(m) for m in marks], F.lit(False))
 
 
-def expression_sets(expression: DataFrame, patterns: dict[str, list[str]] | None = None) -> DataFrame:
+def expression_sets(
+    expression: DataFrame, patterns: dict[str, list[str]] | None = None, universe: DataFrame | None = None
+) -> DataFrame:
     """All expression-based sets in long form (set_name, fbgn), from one pass per gene.
 
-    expression: fbgn, tissue, rpkm with one row per pair. A tissue's level is the mean of
-    the samples that match it. Per tissue: high (>= 10) and enriched (>= 1 and >= twice the
-    gene's mean); plus ubiquitous, low, ovary/testis specific and maternal.
+    expression: fbgn, tissue, rpkm with one row per pair. universe: all genes (fbgn); those
+    with expression by default. A gene without a row for a tissue has level 0 there, so means
+    run over all tissues that match. Per tissue: high (>= 10) and enriched (>= 1 and >= twice
+    the gene's mean); plus ubiquitous, low, ovary/testis specific and maternal.
     """
     patterns = patterns or TISSUE_PATTERNS
     t, v = F.col("tissue"), F.col("rpkm")
-
-    def mean(marks: Sequence[str]) -> Column:
-        return F.avg(F.when(_matches(t, marks), v))
-
-    def total(marks: Sequence[str]) -> Column:
-        return F.sum(F.when(_matches(t, marks), v))
-
-    def rows(marks: Sequence[str]) -> Column:
-        return F.count(F.when(_matches(t, marks), v))
-
     # a sample name can count as head and as carcass; both lists are averaged together
-    somatic = (F.coalesce(total(["head"]), F.lit(0.0)) + F.coalesce(total(["carcass"]), F.lit(0.0))) / (
-        rows(["head"]) + rows(["carcass"])
-    )
-    levels = expression.groupBy("fbgn").agg(
-        F.avg(v).alias("_mean"),
+    lists = {
+        **{name: [m] for name, m in patterns.items()},
+        "_mean": None,
+        "_ovary": [["ovary"]],
+        "_testis": [["testis"]],
+        "_somatic": [["head"], ["carcass"]],
+        "_early": [["embryo_0", "embryo_2", "em0_2", "em2_4"]],
+        "_late": [["larva", "l3_", "adult"]],
+    }
+
+    def times(marks) -> Column:
+        """How often a tissue counts in a list."""
+        return F.lit(1) if marks is None else sum((_matches(t, m).cast("int") for m in marks), F.lit(0))
+
+    tissues = expression.select("tissue").where("tissue is not null").distinct()
+    counts = tissues.agg(*[F.sum(times(m)).alias(name) for name, m in lists.items()]).first().asDict()
+    sums = expression.groupBy("fbgn").agg(
         F.max(v).alias("_max"),
         F.count_if(v >= UBIQUITOUS_RPKM).alias("_wide"),
-        *[mean(m).alias(name) for name, m in patterns.items()],
-        mean(["ovary"]).alias("_ovary"),
-        mean(["testis"]).alias("_testis"),
-        somatic.alias("_somatic"),
-        mean(["embryo_0", "embryo_2", "em0_2", "em2_4"]).alias("_early"),
-        mean(["larva", "l3_", "adult"]).alias("_late"),
+        *[F.sum(v * times(m)).alias(name) for name, m in lists.items()],
     )
+    if universe is not None:
+        sums = universe.select("fbgn").distinct().join(sums, "fbgn", "left").fillna(0)
+    means = {name: F.col(name) / F.lit(float(n)) if (n := counts[name]) else F.lit(None).cast("double") for name in lists}
+    levels = sums.withColumns(means)
     c = F.col
     rules: dict[str, Column] = {}
     for name in patterns:

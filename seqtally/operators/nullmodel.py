@@ -148,12 +148,12 @@ def shuffle_set(seqs: DataFrame, n: int, seed: int = 42, key: str = "seq_id") ->
 
 
 def sample_sequences(seqs: DataFrame, fraction: float, seed: int = 42, key: str = "seq_id") -> DataFrame:
-    """Exactly int(n * fraction) rows, chosen by a seeded hash of the id.
+    """Exactly int(n * fraction) rows, those with the smallest md5 of `seed:id`.
 
     Ids are ordered in range slabs, so no task or driver holds the sample.
     """
     size = F.floor(seqs.select(F.count(F.lit(1)) * F.lit(fraction)).scalar())
-    order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     ids = with_row_number(seqs.select(key, order.alias("_h")), F.asc("_h"), F.asc(key))
     return seqs.join(ids.where(F.col("row_no") <= size).select(key), key, "left_semi")
 

@@ -13,19 +13,15 @@ from .shape import shown
 from .views import Tables
 
 
-def _tissues(t: Tables) -> list[tuple[str, str]]:
-    # sample names are metadata: a handful of distinct values
-    found = [r[0] for r in t.expression.select("tissue").distinct().orderBy("tissue").collect()]
-    return an.select_tissues(found)
-
-
-@query("selected_tissues")
+@query(
+    "selected_tissues",
+    # the five samples here match one key tissue each
+    """with n as (select tissue, count(*) as genes from expression group by 1)
+    select case tissue when 'adult_ovary' then 'ovary_rpkm' when 'testis_4d' then 'testis_rpkm' when 'embryo_0_2hr' then 'embryo_0_2h_rpkm' when 'adult_head' then 'head_rpkm'
+     when 'larva3_fat_body' then 'fat_body_rpkm' end as column_name, tissue, genes from n""",
+)
 def _(t: Tables):
-    pairs = _tissues(t)
-    label = F.lit(None).cast("string")
-    for tissue, column in pairs:
-        label = F.when(F.col("tissue") == tissue, column).otherwise(label)
-    return t.expression.groupBy(label.alias("column_name"), "tissue").agg(F.count("*").alias("genes"))
+    return an.tissue_columns(t.expression)
 
 
 @query(
@@ -105,15 +101,18 @@ def _expr_sql() -> str:
         "case when te >= 10 and te >= 5 * (s + 0.1) then 'expr_testis_specific' end",
         "case when ea >= 10 and ea >= 3 * (la + 0.1) then 'expr_maternal' end",
     ]
-    return f"""with l as (select fbgn, avg(rpkm) as m, max(rpkm) as mx, count(*) filter (where rpkm >= 5) as wide, {', '.join(cols)},
+    return f"""with u as (select fbgn from expression union select fbgn from go union select fbgn from localization union select fbgn from gene_groups),
+    ts as (select distinct tissue from expression), full_table as (select u.fbgn, ts.tissue, coalesce(e.rpkm, 0) as rpkm from u cross join ts left join expression e on e.fbgn = u.fbgn and e.tissue = ts.tissue),
+    l as (select fbgn, avg(rpkm) as m, max(rpkm) as mx, count(*) filter (where rpkm >= 5) as wide, {', '.join(cols)},
     avg(rpkm) filter (where {_like(['ovary'])}) as o, avg(rpkm) filter (where {_like(['testis'])}) as te, avg(rpkm) filter (where {_like(['head', 'carcass'])}) as s,
-    avg(rpkm) filter (where {_like(['embryo_0', 'embryo_2', 'em0_2', 'em2_4'])}) as ea, avg(rpkm) filter (where {_like(['larva', 'l3_', 'adult'])}) as la from expression group by fbgn)
+    avg(rpkm) filter (where {_like(['embryo_0', 'embryo_2', 'em0_2', 'em2_4'])}) as ea, avg(rpkm) filter (where {_like(['larva', 'l3_', 'adult'])}) as la from full_table group by fbgn)
     select set_name, fbgn from (select fbgn, unnest([{', '.join(rules)}]) as set_name from l) x where set_name is not null"""
 
 
 @query("expression_gene_sets", _expr_sql())
 def _(t: Tables):
-    return an.expression_sets(t.expression)
+    genes = compare.gene_universe(t.expression, t.go, t.localization, t.gene_groups)
+    return an.expression_sets(t.expression, universe=genes)
 
 
 def _go_sql() -> str:

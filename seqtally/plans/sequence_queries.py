@@ -122,11 +122,18 @@ def _(t: Tables):
 # shuffles and samples ------------------------------------------------------------------
 
 
-@query("shuffled_sequences")
+@query(
+    "shuffled_sequences",
+    # what a shuffle keeps; that it keeps the pairs too is what shuffle_verification shows
+    """select seq_id, cast(k as int) as replicate, concat(seq_id, '_shuffled_', k) as shuffled_id, cast(length(seq) as int) as length, left(seq, 1) as first, right(seq, 1) as last,
+    cast(length(seq) - length(replace(seq, 'A', '')) as int) as n_a from sequences, unnest(range(1, 4)) r(k) where seq <> ''""",
+)
 def _(t: Tables):
     seqs = t.sequences.where(F.length("seq") > 0).select("seq_id", "seq")
     made = nullmodel.dinucleotide_shuffle(seqs, n=3)
-    return made.select("seq_id", "replicate", "shuffled_id", F.length("seq").alias("length"), F.md5("seq").alias("digest"))
+    letters = [F.substring("seq", 1, 1).alias("first"), F.substring("seq", -1, 1).alias("last")]
+    n_a = F.length("seq") - F.length(F.translate("seq", "A", ""))
+    return made.select("seq_id", "replicate", "shuffled_id", F.length("seq").alias("length"), *letters, n_a.alias("n_a"))
 
 
 @query(
@@ -144,7 +151,11 @@ def _(t: Tables):
     return nullmodel.shuffle_set(seqs, 2)[1]
 
 
-@query("sampled_sequences")
+@query(
+    "sampled_sequences",
+    """select seq_id, cast(length(seq) as int) as length from (select *, row_number() over (order by md5(concat('42:', seq_id)), seq_id) as r, count(*) over () as n from sequences) x
+    where r <= floor(n * 0.1)""",
+)
 def _(t: Tables):
     return nullmodel.sample_sequences(t.sequences, 0.1).select("seq_id", F.length("seq").alias("length"))
 

@@ -9,7 +9,7 @@ from ..functions import sequence as sq
 from ..operators import rollups, signal
 from ..scale import stage
 from .registry import query as _query
-from .shape import shown, single, single_sql
+from .shape import narrow, narrow_sql, shown, single, single_sql
 from .views import Tables
 
 
@@ -64,14 +64,14 @@ def _(t: Tables):
     return signal.smooth(t.hits).groupBy("qseqid").agg(F.count("*").alias("positions"), *sums)
 
 
-# Level stretches must stay level, so both sides compare sums at single precision: the last
-# digits of a sum depend on the order of addition.
-POS1 = POS.replace("sum(c) as combined,", "cast(cast(sum(c) as float) as double) as combined,")
+# Level stretches must stay level, so both sides compare the leading bits of sums: the last
+# digits of a sum depend on the order of addition. Weights reach 1e180, so sizes are kept.
+POS1 = POS.replace("sum(c) as combined,", f"{narrow_sql('sum(c)')} as combined,")
 
 
 def _runs(t: Tables, metrics: list[str]) -> DataFrame:
     runs = signal.density_runs(t.hits, metrics)
-    return runs.withColumn("combined", F.col("combined").cast("float").cast("double"))
+    return runs.withColumn("combined", narrow(F.col("combined")))
 
 
 PEAKS = f"""with {POS1}, top as (select qseqid, max(combined) as mx from dens group by qseqid),
