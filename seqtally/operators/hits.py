@@ -116,6 +116,13 @@ def describe_hits(hits: DataFrame) -> DataFrame:
     return basic.join(quantiles(long, ["measure"], "v", {"v_median": 0.5}), "measure", "left")
 
 
+def replicate_statistics(hits: DataFrame, replicates: int, name: str = "replicate") -> DataFrame:
+    """`hit_statistics` of the replicates 1..n; one without any hit counts as zeros."""
+    every = hits.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias(name))
+    found = hit_statistics(hits.withColumn(name, F.col(name).cast("int")), [name])
+    return every.join(found, name, "left").fillna(0)
+
+
 def hit_statistics(hits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts, means, upper medians and quality counts per group (e.g. per replicate)."""
     by = list(by)

@@ -322,5 +322,5 @@ def _(t: Tables):
     made = stage(made)
     found = stage(_as_hits(sim.search(made.select("seq_id", "seq"), t.subject_seqs, k=11, min_score=12)))
     rep = F.split_part("qseqid", F.lit("_shuffled_"), F.lit(2)).alias("replicate")
-    reps = ht.hit_statistics(found.select("*", rep), ["replicate"])
+    reps = ht.replicate_statistics(found.select("*", rep), 3)
     return enrichment.null_comparison(real, reps, ["total_hits", "hits_hq", "mean_pident", "mean_length"])

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from .session import scratch_path
 
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 1024
 UNB = Window.unboundedPreceding
 
 
@@ -27,14 +26,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when Catalyst's size estimate lets Spark broadcast `df` on its own."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    except Exception:
-        return False
-    return 0 <= size <= int(limit)
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than `hot_rows` rows and the number of parts each is split into.
+
+    At most rows / hot_rows keys, whatever their number of rows; counted with a map-side combine.
+    """
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    return counts.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_splits"))
 
 
 def skew_join(
@@ -45,49 +43,35 @@ def skew_join(
     hot_rows: int = HOT_ROWS,
     force: bool = False,
 ) -> DataFrame:
-    """Equi join on shared column names that survives keys holding most of `left`.
-
-    A right side that Spark will broadcast needs no shuffle, so it is joined plainly.
-    Otherwise keys with more than `hot_rows` left rows get ceil(n / hot_rows) salts: left rows
-    pick one by hash, right rows of those keys (only those) are repeated per salt. The list
-    of hot keys is at most MAX_HOT_KEYS rows; a key outside it is joined unsalted, so the
-    result is complete whatever the list holds.
+    """Equi join on shared column names that survives keys holding most of either side.
+
+    A plain join is left to Spark, which broadcasts a side below its size threshold and, with
+    adaptive execution, splits the crowded partitions of a sort-merge join. `force` salts
+    by key instead, for what is crowded on both sides or aggregated on top: left rows of a key
+    with more than `hot_rows` rows pick one of its parts by hash and the right rows are
+    repeated for each; in an inner join keys crowded on the right are split the same way.
+    The lists of hot keys are joined, not broadcast, so they may be of any length.
     """
     on = list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot repeat the right side of a {how} join")
-    if not force and fits_broadcast(right):
+    if not force:
         return left.join(right, on, how)
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_splits"))
-    )
-    splits = F.coalesce(F.col("_splits"), F.lit(1))
-    salted = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), splits).cast("int"))
-        .drop("_splits")
-    )
-    repeated = (
-        right.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
-        .drop("_splits")
-    )
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan that has fewer splits than the session has cores.
-
-    For heavy per-row work on a small number of large files; a scan with enough splits is
-    returned as it is, so large inputs are not shuffled.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+    def salted(mine: DataFrame, other: DataFrame, hot: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
+        """`mine` with a part per row, `other` repeated for every part."""
+        parts = F.coalesce(F.col("_splits"), F.lit(1))
+        one = mine.join(hot, on, "left").withColumn(salt, F.pmod(F.xxhash64(*mine.columns), parts).cast("int"))
+        all_ = other.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1)))
+        return one.drop("_splits"), all_.drop("_splits")
+
+    by_left, by_right = hot_keys(left, on, hot_rows), hot_keys(right, on, hot_rows)
+    keys = [*on, "_salt"]
+    left, right = salted(left, right, by_left, "_salt")
+    if how == "inner":
+        right, left = salted(right, left, by_right, "_salt2")
+        keys.append("_salt2")
+    return left.join(right, keys, how).drop("_salt", "_salt2")
 
 
 def _range_parts(df: DataFrame, *order: Column) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "seqtally", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,16 +28,39 @@ def build_session(app: str = "seqtally", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, label: str = "table") -> str:
-    """A fresh path below the shared folder the cluster names in spark.checkpoint.dir.
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only a local session without that setting gets a temporary folder of its own; a
-    cluster session without it is an error, because executors could not share the files.
+    Only a local session without that setting gets a temporary folder of its own, made on
+    first use; a cluster session without it is an error, because executors could not share
+    the files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        app = spark.sparkContext.applicationId
-        base = _LOCAL_BASE.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_BASE:
+        _LOCAL_BASE[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_BASE[app]
+
+
+def scratch_path(spark: SparkSession, label: str = "table") -> str:
+    """A fresh path below the shared folder; `release` removes what was written to it."""
+    path = f"{scratch_base(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables this session has written; returns how many paths it named.
+
+    Call it when no result that reads them is needed any more, at the latest before stopping.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
