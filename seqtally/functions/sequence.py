@@ -80,6 +80,24 @@ def match_line(qseq: Column, sseq: Column) -> Column:
     return F.array_join(marks, "")
 
 
+def alignment_lines(qseq: Column, sseq: Column, qstart: Column, sstart: Column, plus: Column, width: int = 60) -> Column:
+    """An alignment in lines of `width` columns: query, marks and subject with the places at
+    both ends. Places advance by columns, the subject's backwards on the minus strand."""
+    n = F.length(qseq)
+    sign = F.when(plus, 1).otherwise(-1)
+
+    def line(i: Column) -> Column:
+        size = F.least(F.lit(width), n - i)
+        q, s = qstart + i, sstart + sign * i
+        query, subject = (F.substring(c, i + 1, F.lit(width)) for c in (qseq, sseq))
+        names = ["q_from", "query", "q_to", "marks", "s_from", "subject", "s_to"]
+        values = [q, query, q + size - 1, match_line(query, subject), s, subject, s + sign * (size - 1)]
+        return F.struct(*[v.alias(name) for name, v in zip(names, values)])
+
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, line)
+
+
 def wrap_lines(text: Column, width: int = 80) -> Column:
     """A newline after every full line of `width` characters but the last one."""
     return F.regexp_replace(text, f"(.{{{width}}})(?=.)", "$1\n")

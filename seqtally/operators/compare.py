@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import seq_hash
-from ..scale import skew_join
+from ..scale import skew_join, stage, with_row_number
 
 
 def set_partition(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -76,13 +76,23 @@ def filter_by_group(seqs: DataFrame, groups: DataFrame, name: str) -> DataFrame:
 
 
 def list_groups(
-    groups: DataFrame, search: str | None = None, min_genes: int = 1
+    groups: DataFrame, search: str | None = None, min_genes: int = 1, sort_by: str | None = None
 ) -> DataFrame:
-    """Group catalogue: genes per group, with an optional name search (any case)."""
+    """Group catalogue: genes per group, with an optional name search (any case).
+
+    sort_by "name" or "size" adds `rank`, the place in that order (names in any case, sizes
+    from the largest, ties by name), and `mean_genes` over the groups listed.
+    """
     out = groups.groupBy("group_name").agg(F.count_distinct("fbgn").alias("genes"))
     if search:
         out = out.where(F.lower("group_name").contains(search.lower()))
-    return out.where(F.col("genes") >= min_genes)
+    out = out.where(F.col("genes") >= min_genes)
+    if sort_by is None:
+        return out
+    orders = {"name": [F.asc(F.lower("group_name"))], "size": [F.desc("genes"), F.asc(F.lower("group_name"))]}
+    out = stage(out, "groups")
+    mean = out.agg(F.avg("genes")).scalar()
+    return with_row_number(out, *orders[sort_by], F.asc("group_name"), name="rank").withColumn("mean_genes", mean)
 
 
 def dedupe_sequences(seqs: DataFrame, order: str, key: str = "seq_id") -> DataFrame:

@@ -161,6 +161,24 @@ def _(t: Tables):
     return compare.list_groups(t.gene_groups, "BRAND#1", 10)
 
 
+@query(
+    "group_catalogue_by_size",
+    """with g as (select group_name, count(distinct fbgn) as genes from gene_groups group by 1) select group_name, genes, row_number() over (order by genes desc, lower(group_name), group_name) as rank,
+    round(avg(genes) over (), 6) as mean_genes from g""",
+)
+def _(t: Tables):
+    return shown(compare.list_groups(t.gene_groups, sort_by="size"))
+
+
+@query(
+    "group_catalogue_by_name",
+    """with g as (select group_name, count(distinct fbgn) as genes from gene_groups group by 1) select group_name, genes, row_number() over (order by lower(group_name), group_name) as rank,
+    round(avg(genes) over (), 6) as mean_genes from g""",
+)
+def _(t: Tables):
+    return shown(compare.list_groups(t.gene_groups, sort_by="name"))
+
+
 @query(
     "group_catalogue_overview",
     "with g as (select group_name, count(distinct fbgn) as n from gene_groups group by 1) select count(*) as groups, round(avg(n), 6) as mean_genes, max(n) as largest from g",

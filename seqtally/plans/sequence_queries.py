@@ -84,6 +84,27 @@ def _(t: Tables):
     )
 
 
+@query(
+    "alignment_blocks",
+    """with p as (select l_partkey as doc_id, min(qstart) as qs, min(sstart) as ss, min(dataset) <> 'R' as plus from hits group by 1),
+    a as (select doc_id, replace(seq, 'AC', 'A-') as q, substr(seq, 2) as s from sequences),
+    b as (select doc_id, substr(q, 1, least(length(q), length(s))) as q, substr(s, 1, least(length(q), length(s))) as s from a where least(length(q), length(s)) > 0),
+    c as (select b.*, qs, ss, case when plus then 1 else -1 end as g, unnest(range(0, length(q), 60)) as i from b join p using (doc_id)),
+    d as (select *, least(60, length(q) - i) as n, substr(q, i + 1, 60) as cq, substr(s, i + 1, 60) as cs from c)
+    select doc_id, cast(qs + i as int) as q_from, cast(qs + i + n - 1 as int) as q_to, cast(ss + g * i as int) as s_from, cast(ss + g * i + g * (n - 1) as int) as s_to, md5(cq) as query, md5(cs) as subject,
+    array_to_string(list_transform(list_zip(string_split(cq, ''), string_split(cs, '')), lambda z: case when z[1] = z[2] then '|' when z[1] = '-' or z[2] = '-' then ' ' else '.' end), '') as marks from d""",
+)
+def _(t: Tables):
+    minus = F.min("dataset") == "R"
+    places = t.hits.groupBy(F.col("l_partkey").alias("doc_id")).agg(F.min("qstart").alias("qs"), F.min("sstart").alias("ss"), (~minus).alias("plus"))
+    q, s = F.replace("seq", F.lit("AC"), F.lit("A-")), F.substring("seq", 2, 2_000_000_000)
+    n = F.least(F.length("q"), F.length("s"))
+    pairs = t.sequences.select("doc_id", q.alias("q"), s.alias("s")).select("doc_id", F.substring("q", F.lit(1), n).alias("q"), F.substring("s", F.lit(1), n).alias("s"))
+    lines = sq.alignment_lines(F.col("q"), F.col("s"), F.col("qs"), F.col("ss"), F.col("plus"))
+    cut = pairs.join(places, "doc_id").select("doc_id", F.inline(lines))
+    return cut.select("doc_id", "q_from", "q_to", "s_from", "s_to", F.md5("query").alias("query"), F.md5("subject").alias("subject"), "marks")
+
+
 KM = "(select doc_id, seq, unnest(range(1, length(seq) - {k} + 2)) as pos from sequences) x"
 
 

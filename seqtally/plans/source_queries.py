@@ -91,6 +91,24 @@ def _(t: Tables):
     return out.select("chrom", "start", "end", "category", "transcript", "subject", "pident", "length", "strand")
 
 
+@query(
+    "read_bed_hits_sampled",
+    """select chrom, bed_start as start, qseqid as transcript, sseqid as subject from (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as r from genomic_hits) x
+    where (r - 1) % 7 = 0""",
+)
+def _(t: Tables):
+    from ..functions.coords import pack_hit_name
+
+    named = t.genomic_hits.withColumn(
+        "name",
+        pack_hit_name(F.col("category"), F.col("l_orderkey"), F.col("qseqid"), F.col("sseqid"), F.col("pident"), F.col("length")),
+    )
+    path = scratch_path(t.spark, "bed")
+    # part files are written in key order, so their names and lines follow it
+    sinks.write_bed(named.orderBy(*KEYS), path)
+    return src.read_bed_hits(t.spark, path, every=7).select("chrom", "start", "transcript", "subject")
+
+
 @query(
     "read_conservation",
     "select qseqid as transcript, sseqid as subject, pident, length, score as mean0, score * 2 as score from hits",
@@ -410,6 +428,18 @@ def _(t: Tables):
     return ann.read_gene_groups(t.spark, path, by_name=True)
 
 
+@query(
+    "read_gene_group_details",
+    f"""select concat('FBgg', p_partkey) as group_id, p_brand as group_symbol, concat('Group of ', p_brand) as group_name, case when p_size % 2 = 0 then concat('FBgg', p_size) end as parent_id,
+    case when p_size % 2 = 0 then p_type end as parent_symbol, {PART_GENE} as fbgn, p_name as member_symbol from part""",
+)
+def _(t: Tables):
+    n, child = F.col("p_partkey"), F.col("p_size") % 2 == 0
+    parent = [F.when(child, c).otherwise("") for c in (fb("FBgg", F.col("p_size")), F.col("p_type"))]
+    line = F.concat_ws(TAB, fb("FBgg", n), "p_brand", F.concat(F.lit("Group of "), "p_brand"), *parent, fb("FBgn", n), "p_name")
+    return ann.read_gene_group_details(t.spark, save_lines(t.part, line, "groups", "## comment"))
+
+
 LOC_ALIAS = "select concat('Sy', cast(p_partkey as string)) as alias, concat('FBgn', cast(p_partkey as string)) as fbgn from part where p_partkey % 2 = 0"
 
 

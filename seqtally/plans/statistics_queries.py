@@ -97,9 +97,17 @@ def _(t: Tables):
     return shown(out.drop("mw_p"))
 
 
-@query("rank_test_pvalues")
+# the normal tail as 1 minus a series of positive terms
+RANK_P = f"""{VALUES}, z as (select u.set_name, n_in, n_out, case when n_in >= 3 and n_out >= 3 then u else cast('nan' as double) end as u, median_in, coalesce(median_out, 0) as median_out,
+  (greatest(u, n_in * n_out - u) - n_in * n_out / 2 - 0.5) / sqrt(2 * n_in * n_out / 12 * (n_in + n_out + 1 - (select t from tie) / ((n_in + n_out) * (n_in + n_out - 1)))) as x
+  from u left join mo on u.set_name = mo.set_name),
+ pv as (select set_name, n_in, n_out, u, median_in, median_out, case when n_in < 3 or n_out < 3 then cast('nan' as double) when x <= 0 then 1.0 else
+  1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 150), lambda k: exp(k * ln(4.0) + lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(x) - x * x))) end as mw_p from z)"""
+
+
+@query("rank_test_pvalues", f"with {RANK_P} select set_name, n_in, n_out, u, round(median_in, 6) as median_in, round(median_out, 6) as median_out, round(mw_p, 6) as mw_p from pv")
 def _(t: Tables):
-    return en.mann_whitney(_sets(t), en.gene_hit_density(_gene_hits(t)))
+    return shown(en.mann_whitney(_sets(t), en.gene_hit_density(_gene_hits(t))).drop("ties"))
 
 
 # any column in (0, 1] serves as p-values: here the evalue of each hit
@@ -131,32 +139,46 @@ def _enriched(t: Tables) -> DataFrame:
     return en.enrichment(t.gene_sets, gene_hits, positives=gene_hits.where(POSITIVE))
 
 
-@query("gene_set_enrichment")
-def _(t: Tables):
-    return _enriched(t)
+def _bh(source: str, p: str, q: str) -> str:
+    """Step-up q-values of a column; equal p-values share theirs, a missing one counts as 1."""
+    clean = f"case when {p} is null or isnan({p}) then 1 else {p} end"
+    return f"""(select * exclude (_p, _raw), least(1, min(_raw) over (order by _p desc)) as {q} from
+     (select *, _p * count(*) over () / count(*) over (order by _p) as _raw from (select *, {clean} as _p from {source}) x1) x2)"""
+
+
+CATEGORY = "case when starts_with(set_name, 'expr_') then 'expression' when starts_with(set_name, 'go_') then 'go' else 'other' end"
+# sets of at least five genes with both tests and their q-values
+TESTED = f"""with {METRICS}, {FISHER.split(f'{SETS}, ', 1)[1]}, {RANK_P.split(f'{SETS}, ', 1)[1]},
+ every as (select sm.*, a, b, c, d, odds_ratio, fisher_p, pv.u, median_in, median_out, mw_p, {CATEGORY.replace('set_name', 'sm.set_name')} as category
+  from sm join ora using (set_name) join fi using (set_name) left join pv using (set_name) where n_genes >= 5),
+ tested as (select * from {_bh(_bh('every', 'fisher_p', 'fisher_q'), 'mw_p', 'mw_q')} y)"""
+BY_CATEGORY = """select category, count(*) as n_sets, round(avg(mean_density), 6) as mean_density, count(*) filter (where fisher_q < 0.05 and odds_ratio > 1) as sig_enriched,
+    count(*) filter (where fisher_q < 0.05 and odds_ratio < 1) as sig_depleted from tested group by 1"""
 
 
-# the SQL twins below use Bonferroni-free columns: counts, odds ratios and densities
 @query(
-    "enrichment_categories",
-    f"""with {METRICS}, {TABLE.split(f'{SETS}, ', 1)[1]} select case when starts_with(m.set_name, 'expr_') then 'expression' when starts_with(m.set_name, 'go_') then 'go' else 'other' end as category,
-    count(*) as n_sets, round(avg(mean_density), 6) as mean_density, count(*) filter (where odds_ratio > 1) as sig_enriched,
-    count(*) filter (where odds_ratio < 1) as sig_depleted from sm m join ora o on m.set_name = o.set_name group by 1""",
+    "gene_set_enrichment",
+    TESTED
+    + """ select set_name, n_genes, n_with_hits, total_hits, total_utr_len, round(mean_density, 6) as mean_density, round(median_density, 6) as median_density, round(pct_with_hits, 6) as pct_with_hits,
+    round(sense_pct, 6) as sense_pct, a, b, c, d, round(odds_ratio, 6) as odds_ratio, round(fisher_p, 6) as fisher_p, u, round(median_in, 6) as median_in, round(median_out, 6) as median_out,
+    round(mw_p, 6) as mw_p, category, round(fisher_q, 6) as fisher_q, round(mw_q, 6) as mw_q from tested""",
 )
 def _(t: Tables):
-    both = en.set_metrics(_sets(t), _gene_hits(t)).join(_table(t), "set_name").withColumns(
-        {
-            "odds_ratio": st.odds_ratio("a", "b", "c", "d"),
-            "fisher_q": F.lit(0.0),
-            "category": set_category(F.col("set_name")),
-        }
-    )
-    return shown(en.enrichment_by_category(both))
+    return shown(_enriched(t))
 
 
-@query("enrichment_categories_tested")
+@query("enrichment_categories", TESTED + BY_CATEGORY)
 def _(t: Tables):
-    return en.enrichment_by_category(_enriched(t))
+    """The 2x2 test alone, without the rank test."""
+    sets = en.usable_sets(_sets(t), _universe(t))
+    tested = en.bh_adjust(en.fisher_exact(_table(t)).join(sets.select("set_name").distinct(), "set_name", "left_semi"), "fisher_p", "fisher_q")
+    both = en.set_metrics(sets, _gene_hits(t)).join(tested, "set_name")
+    return shown(en.enrichment_by_category(both.withColumn("category", set_category(F.col("set_name")))))
+
+
+@query("enrichment_categories_tested", TESTED + BY_CATEGORY)
+def _(t: Tables):
+    return shown(en.enrichment_by_category(_enriched(t)))
 
 
 CAP = "case when odds_ratio = cast('inf' as double) then 100 when odds_ratio = 0 then 0.01 else odds_ratio end"
@@ -184,9 +206,16 @@ def _(t: Tables):
     return shown(en.top_by_category(m, 10).select("category", "set_name", "mean_density", "rank"))
 
 
-@query("sets_by_importance")
+@query(
+    "sets_by_importance",
+    TESTED
+    + """, i as (select set_name, round(fisher_q, 6) as fisher_q, -log10(greatest(fisher_q, 1e-200)) + abs(least(greatest(log2(case when odds_ratio = cast('inf' as double) then 100 else odds_ratio end), -10), 10)) as importance
+     from tested where fisher_q < 0.05 and not isnan(odds_ratio) and odds_ratio > 0)
+    select set_name, fisher_q, round(importance, 6) as importance, row_number() over (order by importance desc, set_name) as rank from i qualify rank <= 20""",
+)
 def _(t: Tables):
-    return en.top_by_importance(_enriched(t), 20, alpha=1.01)
+    top = en.top_by_importance(_enriched(t), 20)
+    return shown(top.select("set_name", "fisher_q", "importance", "rank"))
 
 
 @query(

@@ -208,6 +208,18 @@ def read_gene_groups(spark: SparkSession, path: str, by_name: bool = False) -> D
     )
 
 
+def read_gene_group_details(spark: SparkSession, path: str) -> DataFrame:
+    """Every member with its group's id, symbol and name, the parent group and its own symbol."""
+    p = _tabs(F.col("value"))
+    fields = ["group_id", "group_symbol", "group_name", "parent_id", "parent_symbol", "fbgn", "member_symbol"]
+    return (
+        spark.read.text(path)
+        .where(~F.col("value").startswith("#") & (F.size(p) >= 7) & ~F.get(p, F.lit(0)).contains("FB_group"))
+        .select(*[F.when(F.get(p, F.lit(i)) != "", F.get(p, F.lit(i))).alias(name) for i, name in enumerate(fields)])
+        .where(F.col("fbgn").startswith(GENE))
+    )
+
+
 def read_localization(spark: SparkSession, path: str, alias_map: DataFrame | None = None) -> DataFrame:
     """fbgn and lower-case term, distinct; uninformative terms dropped, symbols resolved."""
     raw = spark.read.csv(path, header=True)

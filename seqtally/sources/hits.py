@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.coords import strand, unpack_hit_name
 from ..operators.hits import filter_hits
 from ..operators.intervals import syntenic_count
+from ..operators.nullmodel import systematic_sample
 
 _S, _D, _I = T.StringType(), T.DoubleType(), T.IntegerType()
 HIT_FIELDS = [
@@ -62,9 +63,23 @@ def parse_hit_line(line: Column) -> dict[str, Column]:
 BED_SCHEMA = "chrom string, start int, end int, name string, score string, strand string"
 
 
-def read_bed_hits(spark: SparkSession, path: str) -> DataFrame:
-    """BED rows with category, transcript, subject, pident and length out of the name."""
-    return unpack_hit_name(spark.read.csv(path, sep="\t", schema=BED_SCHEMA))
+def read_bed_hits(spark: SparkSession, path: str, every: int = 1) -> DataFrame:
+    """BED rows with category, transcript, subject, pident and length out of the name.
+
+    every=n keeps lines 1, 1 + n, 1 + 2n ... in file order (files of a folder by name).
+    """
+    if every <= 1:
+        return unpack_hit_name(spark.read.csv(path, sep="\t", schema=BED_SCHEMA))
+    names = [c.split() for c in BED_SCHEMA.split(", ")]
+    line = F.split("value", "\t")
+    numbered = spark.read.text(path).select(
+        *[F.get(line, F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(names)],
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_n"),
+    )
+    kept = systematic_sample(numbered, every, F.asc("_file"), F.asc("_block"), F.asc("_n"))
+    return unpack_hit_name(kept.drop("_file", "_block", "_n", "row_no"))
 
 
 def read_conservation(spark: SparkSession, path: str) -> DataFrame:
