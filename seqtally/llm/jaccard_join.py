@@ -6,9 +6,10 @@ orders are used: documents whose prefix shares too little under the first are ou
 left is filtered under the second, whose shared tokens are then taken rarest first; a pair
 that meets there must share enough of the first order's prefix as well before it is verified.
 
-Equal sets are one class from the start. Inside a bucket of candidates a few leaders are
-compared with all others, and only pairs of still different components are compared one by
-one, so a large group of near copies costs a few rows per member, and no link is lost.
+Equal sets are one class from the start. A bucket's most central set is compared with all
+others of the bucket. Pairs that are then in different components are compared in blocks,
+inside tasks, and only links that join components leave them: a large group of near copies
+costs a few rows per member, and no link that matters to a component is lost.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ class Settings:
     shingle: int = 5
     percent: int = 80
     slack: int = 20
-    rounds: int = 2
     token_log_bits: int = 26
     doc_log_bits: int = 24
 
@@ -260,7 +260,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) between classes that make them the components they form."""
-    size_ok = (F.least("n", "m") * 100) >= s.percent * F.greatest("n", "m")
     first = shared_tokens(classes.select("node", "n", F.col("prefix").alias("tokens")), s)
     first = stage(first.select("node").distinct(), "first")
     sets = stage(full_sets(docs, first, s), "sets")
@@ -270,45 +269,94 @@ def near_links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     ranked = second.withColumn("r", F.row_number().over(own)).where(F.col("r") <= F.col("s") - _needed(s) + 1)
     centre = second.groupBy("node").agg((F.sum("df") / F.max("n")).alias("c"))
     rows = stage(ranked.select("node", "n", "token").join(centre, "node"), "buckets")
-    tried = links = leaders = comp = None
-    for _ in range(s.rounds):
-        if comp is None:
-            live = rows.withColumn("comp", F.col("node"))
-            pool = live
-        else:
-            live = _open_buckets(rows, comp)
-            led = leaders.join(comp.select(F.col("node").alias("leader"), F.col("comp").alias("led")), "leader", "left")
-            led = led.select("token", F.coalesce("led", "leader").alias("led"))
-            pool = live.join(led, "token", "left").where("led is null or comp <> led")
-        leaders = pool.groupBy("token").agg(F.max(F.struct("c", F.negative("node").alias("k"), "n", "comp")).alias("x"))
-        leaders = leaders.select("token", F.negative("x.k").alias("leader"), F.col("x.n").alias("m"), F.col("x.comp").alias("own"))
-        leaders = stage(leaders, "leaders")
-        pairs = live.join(leaders, "token").where((F.col("node") != F.col("leader")) & (F.col("comp") != F.col("own")) & size_ok)
-        pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = stage(pairs if tried is None else _untried(pairs, tried), "pairs")
-        found = verify(pairs, sets, s)
-        links = stage(found if links is None else links.unionByName(found), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        comp = components(links)
-    # whatever the leaders did not settle: all pairs of different components of a bucket
-    live = stage(_open_buckets(rows, comp), "open")
-    left = live.select("token", F.col("node").alias("a"), "n", F.col("comp").alias("x"))
-    right = live.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("y"))
-    rest = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & size_ok)
-    rest = stage(_untried(rest.select("a", "b").distinct(), tried), "rest")
-    return links.unionByName(verify(rest, sets, s))
-
-
-def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(both, ["a", "b"], "left_anti")
-
-
-def _open_buckets(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold several components, with their component."""
-    known = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return known.join(several.select("token"), "token")
+    leaders = rows.groupBy("token").agg(F.max(F.struct("c", F.negative("node").alias("k"))).alias("x"))
+    met = rows.join(leaders.select("token", F.negative("x.k").alias("leader")), "token").where("node <> leader")
+    met = stage(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "met")
+    links = stage(verify(met, sets, s), "links")
+    return links.unionByName(settle(met, components(links), sets, s))
+
+
+def settle(met: DataFrame, comp: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links between members of a leader's group that are still in different components.
+
+    Two texts that share a bucket were both met (a, b) by its leader a, so they are members of
+    one group; groups whose leaders are linked are one. A group is cut into chunks by hash, and
+    each pair of chunks is a block that a task compares in memory. Only links that join
+    components go out, fewer than a block has members.
+    """
+    by_b = comp.select(F.col("node").alias("b"), F.col("comp").alias("own"))
+    by_a = comp.select(F.col("node").alias("a"), F.col("comp").alias("led"))
+    members = met.join(by_b, "b", "left").join(by_a, "a", "left")
+    members = members.select(F.coalesce("led", "a").alias("key"), "b", F.coalesce("own", "b").alias("own")).distinct()
+    members = stage(members, "members")
+    stats = members.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("k"))
+    live = members.join(stats.where("lo < hi").select("key", "k"), "key")
+    live = live.withColumn("i", F.pmod(F.xxhash64("b"), F.col("k")))
+    blocks = live.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    blocks = blocks.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "b", "own")
+    rows = blocks.join(sets.select(F.col("node").alias("b"), "tokens"), "b").select("key", "lo", "hi", "i", "b", "own", "tokens")
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(batches):
+        key, block = None, []
+        for batch in batches:
+            found = []
+            tokens = batch.column(6)
+            values = tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            ends = np.cumsum(np.r_[0, tokens.value_lengths().to_numpy(zero_copy_only=False)])
+            for r, (k, lo, hi, i, b, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
+                if key != (k, lo, hi):
+                    found += block_links(block, key, s)
+                    key, block = (k, lo, hi), []
+                block.append((i, b, own, values[ends[r] : ends[r + 1]].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        found = block_links(block, key, s)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def block_links(block: list[tuple[int, int, int, np.ndarray]], key, s: Settings) -> list[tuple[int, int]]:
+    """Links that join components among the (chunk, node, component, set) rows of a block.
+
+    Intersections are counted through the block's inverted lists, one set against all at once.
+    """
+    if len({own for _, _, own, _ in block}) < 2:
+        return []
+    chunk, node, own = (np.array([r[c] for r in block], np.int64) for c in range(3))
+    sizes = np.array([len(r[3]) for r in block], np.int64)
+    tokens = np.concatenate([r[3] for r in block])
+    holder = np.repeat(np.arange(len(block)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    _, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    lists = holder[order]
+    starts = np.r_[0, np.cumsum(count)]
+    ends = np.r_[0, np.cumsum(sizes)]
+    across = key[1] != key[2]
+    parent = {int(c): int(c) for c in np.unique(own)}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    found = []
+    for r in range(len(block)):
+        if across and chunk[r] != key[1]:
+            continue  # rows of one chunk against all of the other
+        codes = code[ends[r] : ends[r + 1]]
+        n = count[codes]
+        at = np.repeat(starts[codes] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+        both = np.bincount(lists[at], minlength=len(block))
+        hit = (100 * both >= s.percent * (sizes[r] + sizes - both)) & (own != own[r])
+        for q in np.flatnonzero(hit).tolist():
+            x, y = root(int(own[r])), root(int(own[q]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((int(node[r]), int(node[q])))
+    return found
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from seqtally.llm import jaccard_join
 from seqtally.llm.jaccard_join import Settings, components, linked, near_duplicates, second_order, shingles
 
 
@@ -71,13 +72,13 @@ def test_a_doc_id_on_several_texts_holds_them_together(spark, docs_of):
     assert result(near_duplicates(docs_of(rows))) == brute(rows) == sorted([("3", 46, 3), ("4", 47, 3), ("5", 46, 3), ("5", 46, 3), ("9", 3, 9)])
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
-def test_large_group_of_near_copies(spark, docs_of, rounds):
+@pytest.mark.parametrize("chunk", [7, 512])
+def test_large_group_of_near_copies(spark, docs_of, chunk, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
     rnd = random.Random(9)
     base = " ".join(f"v{i}" for i in range(150))
-    rows = [(i, varied(rnd, base, 2)) for i in range(1, 150)] + [(500, base)]
-    got = near_duplicates(docs_of(rows), Settings(rounds=rounds))
-    assert result(got) == brute(rows)
+    rows = [(i, varied(rnd, base, 1 + i % 5)) for i in range(1, 150)] + [(500, base)]
+    assert result(near_duplicates(docs_of(rows))) == brute(rows)
 
 
 def test_filters_lose_no_link():
