@@ -52,7 +52,9 @@ def op1_edit_aware_tokens(spark: SparkSession, folder: str, vocabulary: str = VO
 @query
 def op2_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Quality rules with the distance of every document from its language's reference."""
-    return quality(table(spark, folder, "documents"))
+    found = quality(table(spark, folder, "documents"))
+    distances = {c: F.round(c, 6) for c in ("class_distance", "word_distance")}
+    return found.withColumns(distances)
 
 
 @query

@@ -78,3 +78,72 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from comp left
 """
 
 CHECKS["op9_jaccard_join"] = _LINKS
+
+_ARCHIVE = r"""
+with p as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h, strlen(coalesce(html, ''))::bigint as payload_bytes from pages),
+g as (select *, max(page_id) over (partition by h) as top from p),
+parts as (select page_id, ('0x' || substr(h, 5 * i + 1, 5))::int as v, i from g, unnest(range(0, 8)) r(i)),
+digits as (
+  select page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1), '' order by i, s desc) as payload_digest
+  from parts, (values (15), (10), (5), (0)) t(s) group by page_id)
+select g.page_id, payload_bytes, payload_digest, case when top = g.page_id then 'response' else 'revisit' end as record_type,
+  case when top <> g.page_id then top end as refers_to
+from g join digits using (page_id)
+"""
+
+CHECKS["op6_warc_salvage"] = _ARCHIVE
+
+_QUALITY = r"""
+with texts as (
+  select doc_id, lang, coalesce(text, '') as t, row_number() over () as r,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents),
+base as (
+  select *, len(w) as n_words, coalesce(length(list_aggregate(w, 'string_agg', '')), 0) as word_chars, length(t) as chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) as n_symbols,
+    length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) as digit,
+    length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')) as upper_case,
+    length(t) - length(regexp_replace(t, '[!-/:-@\[-`{-~]+', '', 'g')) as punctuation,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) as lines from texts),
+windows as (
+  select r, i, list_aggregate(w[i : i + 7], 'string_agg', ' ') as p from (select r, w, unnest(range(1, len(w) - 6)) as i from base)),
+twice as (select r, i from windows qualify count(*) over (partition by r, p) > 1),
+covered as (select r, count(distinct k) as n_repeat_words from (select r, unnest(range(i, i + 8)) as k from twice) group by r),
+words as (select r, lang, lower(x) as x from (select r, lang, unnest(w) as x from base)),
+counts as (select lang, x, count(*) as n from words where lang is not null group by all),
+large as (
+  select lang, sum(n) as total from counts group by lang
+  having sum(n) >= (select sum(n) from counts) * 0.01),
+common as (select lang, x from counts join large using (lang) where n >= total * 0.005),
+hist as (
+  select b.r, b.lang, c.x, count(v.x) as n from base b join common c on c.lang = b.lang
+  left join words v on v.r = b.r and v.x = c.x group by all),
+bins as (
+  select r, lang, x, n::double as n from hist
+  union all select r, any_value(b.lang), null, any_value(b.n_words) - sum(h.n) from hist h join base b using (r) group by r),
+classes as (
+  select r, lang, unnest(['letter', 'space', 'digit', 'upper', 'punctuation']) as x,
+    unnest([word_chars - digit - upper_case - punctuation, chars - word_chars, digit, upper_case, punctuation])::double as n
+  from base where r in (select r from hist)),
+kinds as (select 'w' as kind, * from bins union all select 'c', * from classes),
+ref as (select kind, lang, x, sum(n) as n from kinds group by all),
+shares as (
+  select b.kind, r, b.n / sum(b.n) over (partition by b.kind, r) as p, q.n / sum(q.n) over (partition by b.kind, r) as q
+  from kinds b join ref q on q.kind = b.kind and q.lang = b.lang and q.x is not distinct from b.x
+  where r in (select r from base where n_words >= 50 and chars >= 200)),
+far as (
+  select kind, r, sqrt(greatest(0, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end
+    + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)) as d from shares group by kind, r),
+judged as (
+  select base.*, coalesce(n_repeat_words, 0) as rep, fc.d as class_distance, fw.d as word_distance,
+    n_words < 20 or 100 * coalesce(n_repeat_words, 0) > 30 * n_words as base_failed
+  from base left join covered using (r)
+  left join (select r, d from far where kind = 'c') fc using (r) left join (select r, d from far where kind = 'w') fw using (r))
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, rep::bigint as n_repeat_words, base_failed,
+  not base_failed and not coalesce(class_distance > 0.24 or word_distance > 0.315, false) as kept,
+  lang, round(class_distance, 6) as class_distance, round(word_distance, 6) as word_distance
+from judged
+"""
+
+CHECKS["op2_distribution_divergence"] = _QUALITY

@@ -8,7 +8,7 @@ import oracle
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op4_source_mix", "op5_fm_index", "op9_jaccard_join"])
+@pytest.mark.parametrize("name", ["op2_distribution_divergence", "op4_source_mix", "op5_fm_index", "op6_warc_salvage", "op9_jaccard_join"])
 def test_query_equals_check_text(spark, name):
     con = oracle.connect(FOLDER)
     verdict, detail = oracle.compare(__spark_entry__.queries()[name](spark, FOLDER), con, __spark_entry__.oracle_sql()[name])
