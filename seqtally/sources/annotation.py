@@ -128,16 +128,25 @@ def _find(header: list[str], test) -> int | None:
     return next((i for i, c in enumerate(header) if test(c.lower())), None)
 
 
-def _header(spark: SparkSession, path: str, accept) -> tuple[str, list[str]]:
-    """First line the filter accepts, and its tab fields. One line, read on the driver."""
-    line = spark.read.text(path).where(accept(F.col("value"))).limit(1).collect()[0][0]
-    return line, line.split("\t")
+EXPRESSION = "fbgn string, tissue string, rpkm double"
+
+
+def _header(spark: SparkSession, path: str, accept) -> tuple[str | None, list[str]]:
+    """First line the filter accepts, and its tab fields; none in a file without such a line.
+    One line, read on the driver."""
+    found = spark.read.text(path).where(accept(F.col("value"))).limit(1).collect()
+    return (found[0][0], found[0][0].split("\t")) if found else (None, [])
 
 
 def read_expression_long(spark: SparkSession, path: str) -> DataFrame:
-    """fbgn, tissue, rpkm; columns found by header text, the last value of a pair wins."""
+    """fbgn, tissue, rpkm; columns found by header text, the last value of a pair wins.
+
+    A file without a header line has no rows.
+    """
     ok = ~F.col("value").startswith("#")
     line, header = _header(spark, path, lambda v: ~v.startswith("#") & v.rlike("(?i)rpkm|FBgn(?![0-9])"))
+    if line is None:
+        return spark.createDataFrame([], EXPRESSION)
     gene = _find(header, lambda c: "fbgn" in c)
     source = _find(header, lambda c: "source_name" in c)
     value = _find(header, lambda c: "rpkm" in c)
@@ -163,6 +172,8 @@ def read_expression_matrix(spark: SparkSession, path: str) -> DataFrame:
     # Columns that describe the gene rather than a sample.
     about = ("gene_primary_id", "gene_symbol", "gene_fullname", "gene_type")
     line, header = _header(spark, path, lambda v: ~v.startswith("##") & v.rlike("|".join(about)))
+    if line is None:
+        return spark.createDataFrame([], EXPRESSION)
     names = [c.lstrip("#") for c in header]
     gene = next((i for i, c in enumerate(names) if c in about and ("primary_id" in c or "fbgn" in c)), 0)
     samples = [(i, header[i]) for i, c in enumerate(names) if c not in about]

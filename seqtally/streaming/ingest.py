@@ -38,10 +38,11 @@ def tally_report(tallies: DataFrame, min_hits: int = 10) -> DataFrame:
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
-    """Process what is in `folder`, then stop; each batch replaces the table at `out`.
+    """Process what is in `folder`, then stop; each batch adds its changed rows to the table at `out`.
 
-    Tallies are written whole per batch under a batch number, so a batch that is retried
-    after a failure writes the same rows again and readers pick the highest number.
+    A batch writes the new tallies of the subjects it touched under its number, so one that
+    is retried after a failure writes the same rows again, and `latest` takes each subject's
+    row of the highest number.
     """
 
     def save(batch: DataFrame, number: int) -> None:
@@ -49,7 +50,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_pe
 
     return (
         running_tallies(stream_hits(spark, folder, files_per_trigger))
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -58,7 +59,8 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_pe
 
 
 def latest(spark: SparkSession, out: str) -> DataFrame:
-    """Tallies of the newest batch."""
+    """The newest tallies of every subject."""
     every = spark.read.parquet(out)
-    newest = every.agg(F.max("batch")).scalar()
-    return every.where(F.col("batch") == newest).drop("batch")
+    values = [c for c in every.columns if c not in ("te_id", "batch")]
+    newest = every.groupBy("te_id").agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return newest.select("te_id", "v.*")

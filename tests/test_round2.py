@@ -87,3 +87,26 @@ def test_candidate_samples_are_bounded_and_enough(spark):
     assert len(few) < 120
     assert annotation.select_tissues(few) == annotation.select_tissues(sorted(t for t, _ in rows))
     assert {r.column_name for r in annotation.tissue_columns(df).collect()} >= {"ovary_rpkm", "head_rpkm"}
+
+
+def test_expression_files_without_a_header(spark, tmp_path):
+    from seqtally.sources.annotation import read_expression_long, read_expression_matrix
+
+    (tmp_path / "empty.tsv").write_text("")
+    for read in (read_expression_long, read_expression_matrix):
+        got = read(spark, str(tmp_path / "empty.tsv"))
+        assert got.columns == ["fbgn", "tissue", "rpkm"] and got.count() == 0
+
+
+def test_tallies_take_the_newest_row_of_each_subject(spark, tmp_path):
+    from seqtally.streaming import ingest
+
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    line = "q\t{}\t90\t50\t0\t0\t1\t50\t1\t50\t0.001\t60\n"
+    (tmp_path / "in" / "a.tsv").write_text(line.format("te1") + line.format("te2"))
+    ingest.ingest(spark, folder, out, state).awaitTermination()
+    (tmp_path / "in" / "b.tsv").write_text(line.format("te2") + line.format("te3"))
+    ingest.ingest(spark, folder, out, state).awaitTermination()
+    assert {r.te_id: r.total_hits for r in ingest.latest(spark, out).collect()} == {"te1": 1, "te2": 2, "te3": 1}
+    assert spark.read.parquet(out).count() == 4  # changed subjects only
