@@ -57,7 +57,7 @@ class Settings:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
@@ -112,7 +112,7 @@ def summaries(docs: DataFrame, s: Settings) -> DataFrame:
                 own = shingles(text, s.shingle)
                 n.append(len(own))
                 digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                prefix.append(own[: s.prefix(len(own))] if len(own) else own)
+                prefix.append(own[: s.prefix(len(own))].copy())  # a view would hold the whole set
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _longs(prefix)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "digest", "prefix"])
 

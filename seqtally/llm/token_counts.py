@@ -62,7 +62,7 @@ class _Known(dict):
         self.encoding = encoding
 
     def __missing__(self, piece: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 400_000:
             self.clear()
         n = len(self.encoding.encode_ordinary(piece))
         if len(piece) < 64:

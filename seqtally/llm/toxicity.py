@@ -36,7 +36,7 @@ class _Hashes(dict):
     """Hash of each word seen; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = (zlib.crc32(word) << 20) ^ zlib.adler32(word)
         return value
