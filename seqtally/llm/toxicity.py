@@ -36,7 +36,7 @@ class _Hashes(dict):
     """Hash of each word seen; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = (zlib.crc32(word) << 20) ^ zlib.adler32(word)
         return value
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Model, text: Column | None = None) -> Column:
                 chunk.append(h)
                 own.append(k)
                 size += len(h)
-            if size > 500_000:
+            if size > 200_000:
                 flush()
                 chunk, own, size = [], [], 0
         flush()
