@@ -2,8 +2,8 @@
 
 The pages of a host are merged into one tree of style nodes (paths of elements with their
 classes). A node whose presentation and content hardly vary over the site's pages, measured
-by entropy, has low importance; its branch is cut out of every page. What elements say about
-themselves (nav, footer, class="ad", article) comes first.
+by entropy, has low importance; its branch is cut out of every page, also inside article and
+main. What elements say about themselves (nav, footer, class="ad") comes first.
 """
 
 from __future__ import annotations
@@ -172,25 +172,42 @@ def clean(raw: str) -> str:
 
 
 def extract(page: str | None, noise_keys: frozenset[int] | set[int] = frozenset()) -> str:
-    """Main text of a page: its blocks outside furniture and low-importance branches."""
-    keep = []
-    dropped: dict[str, bool] = {}
-    for node, raw in blocks_of(page):
+    """Main text of a page: its blocks outside furniture and low-importance branches.
+
+    Content roots (outermost article, main) win over other text. Where the host has
+    low-importance nodes, a low root loses to another root or to longer text outside, and a
+    root with less text than what is left outside does not displace that. Inside a root that
+    is low as a whole (copies of one page) no branch stands out, so none is cut there.
+    """
+    inside, low_inside, outside = [], [], []
+    seen: dict[tuple[str, bool], tuple[bool, bool]] = {}
+
+    def verdict(node):
+        """Whether the node is in a low branch, and whether its content root is low."""
+        if (node.path, node.content) not in seen:
+            up, low, root = node, False, None
+            while up is not None:
+                if up.content and not (up.parent and up.parent.content):
+                    root = _key(up.path) in noise_keys
+                    break
+                low = low or _key(up.path) in noise_keys
+                up = up.parent
+            seen[node.path, node.content] = low, bool(root)
+        return seen[node.path, node.content]
+
+    for at, (node, raw) in enumerate(blocks_of(page)):
         if node.noise or not (text := clean(raw)):
             continue
-        if noise_keys and not node.content:
-            path = node.path
-            if path not in dropped:
-                up, low = node, False
-                while up is not None and not low:
-                    low = _key(up.path) in noise_keys
-                    up = up.parent
-                dropped[path] = low
-            if dropped[path]:
-                continue
-        keep.append((node.content, text))
-    main = [t for c, t in keep if c] or [t for _, t in keep]
-    return "\n\n".join(main)
+        low, low_root = verdict(node) if noise_keys else (False, False)
+        if low_root:
+            low_inside.append((at, text))
+        elif not low:
+            (inside if node.content else outside).append((at, text))
+    size = lambda blocks: sum(len(text) for _, text in blocks)
+    main = inside or low_inside or outside
+    if noise_keys and size(outside) > size(main):
+        main = sorted(inside + outside)
+    return "\n\n".join(text for _, text in main)
 
 
 def style_rows(page: str | None) -> dict[str, tuple[int, int]]:
@@ -253,7 +270,8 @@ def noise_nodes(pages: DataFrame, s: Settings) -> DataFrame:
 def extract_text(pages: DataFrame, settings: Settings | None = None) -> DataFrame:
     """page_id, url and text for every row of `pages` (page_id, url, html).
 
-    Text inside article or main elements wins over other text of the page. A null or empty
+    Text inside article or main elements wins over other text of the page, unless the style
+    tree tells that the main text is elsewhere. A null or empty
     html, and a page that is all furniture, have the text ""; a null url belongs to the host
     "". Repeated rows are pages of their own; other columns are not read; an empty table gives
     an empty result. Nothing is cut from long pages.

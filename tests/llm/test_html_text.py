@@ -35,3 +35,20 @@ def test_site_style_tree_removes_what_hardly_varies(spark):
     assert extract_text(pages.where("false")).count() == 0
     low = noise_nodes(pages.drop("host", "text", "nodes").selectExpr("*", "'a' as host").where("page_id < 20"), Settings()).collect()
     assert len(low) == 1 and len(low[0].nodes) == 3  # the top, the legal block and its paragraph
+
+
+def test_style_tree_decides_inside_and_between_content_roots(spark):
+    story = lambda i: f"Story {i} " + " ".join(f"w{i}x{k}" for k in range(30))
+    same = "<div class=x12><p>Sign up today</p></div>"
+    inner = lambda i: f"<body><article><p>{story(i)}</p>{same}</article></body>"
+    card = lambda i: f"<body><article><h2>Our best offer</h2></article><div class=c7><p>{story(i)}</p></div>{same}</body>"
+    vary = lambda i: f"<body><article><h2>Next {i}</h2></article><div class=c7><p>{story(i)}</p></div>{same}</body>"
+    copy = lambda i: f"<body><article><p>{story(0)}</p></article></body>"
+    kinds = [inner, card, vary, copy]
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", make(i)) for h, make in enumerate(kinds) for i in range(20)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == story(i)
+        assert got[100 + i] == story(i)
+        assert got[200 + i] == f"Next {i}\n\n{story(i)}"
+        assert got[300 + i] == story(0)
