@@ -28,12 +28,11 @@ _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Settings:
-    """A segment stays literal when it holds `min_share` of the pages seen at its place (below
-    the same parent segment) and at least `min_support` pages; so a place has at most
-    1 / min_share literals. Branches are merged when their bad rates differ by less than
-    `max_z` standard errors. `prior` labelled pages at the parent's rate smooth a rate."""
+    """A segment stays literal when it holds at least `min_support` pages at its place (below the
+    same parent segment), whatever the size of its host. Branches are merged when their bad
+    rates differ by less than `max_z` standard errors. `prior` labelled pages at the parent's
+    rate smooth a rate."""
 
-    min_share: float = 0.02
     min_support: int = 3
     max_z: float = 1.96
     prior: float = 10.0
@@ -74,10 +73,7 @@ def templates(counted: DataFrame, s: Settings) -> DataFrame:
     places = counted.select("host", "shape", "n", F.posexplode(segments).alias("at", "segment"))
     places = places.withColumn("before", F.when(F.col("at") > 0, F.get(F.split("shape", "/"), F.col("at") - 1)).otherwise(""))
     own = places.groupBy("host", "at", "before", "segment").agg(F.sum("n").alias("n"))
-    every = own.groupBy("host", "at", "before").agg(F.sum("n").alias("all"))
-    literal = own.join(every, ["host", "at", "before"]).where(
-        (F.col("n") >= s.min_support) & (F.col("n") >= F.col("all") * s.min_share)
-    )
+    literal = own.where(F.col("n") >= s.min_support)
     named = places.drop("n").join(literal.select("host", "at", "before", "segment", F.lit(True).alias("kept")), ["host", "at", "before", "segment"], "left")
     name = F.when(F.col("kept") | (F.col("segment") == ""), F.col("segment")).otherwise("*")
     whole = named.groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("at", name.alias("name")))).alias("parts"))

@@ -55,3 +55,14 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert filter_urls(pages_of(spark, rows).where("false"), labels_of(spark)).count() == 0
     strict = filter_urls(pages_of(spark, rows), labels_of(spark, [(1, True)]), settings=Settings(prior=0.1)).where("verdict = 'block'")
     assert strict.where(F.col("host") == "a.org").count() == 3
+
+
+def test_a_small_section_of_a_large_host_is_judged_by_its_own_labels(spark):
+    names = ["casino"] + [f"s{'abcdefghij'[k % 10]}{'klmnopq'[k // 10]}" for k in range(70)]
+    urls = [(100 * k + i, f"http://big.org/{name}/{i}.html") for k, name in enumerate(names) for i in range(15 if k == 0 else 14)]
+    urls += [(100_000 + i, f"http://small.org/casino/{i}.html") for i in range(15)] + [(200_000 + i, f"http://small.org/clean/{i}.html") for i in range(30)]
+    bad = [(i, "/casino/" in url) for i, url in urls]
+    got = filter_urls(pages_of(spark, urls), labels_of(spark, bad)).collect()
+    assert {r.verdict for r in got if r.path.startswith("/casino/")} == {"block"}
+    assert {r.verdict for r in got if not r.path.startswith("/casino/")} == {"allow"}
+    assert {r.template for r in got if r.host == "big.org"} == {"/casino/{n}.html", "/*/{n}.html"}
