@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import find_contamination
+from .hard_negatives import hard_negatives
 from .html_text import extract_text, host_of
 from .jaccard_join import near_duplicates
 from .language import identify
@@ -149,6 +150,13 @@ def op10_path_templates(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(pages, linked.select("page_id", "bad"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Negatives in the window below each of the five best positives of every hundredth vector."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=moved)
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -147,3 +147,25 @@ from judged
 """
 
 CHECKS["op2_distribution_divergence"] = _QUALITY
+
+CHECKS["op11_hard_negatives"] = """
+with good as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.r as a, a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+    list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from good a join good c on a.r <> c.r where a.vec_id % 100 = 0),
+positives as (
+  select a, anchor_id, vec_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by a order by score desc, vec_id) <= 5),
+windows as (
+  select p.a, p.positive_id, p.anchor_id, p.positive_score, n.vec_id as negative_id, n.score as negative_score,
+    row_number() over (partition by p.a, p.positive_id order by n.score desc, n.vec_id) as rank
+  from positives p join pairs n on n.a = p.a and not n.same
+    and 80 * p.positive_score <= 100 * n.score and n.score <= p.positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from windows where rank <= 5
+"""
