@@ -17,6 +17,7 @@ from .html_text import extract_text, host_of
 from .jaccard_join import near_duplicates
 from .language import identify
 from .mixing import mix
+from .packing import pack_documents, read_vocabulary
 from .quality import quality
 from .query_sql import CHECKS
 from .token_counts import edit_aware_counts, read_ranks
@@ -157,6 +158,18 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives(table(spark, folder, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=moved)
 
 
+@query
+def op12_shortest_pack_first(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """Pieces of all documents packed into sequences of 2048 tokens."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pack_documents(docs, read_vocabulary(vocabulary), keep_ids=False)
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
