@@ -16,8 +16,13 @@ named like a result column are replaced by it. Empty tables give empty tables.
 
 from __future__ import annotations
 
+import json
+import string
 import zlib
+from array import array
 from collections.abc import Sequence
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,7 +36,12 @@ LENGTH = 2048
 END_ID = 1
 #: Text is cut at these before encoding; no token of the vocabulary spans one.
 SPACES = byte_kinds(b"\t\n\x0b\x0c\r ")
+#: Fixed value: a pattern of pre-tokens under which letters, digits and marks never share one
+#: but for apostrophes, and a digit stands alone.
+LETTERS_DIGITS_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SLICE_BYTES = 8 << 20
+#: encoded words a worker remembers, some 200 bytes each
+KNOWN_WORDS = 1 << 18
 
 
 def read_vocabulary(path: str) -> str:
@@ -40,16 +50,52 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
-def encode(texts, tokenizer, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _tokenizer(vocabulary: str):
+    """Tokenizer, cuts and known words of a worker; tasks of one vocabulary share them."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(vocabulary), inner_cuts(vocabulary), {}
+
+
+def inner_cuts(vocabulary: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Where runs of non-space ASCII characters may be cut without changing a token.
+
+    Only between letters, digits and marks, and only under the pattern above. Bytes that are
+    not ASCII, apostrophes and the characters of added tokens are never cut at.
+    """
+    told = json.loads(vocabulary)
+    if LETTERS_DIGITS_MARKS not in json.dumps(told.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\"):
+        return None
+    letter, digit, mark, other = range(4)
+    group = np.full(256, other)
+    marks = set(string.punctuation) - set("'") - {c for t in told.get("added_tokens", ()) for c in t["content"]}
+    for members, g in ((string.ascii_letters, letter), (string.digits, digit), (marks, mark)):
+        group[[ord(c) for c in members]] = g
+    cut = np.zeros((4, 4), bool)
+    cut[:other, :other] = ~np.eye(other, dtype=bool)
+    cut[digit, digit] = True
+    return group, cut
+
+
+def encode(
+    texts, tokenizer, end_id: int = END_ID, cuts: tuple[np.ndarray, np.ndarray] | None = None, known: dict[bytes, bytes] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each text closed with `end_id`, and where each text ends.
 
-    Each distinct run of non-space characters is encoded once.
+    Each distinct run of non-space characters, or part of one between `cuts`, is encoded once;
+    `known` carries up to `KNOWN_WORDS` of them from call to call.
     """
-    words = split_words(texts, SPACES)
-    distinct = [x.decode() for x in words.dictionary.to_pylist()]
-    encoded = [e.ids for e in tokenizer.encode_batch_fast(distinct, add_special_tokens=False)] + [[end_id]]
-    size = np.array([len(e) for e in encoded], np.int64)
-    flat = np.array([i for e in encoded for i in e], np.uint32)
+    words = split_words(texts, SPACES, cuts=cuts)
+    distinct = words.dictionary.to_pylist()
+    known = {} if known is None else known
+    new = [w for w in distinct if w not in known]
+    fresh = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+    found = dict(zip(new, (array("I", e.ids).tobytes() for e in fresh)))
+    encoded = [found[w] if w in found else known[w] for w in distinct] + [array("I", [end_id]).tobytes()]
+    known.update(islice(found.items(), max(0, KNOWN_WORDS - len(known))))
+    size = np.array([len(e) // 4 for e in encoded], np.int64)
+    flat = np.frombuffer(b"".join(encoded), np.uint32)
     begin = np.cumsum(size) - size
     per_row = np.bincount(words.row, minlength=words.rows)
     # the words of all rows, with one end marker behind each row's
@@ -82,13 +128,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, text: str = "text", length: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(sent.value)
+        tokenizer, cuts, known = _tokenizer(sent.value)
         for batch in batches:
             for lo, hi in slices(batch.column(0), SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
-                ids, ends = encode(part.column(0), tokenizer, end_id)
+                ids, ends = encode(part.column(0), tokenizer, end_id, cuts, known)
                 begins = np.r_[0, ends[:-1]] if len(ends) else ends
                 pieces = -(-(ends - begins) // length)
                 row = np.repeat(np.arange(len(ends)), pieces)

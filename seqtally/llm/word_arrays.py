@@ -32,8 +32,11 @@ class Words:
     rows: int
 
 
-def split_words(texts, kinds: np.ndarray, lower: np.ndarray | None = None) -> Words:
-    """Words of an Arrow string column; a null text has none. `lower` maps bytes first."""
+def split_words(texts, kinds: np.ndarray, lower: np.ndarray | None = None, cuts: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Words of an Arrow string column; a null text has none. `lower` maps bytes first.
+
+    `cuts` (class of every byte, whether to cut between two classes) ends words inside runs too.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -49,6 +52,9 @@ def split_words(texts, kinds: np.ndarray, lower: np.ndarray | None = None) -> Wo
     inside = kind == WORD
     first = inside.copy()
     first[1:] &= ~inside[:-1]
+    if cuts:
+        group = cuts[0][data]
+        first[1:] |= inside[1:] & cuts[1][group[:-1], group[1:]]
     begins = at[:-1][at[:-1] < at[1:]]
     first[begins] = inside[begins]
     starts = np.flatnonzero(first)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seqtally.llm.packing import encode, pack_documents, read_vocabulary, sequences, shortest_pack_first, token_pieces
+from seqtally.llm.packing import encode, inner_cuts, pack_documents, read_vocabulary, sequences, shortest_pack_first, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,11 +25,15 @@ def whole(text, tokenizer=Tokenizer.from_file(PATH)):
 
 def test_distinct_runs_encode_like_whole_texts(vocabulary):
     rnd = random.Random(2)
-    bits = ["the", "IT'S", "can't,", " ", "  ", "\n", "\t\x0b", " ", " ", "\x85", "é", "é", "́", "ΣΑΣ", "ß", "<|endoftext|>", "a<|startoftext|>b", "12 34", "\U0001f600", "日本語", "--", "\x00", "\x1c", "İ", "'", "s"]
+    bits = ["the", "IT'S", "can't,", " ", "  ", "\n", "\t\x0b", " ", " ", "\x85", "é", "é", "́", "ΣΑΣ", "ß", "<|endoftext|>", "a<|startoftext|>b", "12 34", "\U0001f600", "日本語", "--", "\x00", "a≠b", "x<|y", "(it's)", "''s", "-'t", "w.d.", "9th'd8", "\x1c", "İ", "'", "s"]
     texts = ["".join(rnd.choice(bits) + rnd.choice(["", "", " "]) for _ in range(rnd.randint(0, 30))) for _ in range(500)] + ["", None, " "]
-    ids, ends = encode(pa.array(texts), Tokenizer.from_str(vocabulary))
-    begins = [0, *ends[:-1]]
-    assert [ids[a:b].tolist() for a, b in zip(begins, ends)] == [whole(t) for t in texts]
+    cuts = inner_cuts(vocabulary)
+    assert cuts is not None and inner_cuts("{}") is None
+    known = {}
+    for c, k in ((cuts, None), (None, None), (cuts, known), (cuts, known)):
+        ids, ends = encode(pa.array(texts), Tokenizer.from_str(vocabulary), cuts=c, known=k)
+        begins = [0, *ends[:-1]]
+        assert [ids[a:b].tolist() for a, b in zip(begins, ends)] == [whole(t) for t in texts]
     sliced = pa.array(["xx", *texts]).slice(1)
     assert (encode(sliced, Tokenizer.from_str(vocabulary))[0] == ids).all()
     assert len(encode(pa.array([], pa.string()), Tokenizer.from_str(vocabulary))[0]) == 0
