@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import table
 from .decontamination import find_contamination
 from .hard_negatives import hard_negatives
@@ -170,6 +171,12 @@ def op12_shortest_pack_first(spark: SparkSession, folder: str, vocabulary: str |
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op13_collocation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best phrases of two or three words of every language."""
+    return collocations(table(spark, folder, "documents"))
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

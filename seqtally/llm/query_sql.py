@@ -169,3 +169,33 @@ windows as (
     and 80 * p.positive_score <= 100 * n.score and n.score <= p.positive_score)
 select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from windows where rank <= 5
 """
+
+CHECKS["op13_collocation_trie"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) as piece
+  from documents),
+words as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as w from pieces),
+totals as (select lang, sum(len(w)) as n from words group by lang),
+grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_aggregate(w[i : i + k - 1], 'string_agg', ' '))) as phrase
+  from words, (values (1), (2), (3)) as sizes(k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 10),
+cuts as (
+  select lang, phrase, f as a, k as size, unnest(range(1, k)) as k, string_split(phrase, ' ') as w from f where k >= 2),
+scored as (
+  select c.lang, c.phrase, c.a, c.size, l.f as l, r.f as r,
+    (c.a::hugeint * c.a::hugeint * 1000000 // (l.f::hugeint * r.f::hugeint))::bigint as score
+  from cuts c
+  join f l on l.lang = c.lang and l.phrase = list_aggregate(c.w[1 : c.k], 'string_agg', ' ')
+  join f r on r.lang = c.lang and r.phrase = list_aggregate(c.w[c.k + 1 : c.size], 'string_agg', ' ')
+  qualify row_number() over (partition by c.lang, c.phrase order by score, c.k) = 1),
+longer as (
+  select lang, phrase, max(f) as longest from (
+    select lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as phrase, f
+    from (select lang, f, string_split(phrase, ' ') as w from f where k = 3)) group by all),
+ranked as (
+  select s.lang, row_number() over (partition by s.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, score
+  from scored s left join longer using (lang, phrase) where longest is null or 100 * longest < 50 * a)
+select lang, rank, phrase, a, l, r, n::bigint as n, score from ranked join totals using (lang) where rank <= 2000
+"""
