@@ -140,6 +140,22 @@ def kmers(seqs: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> Dat
     )
 
 
+def flanked_kmers(seqs: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """Words with the letters beside them: (key, pos, kmer, before, after), `''` at the ends."""
+    words = F.expr(
+        f"transform(sequence(0, least(core - 1, length(text) - lead - {k})), i -> named_struct("
+        f"'pos', offset + i + 1, 'kmer', substring(text, lead + i + 1, {k}), "
+        f"'before', if(lead + i > 0, substring(text, lead + i, 1), ''), "
+        f"'after', substring(text, lead + i + 1 + {k}, 1)))"
+    )
+    return (
+        pieces(seqs, key, seq, before=1, after=k)
+        .where(F.length("text") >= F.col("lead") + k)
+        .select(key, F.explode(words).alias("w"))
+        .select(key, "w.pos", "w.kmer", "w.before", "w.after")
+    )
+
+
 def gc_window(seqs: DataFrame, window: int = 50, key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """GC share of [i - w/2, i + w/2), clipped to the sequence, per 0-based position i."""
     half = window // 2

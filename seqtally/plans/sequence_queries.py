@@ -280,11 +280,13 @@ WORDS = """q as (select distinct seq from sequences), qk as (select seq as qseq,
     f"""with {WORDS.format(k=11)} select seq_id as s_id, strand, count(*) as seeds, cast(sum(qp) as bigint) as q_sum, cast(sum(sp) as bigint) as s_sum from sd group by 1, 2""",
 )
 def _(t: Tables):
-    # all seeds between distinct texts and the subjects, folded per subject strand
+    # all seeds between distinct texts and the subjects, summed from the stretches they form
     reps = t.sequences.groupBy("seq").agg(F.min("seq_id").alias("seq_id"))
-    seeds = sim.seed_join(reps, t.subject_seqs, 11)
-    return seeds.groupBy("s_id", "strand").agg(
-        F.count("*").alias("seeds"), F.sum("q_pos").alias("q_sum"), F.sum("s_pos").alias("s_sum")
+    runs = sim.exact_runs(reps, t.subject_seqs, 11)
+    n = F.col("seeds")
+    q_sum = n * (F.col("q_lo") + 1) + F.expr("seeds * (seeds - 1) div 2")
+    return runs.groupBy("s_id", "strand").agg(
+        F.sum(n).alias("seeds"), F.sum(q_sum).alias("q_sum"), F.sum(q_sum + n * F.col("diagonal")).alias("s_sum")
     )
 
 
