@@ -35,6 +35,9 @@ SLICE_BYTES = 8 << 20
 #: A hash has 18 bits of the first word and 38 of the phrase; 7 more hold a task's count.
 FIRST_BITS, HASH_BITS, COUNT_BITS = 18, 56, 7
 MOST = (1 << COUNT_BITS) - 1
+#: bits of a trie symbol, and neighbouring places looked at together for a node
+DIGIT_BITS, TRIES = 10, 32
+LOW_DIGIT = (1 << DIGIT_BITS) - 1
 
 
 @dataclass(frozen=True)
@@ -100,8 +103,9 @@ class Texts:
 class Trie:
     """Double-array trie of phrases over numbered words; the first level is the language.
 
-    The state after symbol x in state s is `base[s] + x` where `check` says that it belongs to s.
-    `accept[s]` is the number of the phrase that ends in s, or -1.
+    A word is two symbols, the high and the low `DIGIT_BITS` bits of its number; frequent words
+    have small numbers. The state after symbol x in state s is `base[s] + x` where `check` says
+    that it belongs to s. `accept[s]` is the number of the phrase that ends in s, or -1.
     """
 
     def __init__(self, langs, phrases):
@@ -113,60 +117,62 @@ class Trie:
         self.langs = {x: i for i, x in enumerate(coded.dictionary.to_pylist())}
         words = pc.split_pattern(phrases.cast(pa.large_binary()), b" ")
         numbers = words.flatten().dictionary_encode()
-        self.symbols = numbers.dictionary
-        size = words.value_lengths().to_numpy().astype(np.int64) + 1
+        code = numbers.indices.to_numpy().astype(np.int64)
+        often = np.argsort(-np.bincount(code, minlength=len(numbers.dictionary)), kind="stable")
+        self.symbols = numbers.dictionary.take(pa.array(often))
+        code = np.argsort(often)[code] if len(often) else code
+        if len(often) > 1 << 2 * DIGIT_BITS or len(self.langs) > 1 << DIGIT_BITS:
+            raise ValueError("a shard holds too many words or languages for its symbols")
+        n_words = words.value_lengths().to_numpy().astype(np.int64)
+        size = 2 * n_words + 1
         symbols = np.full((len(size), int(size.max(initial=1))), -1, np.int64)
         symbols[:, 0] = coded.indices.to_numpy()
-        place = np.arange(len(numbers)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1)
-        symbols[np.repeat(np.arange(len(size)), size - 1), place + 1] = numbers.indices.to_numpy()
+        row = np.repeat(np.arange(len(size)), n_words)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
+        symbols[row, 2 * place + 1] = code >> DIGIT_BITS
+        symbols[row, 2 * place + 2] = code & LOW_DIGIT
         # level by level: an edge is (parent, symbol), equal edges are one node
         state, rows, total = np.zeros(len(size), np.int64), np.arange(len(size)), 1
-        span = len(self.symbols) + len(self.langs) + 1
         parents, taken = [np.zeros(1, np.int64)], [np.full(1, -1)]
         for level in range(symbols.shape[1]):
             rows = rows[size[rows] > level]
-            edges, which = np.unique(state[rows] * span + symbols[rows, level], return_inverse=True)
+            edges, which = np.unique(state[rows] << DIGIT_BITS | symbols[rows, level], return_inverse=True)
             state[rows] = total + which
-            parents.append(edges // span)
-            taken.append(edges % span)
+            parents.append(edges >> DIGIT_BITS)
+            taken.append(edges & LOW_DIGIT)
             total += len(edges)
         slot = self._place(np.concatenate(parents), np.concatenate(taken), total)
         self.accept = np.full(len(self.check), -1, np.int32)
         self.accept[slot[state]] = np.arange(len(size))
 
     def _place(self, parent: np.ndarray, symbol: np.ndarray, total: int) -> np.ndarray:
-        """Slots of all nodes, and the arrays over slots: nodes with many children first, lone children fill the holes."""
+        """Slots of all nodes, and the arrays over slots: nodes with many children first, lone
+        children fill the holes."""
         # children of a node lie together, as edges are sorted within a level
         children = np.bincount(parent[1:], minlength=total)
         first = np.searchsorted(parent[1:], np.arange(total)) + 1
-        space = 1 + int(symbol.max(initial=0)) + 1
-        used = np.zeros(2 * (total + space), bool)
+        used = np.zeros(2 * total + (1 << DIGIT_BITS) + 2 * TRIES, bool)
         used[0] = True
         base, slot = np.zeros(total, np.int64), np.zeros(total, np.int64)
         order = np.argsort(-children, kind="stable")
-        low = 1
+        low, shifts = 1, np.arange(TRIES)[:, None]
         for node in order[: np.count_nonzero(children > 1)]:
             own = symbol[first[node] : first[node] + children[node]]
-            at, step = low, 1
-            # doubling steps: at most a logarithm of probes before free space behind all is reached
+            relative = own - own[0]
             while True:
-                if at + own[-1] - own[0] >= len(used):
+                if low + TRIES + relative[-1] >= len(used):
                     used = np.concatenate([used, np.zeros(len(used), bool)])
-                places = own - own[0] + at
-                if not used[places].any():
+                fits = np.flatnonzero(~used[low + shifts + relative].any(1))
+                if len(fits):
                     break
-                at += step
-                step = step * 2 if step < 64 else step + 64
-            used[places] = True
-            slot[first[node] : first[node] + children[node]] = places
+                low += TRIES
+            at = low + fits[0]
+            used[at + relative] = True
+            slot[first[node] : first[node] + children[node]] = at + relative
             base[node] = at - own[0]
-            while used[low]:
-                low += 1
         lone = np.flatnonzero(children == 1)
-        free = np.flatnonzero(~used)
-        if len(free) < len(lone):
-            free = np.concatenate([free, np.arange(len(used), len(used) + len(lone) - len(free))])
-        free = free[: len(lone)]
+        free = np.flatnonzero(~used)[: len(lone)]
+        free = np.concatenate([free, np.arange(len(used), len(used) + len(lone) - len(free))])
         slot[first[lone]] = free
         base[lone] = free - symbol[first[lone]]
         length = int(slot.max(initial=0)) + 1
@@ -200,7 +206,10 @@ class Trie:
             if k > 1:
                 inside = texts.longer(at, k)
                 at, state = at[inside], state[inside]
-            state = self.step(state, symbol[at + (k - 1)])
+            word = symbol[at + (k - 1)]
+            state = self.step(state, np.where(word < 0, -1, word >> DIGIT_BITS))
+            at, word, state = at[state >= 0], word[state >= 0], state[state >= 0]
+            state = self.step(state, word & LOW_DIGIT)
             out += np.bincount(state[state >= 0], minlength=len(out))
         ends = np.flatnonzero(self.accept >= 0)
         counts = np.zeros(len(ends), np.int64)
@@ -255,9 +264,13 @@ def candidates(docs: DataFrame, hashes: np.ndarray, settings: Settings) -> DataF
                 hit = np.flatnonzero(near[codes & mask])
                 place = np.searchsorted(wanted, codes[hit])
                 hit = hit[wanted[np.minimum(place, len(wanted) - 1)] == codes[hit]] if len(wanted) else hit[:0]
-                # one position for every phrase of the slice: by language and words, not by hash
-                key = np.stack([texts.lang[at[hit]].astype(np.int64), *(words.code[at[hit] + j] for j in range(k))])
-                distinct = np.unique(key, axis=1) if key.shape[1] else key
+                # one position for every phrase of the slice: equal hashes side by side, and of
+                # those all but repeats of the very same words
+                hit = hit[np.argsort(codes[hit], kind="stable")]
+                key = [texts.lang[at[hit]], *(words.code[at[hit] + j] for j in range(k))]
+                again = np.zeros(len(hit), bool)
+                again[1:] = np.all([c[1:] == c[:-1] for c in key], axis=0)
+                distinct = [c[~again] for c in key]
                 parts = [dictionary.take(pa.array(distinct[1 + j])) for j in range(k)]
                 phrases = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
                 langs = pa.array(texts.langs, pa.string()).take(pa.array(distinct[0]))
@@ -275,14 +288,15 @@ def counted_phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[D
 
     spark = docs.sparkSession
     most, no_lang = settings.max_words, settings.no_lang
-    numbered = stage(with_row_number(frequent_hashes(docs, settings), F.col("h"), name="at"), "hashes")
+    numbered = stage(with_row_number(stage(frequent_hashes(docs, settings), "hashes"), F.col("h"), name="at"), "numbered")
     total = numbered.count()
     shards, totals = [], None
     for lo in range(0, max(total, 1), settings.shard_phrases):
         # one bounded shard at a time; phrases of one first word may begin in one and go on in the next
         own = numbered.where(F.col("at").between(lo + 1, lo + settings.shard_phrases)).orderBy("h").toArrow()
         hashes = own.column("h").to_numpy()
-        found = stage(with_row_number(candidates(docs, hashes, settings), F.col("lang"), F.col("phrase"), name="id"), "candidates")
+        found = stage(candidates(docs, hashes, settings), "candidates")
+        found = stage(with_row_number(found, F.col("lang"), F.col("phrase"), name="id"), "listed")
         listed = found.orderBy("id").select("lang", "phrase").toArrow().combine_chunks()
         trie = Trie(*(listed.column(c).combine_chunks() for c in ("lang", "phrase")))
         symbols, trie.symbols = trie.symbols, None
