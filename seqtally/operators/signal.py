@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.coords import is_plus
 from ..functions.names import subject_token
 from . import intervals as iv
+from .tile_tree import span_sums, spaced
 
 METRICS = (
     "hit_count",
@@ -60,40 +61,14 @@ def weighted_spans(hits: DataFrame) -> DataFrame:
 def density_runs(hits: DataFrame, metrics: Sequence[str] = METRICS, tile: int = 4096) -> DataFrame:
     """Density in run-length form: (qseqid, qlen, lo, hi, metrics...) with 0-based [lo, hi).
 
-    The signal only changes where a span starts or ends, so spans are cut at those borders
-    and summed per piece: a few pieces per span instead of one row per base. Borders are
-    gathered per tile of positions, so a crowded or very long query is split over tasks
-    and no group holds more borders than a tile has positions.
+    The signal only changes where a span starts or ends: a few stretches per span instead of
+    one row per base. Equal spans are summed first, then every tile of positions is one
+    range-add tree, so a crowded or very long query is split over tasks and a tile takes the
+    memory of its positions however many hits it has.
     """
     metrics = list(metrics)
-    t0 = F.col("tile") * tile
-    spans = (
-        weighted_spans(hits)
-        .select("qseqid", "qlen", "lo", "hi", *metrics)
-        .withColumn(
-            "tile",
-            F.explode(F.sequence(F.floor(F.col("lo") / tile), F.floor((F.col("hi") - 1) / tile))),
-        )
-        .withColumns(
-            {
-                "lo": F.greatest("lo", t0).cast("int"),
-                "hi": F.least("hi", t0 + tile).cast("int"),
-            }
-        )
-    )
-    cell = Window.partitionBy("qseqid", "tile")
-    borders = F.array_sort(F.array_union(F.collect_set("lo").over(cell), F.collect_set("hi").over(cell)))
-    pieces = F.filter(
-        F.arrays_zip(F.col("_b").alias("a"), F.slice("_b", 2, F.size("_b")).alias("b")),
-        lambda p: (p["a"] >= F.col("lo")) & (p["a"] < F.col("hi")),
-    )
-    return (
-        spans.withColumn("_b", borders)
-        .select("qseqid", "tile", "qlen", F.explode(pieces).alias("_p"), *metrics)
-        .groupBy("qseqid", "tile", F.col("_p.a").alias("lo"), F.col("_p.b").alias("hi"))
-        .agg(F.max("qlen").alias("qlen"), *[F.sum(m).alias(m) for m in metrics])
-        .select("qseqid", "qlen", "lo", "hi", *metrics)
-    )
+    spans = weighted_spans(hits).select("qseqid", "qlen", "lo", "hi", *metrics)
+    return span_sums(spans, "qseqid", metrics, tile, "qlen")
 
 
 def density(hits: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -150,8 +125,9 @@ def smooth(
         hi = np.clip(table.column("hi").to_numpy(), a, b) - a
         values = np.stack([table.column(m).to_numpy() for m in metrics])
         raw = np.zeros((len(metrics), b - a))
-        for k in range(len(lo)):
-            raw[:, lo[k] : hi[k]] = values[:, k : k + 1]  # runs are disjoint
+        size = hi - lo  # runs are disjoint
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        raw[:, at] = np.repeat(values, size, axis=1)
         left = radius if a == 0 else 0
         right = radius if b == qlen else 0
         padded = np.pad(raw, ((0, 0), (left, right)), mode="symmetric")
@@ -222,26 +198,9 @@ def local_maxima(positions: DataFrame, threshold: float = 0.1) -> DataFrame:
 def space_out(peaks: DataFrame, min_distance: int = 10) -> DataFrame:
     """Walk peaks from the left and keep those at least `min_distance` after the last kept.
 
-    A gap of min_distance or more always restarts the walk, so it only has to be done
-    inside runs of closer peaks.
+    Positions count once; runs of close peaks may be of any length.
     """
-    runs = iv.collapse(
-        peaks.select("qseqid", F.col("pos").alias("a"), F.col("pos").alias("b")),
-        ["qseqid"],
-        "a",
-        "b",
-        gap=min_distance - 1,
-        measures=[iv.set_of("run", F.col("a"))],
-    )
-    walk = F.aggregate(
-        "run",
-        F.array().cast("array<int>"),
-        lambda kept, p: F.when(
-            (F.size(kept) == 0) | (p - F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(0)) >= min_distance),
-            F.array_append(kept, p),
-        ).otherwise(kept),
-    )
-    kept = runs.select("qseqid", F.explode(walk).alias("pos"))
+    kept = spaced(peaks.select("qseqid", "pos").distinct(), "qseqid", "pos", min_distance)
     return peaks.join(kept, ["qseqid", "pos"], "left_semi")
 
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqtally.operators import signal
+from seqtally.operators.tile_tree import span_sums, spaced
 
 SCHEMA = (
     "qseqid string, sseqid string, pident double, length int, qstart int, qend int, sstart int, send int, "
@@ -149,3 +150,51 @@ def test_strand_coverage(rows, hits):
 def test_spacing_restarts_only_after_a_gap(spark):
     df = spark.createDataFrame([("q", p) for p in (1, 6, 12, 17, 23, 60, 65)], "qseqid string, pos int")
     assert sorted(r["pos"] for r in signal.space_out(df, 10).collect()) == [1, 12, 23, 60]
+
+
+def greedy(places, gap):
+    kept = []
+    for p in sorted(places):
+        if not kept or p - kept[-1] >= gap:
+            kept.append(p)
+    return kept
+
+
+@pytest.mark.parametrize("gap,tile", [(10, 16), (3, 3), (7, 4096), (5, 2)])
+def test_spacing_over_tiles_equals_a_walk(spark, gap, tile):
+    rng = np.random.default_rng(gap)
+    places = {q: sorted({int(x) for x in rng.integers(0, 400, n)}) for q, n in (("dense", 900), ("thin", 30), ("one", 1))}
+    places["line"] = list(range(0, 400, gap - 1))  # every state goes on from tile to tile
+    places["late"] = [p + 977 for p in places["dense"]]
+    df = spark.createDataFrame([(q, p) for q, own in places.items() for p in own], "q string, p int")
+    got = {}
+    for r in spaced(df, "q", "p", gap, tile).collect():
+        got.setdefault(r["q"], []).append(r["p"])
+    assert {q: sorted(v) for q, v in got.items()} == {q: greedy(v, gap) for q, v in places.items()}
+    assert spaced(df.where("false"), "q", "p", gap, tile).count() == 0
+
+
+def test_a_long_run_of_places_takes_few_rounds(spark):
+    df = spark.range(0, 10**6).select(F.lit("q").alias("q"), F.col("id").alias("p"))
+    kept = spaced(df, "q", "p", 10)
+    assert tuple(kept.agg(F.count("*"), F.min("p"), F.max("p"), F.count_if(F.col("p") % 10 != 0)).first()) == (10**5, 0, 999990, 0)
+
+
+def test_a_crowded_tile_sums_in_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rng = np.random.default_rng(2)
+        rows = [(q, 300, int(a), int(min(a + w, 300)), float(x)) for q in ("a", "b", None) for a, w, x in zip(rng.integers(0, 299, 400), rng.integers(1, 90, 400), 10.0 ** rng.integers(0, 150, 400))]
+        df = spark.createDataFrame(rows, "q string, n int, lo int, hi int, x double")
+        want = {}
+        for q, _, lo, hi, x in rows:
+            for p in range(lo, hi):
+                want[q, p] = want.get((q, p), 0.0) + x
+        got = {}
+        for r in span_sums(df, "q", ["x"], 64, "n").collect():
+            assert r["n"] == 300 and r["lo"] < r["hi"]
+            got |= {(r["q"], p): r["x"] for p in range(r["lo"], r["hi"])}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+        assert span_sums(df.where("false"), "q", ["x"], 64, "n").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
