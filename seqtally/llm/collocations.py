@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +32,9 @@ from .word_arrays import byte_kinds, slices, split_words
 
 KINDS = byte_kinds(b"\t ", b".,;:!?\n\x0b\x0c\r")
 LOWER_CASE = np.frombuffer(LOWER, np.uint8)
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: codes a task holds before it hands them on
+HELD_CODES = 3_000_000
 #: A hash has 18 bits of the first word and 38 of the phrase; 7 more hold a task's count.
 FIRST_BITS, HASH_BITS, COUNT_BITS = 18, 56, 7
 MOST = (1 << COUNT_BITS) - 1
@@ -60,10 +63,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hashes(values: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh3_64_intdigest(v) for v in values], np.uint64)
+def _name_hashes(names: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
 
 
 class Texts:
@@ -88,8 +89,8 @@ class Texts:
     def codes(self, most: int):
         """(k, positions, 56-bit hash of the phrase there) for k = 1 .. `most`."""
         words = self.words
-        own = _hashes(words.dictionary.to_pylist())[words.code]
-        state = _mixed(own + _hashes([x.encode() for x in self.langs])[self.lang])
+        own = words.hashes()
+        state = _mixed(own + _name_hashes(self.langs)[self.lang])
         first = state >> np.uint64(64 - FIRST_BITS) << np.uint64(HASH_BITS - FIRST_BITS)
         at = np.arange(len(own))
         for k in range(1, most + 1):
@@ -224,6 +225,15 @@ def _each(batches, no_lang: str):
             yield Texts(part.column(0), part.column(1), no_lang)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their summed counts."""
+    codes = np.concatenate([c for c, _ in parts])
+    order = np.argsort(codes, kind="stable")  # merges the sorted runs
+    codes, n = codes[order], np.concatenate([n for _, n in parts])[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else order
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def frequent_hashes(docs: DataFrame, settings: Settings) -> DataFrame:
     """h: hashes of phrases whose counts add up to `min_count` or more, over all texts."""
     import pyarrow as pa
@@ -231,16 +241,26 @@ def frequent_hashes(docs: DataFrame, settings: Settings) -> DataFrame:
     most, no_lang = settings.max_words, settings.no_lang
 
     def run(batches):
-        for texts in _each(batches, no_lang):
-            found = np.concatenate([codes for _, _, codes in texts.codes(most)])
-            codes, n = np.unique(found, return_counts=True)
-            packed = codes << COUNT_BITS | np.minimum(n, MOST)
-            yield pa.RecordBatch.from_arrays([pa.array(packed)], ["packed"])
+        held = []  # sorted codes and counts of some slices
+
+        def packed():
+            codes, n = _summed(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(codes << COUNT_BITS | np.minimum(n, MOST))], ["packed"])
 
+        for texts in _each(batches, no_lang):
+            for _, _, codes in texts.codes(most):
+                held.append(np.unique(codes, return_counts=True))
+            if sum(len(codes) for codes, _ in held) > HELD_CODES:
+                yield packed()
+        if held:
+            yield packed()
+
+    # dealt by hash as they are: few of a task's codes meet again in it
     counted = docs.mapInArrow(run, "packed long").select(
         F.shiftrightunsigned("packed", COUNT_BITS).alias("h"), F.col("packed").bitwiseAND(MOST).alias("n")
     )
-    return counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.min_count).select("h")
+    return counted.repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.min_count).select("h")
 
 
 def candidates(docs: DataFrame, hashes: np.ndarray, settings: Settings) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -20,17 +21,43 @@ def byte_kinds(gaps: bytes, breaks: bytes = b"") -> np.ndarray:
 
 @dataclass
 class Words:
-    """Word i is `dictionary[code[i]]`, stands in row `row[i]` and in piece `piece[i]` of it.
+    """Word i is `array[i]`, stands in row `row[i]` and in piece `piece[i]` of it.
 
     Words are in text order; neighbours are in one piece where their piece numbers are equal.
     """
 
-    dictionary: object
-    code: np.ndarray
+    array: object
     row: np.ndarray
     piece: np.ndarray
     rows: int
 
+    @cached_property
+    def _coded(self):
+        return self.array.dictionary_encode()
+
+    @property
+    def dictionary(self):
+        """The distinct words."""
+        return self._coded.dictionary
+
+    @cached_property
+    def code(self) -> np.ndarray:
+        """Place of every word in the dictionary."""
+        return self._coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of every word; equal words have equal ones."""
+        offsets = np.frombuffer(self.array.buffers()[1], np.int64)[: len(self.array) + 1]
+        size = np.diff(offsets)
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        data = np.frombuffer(self.array.buffers()[2], np.uint8).astype(np.uint64) + np.uint64(1)
+        powers = np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers)
+        data *= powers[np.arange(len(data)) - np.repeat(offsets[:-1], size)]
+        return np.add.reduceat(data, offsets[:-1])
+
 
 def split_words(texts, kinds: np.ndarray, lower: np.ndarray | None = None, cuts: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
     """Words of an Arrow string column; a null text has none. `lower` maps bytes first.
@@ -62,10 +89,9 @@ def split_words(texts, kinds: np.ndarray, lower: np.ndarray | None = None, cuts:
     ends = np.cumsum(inside, dtype=np.int64)
     offsets = np.append(ends[starts] - 1, len(kept)).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
-    coded = words.dictionary_encode()
     row = np.searchsorted(at, starts, "right") - 1
     piece = np.cumsum(kind == BREAK, dtype=np.int64)[starts] + row
-    return Words(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), row, piece, len(texts))
+    return Words(words, row, piece, len(texts))
 
 
 def slices(texts, most_bytes: int) -> Iterator[tuple[int, int]]:
