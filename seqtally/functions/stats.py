@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,20 +47,59 @@ def odds_ratio(a: str, b: str, c: str, d: str) -> Column:
     )
 
 
+@lru_cache(maxsize=None)
+def _numerator(m: int) -> tuple[int, tuple[int, ...]]:
+    """L and the coefficients of (1 - q^L)^(m+1) / ((1 - q)(1 - q)(1 - q^2) .. (1 - q^m)).
+
+    L is the least common multiple of 1 .. m, so every factor divides 1 - q^L and the quotient
+    is a polynomial of less than (m + 1) L coefficients, whatever sizes are compared later.
+    """
+    period = math.lcm(*range(1, m + 1))
+    out = np.ones(1, dtype=object)
+    for part in (1, *range(1, m + 1)):
+        # times 1 + q^part + q^(2 part) + .. below q^L: a running sum in steps of `part`
+        wide = np.concatenate([out, np.zeros(period - part, dtype=object)])
+        for offset in range(min(part, len(wide))):
+            wide[offset::part] = np.add.accumulate(wide[offset::part])
+        longer = wide.copy()
+        longer[period:] = wide[period:] - wide[: len(wide) - period] if len(wide) > period else wide[period:]
+        out = longer
+    return period, tuple(int(x) for x in out)
+
+
+def _at_most(s: int, m: int) -> int:
+    """Partitions of 0, 1, .., s into at most `m` parts of any size, counted together."""
+    if s < 0:
+        return 0
+    period, numerator = _numerator(m)
+    turns, rest = divmod(s, period)
+    # 1 / (1 - q^L)^(m+1) has binomials as coefficients; the numerator meets at most m + 1 of them
+    return sum(
+        numerator[rest + period * b] * math.comb(turns - b + m, m)
+        for b in range(min(turns, (len(numerator) - 1 - rest) // period) + 1)
+    )
+
+
 def exact_u_tail(u: float, n1: int, n2: int) -> float:
-    """P(U >= u) without ties, by exact integer counting of rank sums."""
-    small, large = min(n1, n2), max(n1, n2)
-    size = n1 * n2 + 1
-    ways = np.zeros(size, dtype=object)
-    ways[0] = 1
-    for i in range(1, small + 1):
-        step = large + i
-        if step < size:
-            lower = ways.copy()
-            ways[step:] = ways[step:] - lower[:-step]
-        for offset in range(i):
-            ways[offset::i] = np.add.accumulate(ways[offset::i])
-    return float(ways[int(math.ceil(u)) :].sum() / ways.sum())
+    """P(U >= u) without ties, exact.
+
+    Arrangements with U = s are partitions of s into at most m parts of at most n, with m the
+    smaller side: the coefficients of prod (1 - q^(n+i)) / (1 - q^i), i = 1 .. m. The bounds on
+    the parts are 2^m signed shifts of unbounded partitions, which a fixed polynomial and
+    binomials count at any place. Time and memory depend on m alone: 8 against 10^7 values
+    take what 8 against 10 take.
+    """
+    m, n = sorted((n1, n2))
+    # both ends of the distribution are alike: U >= u as often as U <= m n - u
+    last = m * n - max(0, math.ceil(u))
+    if last < 0 or m == 0:
+        return 0.0 if last < 0 else 1.0
+    shifts = Counter({0: 1})
+    for i in range(1, m + 1):
+        for s, sign in list(shifts.items()):
+            if s + n + i <= last:
+                shifts[s + n + i] -= sign
+    return sum(sign * _at_most(last - s, m) for s, sign in shifts.items()) / math.comb(m + n, m)
 
 
 def normal_u_p(u: float, n1: int, n2: int, ties: float) -> float:

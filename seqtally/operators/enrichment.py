@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions.names import set_category
-from ..scale import UNB, _range_parts, cumulative_counts, quantiles, stage, with_row_number
+from ..scale import UNB, _range_parts, cumulative_counts, join_per_value, quantiles, stage, with_row_number
 from .rollups import INF, pct, ratio_or_inf
 
 
@@ -89,7 +89,8 @@ def mann_whitney(sets: DataFrame, values: DataFrame, value: str = "density_hits_
     total = vals.agg(F.count("*")).scalar()
     placed = with_row_number(vals, F.asc("_v"), F.asc("fbgn"), name="_r").withColumn("_r", F.col("_r") - 1)
     ranks = dist.select("_v", (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
-    members = sets.join(placed.join(ranks, "_v"), "fbgn").select("set_name", "_v", "_r", "_rank")
+    # tied values may hold most rows
+    members = sets.join(join_per_value(placed, ranks, "_v"), "fbgn").select("set_name", "_v", "_r", "_rank")
     sums = members.groupBy("set_name").agg(F.count("*").alias("n_in"), F.sum("_rank").alias("_R"))
     n_in, n_out = F.col("n_in"), F.col("n_out")
     base = (
@@ -163,7 +164,8 @@ def bh_adjust(df: DataFrame, p: str, name: str = "q") -> DataFrame:
         .join(F.broadcast(later), "_part")
         .select("_p", F.least(F.col("_q"), F.coalesce("_later", F.col("_q")), F.lit(1.0)).alias(name))
     )
-    return clean.join(q, "_p").drop("_p")
+    # p = 1 stands for every missing value, so rows are not joined on p alone
+    return join_per_value(clean, q, "_p").drop("_p")
 
 
 def bonferroni(df: DataFrame, p: str, name: str = "q") -> DataFrame:

@@ -3,6 +3,7 @@
 * `stage`            writes a table to the shared folder and reads it back
 * `skew_join`        equi join whose hot keys are split over many tasks
 * `with_row_number`  global row numbers without a one-task sort
+* `join_per_value`   join with one row per value whose crowded values are split by slab
 * `cumulative_counts`, `quantiles`, `upper_median`  exact order statistics of any group size
 """
 
@@ -105,6 +106,18 @@ def with_row_number(df: DataFrame, *order: Column, name: str = "row_no") -> Data
     )
 
 
+def join_per_value(df: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """`df` with the row of `table` that has the same `value`; `table` has each value once.
+
+    Rows are placed in range slabs by value, a value with many rows in several of them. The
+    table is looked up once per value and slab, and rows meet that on (slab, value), so no key
+    of the join holds more rows than a slab. Values are not null; rows without one in `table` go.
+    """
+    parts = _range_parts(df, F.col(value), F.monotonically_increasing_id())
+    looked = parts.select("_part", value).distinct().join(table, value)
+    return parts.join(looked, ["_part", value]).drop("_part")
+
+
 def running_over_slabs(
     df: DataFrame, order: Sequence[Column], value: str, agg, name: str
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqtally.functions import stats as st
 from seqtally.operators import enrichment as en
+from seqtally.scale import join_per_value
 
 
 def test_fisher_textbook_tables():
@@ -108,3 +109,45 @@ def test_effect_size_caps(spark):
     got = df.select(st.log2_or_capped(F.col("o")), st.volcano_x(F.col("o")), st.volcano_y(F.col("q"))).collect()
     assert got[0][0] == pytest.approx(math.log2(100)) and got[0][2] == 200
     assert got[1][0] == pytest.approx(math.log2(0.01)) and got[1][1] is None and got[2][0] is None
+
+
+def counted_tail(u, n1, n2):
+    """P(U >= u) from the ways to reach every U, one value at a time."""
+    ways = {(0, 0, 0): 1}
+    for _ in range(n1 + n2):
+        step = {}
+        for (i, j, s), n in ways.items():
+            if i < n1:
+                step[i + 1, j, s + j] = step.get((i + 1, j, s + j), 0) + n
+            if j < n2:
+                step[i, j + 1, s] = step.get((i, j + 1, s), 0) + n
+        ways = step
+    return sum(n for (_, _, s), n in ways.items() if s >= u) / math.comb(n1 + n2, n1)
+
+
+def test_exact_tail_equals_counting_for_all_small_sides():
+    for n1, n2 in itertools.product(range(1, 7), range(1, 9)):
+        for u in [x / 2 for x in range(-1, 2 * n1 * n2 + 3)]:
+            assert st.exact_u_tail(u, n1, n2) == pytest.approx(counted_tail(u, n1, n2), rel=1e-15)
+    assert st.exact_u_tail(0, 8, 40) == 1.0
+
+
+def test_exact_tail_of_a_huge_side():
+    n = 10**7
+    half = st.exact_u_tail(4 * n, 8, n)
+    assert half == pytest.approx(0.5, abs=1e-7) and half > 0.5
+    assert st.exact_u_tail(8 * n, 8, n) == 1 / math.comb(n + 8, 8)
+    u = 6.5 * n
+    # eight places among so many are eight even shares: the sum of eight uniform numbers
+    assert st.exact_u_tail(u, 8, n) == pytest.approx((1.5**8 - 8 * 0.5**8) / math.factorial(8), rel=1e-5)
+    assert st.exact_u_tail(u, 8, n) + st.exact_u_tail(8 * n - u + 1, 8, n) == pytest.approx(1, abs=1e-15)
+
+
+def test_crowded_values_are_joined_slab_by_slab(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2500, 1.0).otherwise(F.col("id") % 7 / 8).alias("p"), F.lit("x").alias("part"))
+    table = df.select("p").distinct().where("p <> 0").withColumn("twice", F.col("p") * 2)
+    got = join_per_value(df, table, "p")
+    assert got.columns == ["p", "id", "part", "twice"]
+    assert {(r["id"], r["p"], r["twice"]) for r in got.collect()} == {(r["id"], r["p"], 2 * r["p"]) for r in df.collect() if r["p"]}
+    text = got._jdf.queryExecution().toString()
+    assert "_part" in text
