@@ -133,9 +133,10 @@ def quality(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
         own = F.lit(None).cast("array<string>")
         for lang, ws in lists.items():
             own = F.when(F.col("lang") == lang, F.array(*[F.lit(w) for w in ws])).otherwise(own)
-        common = F.transform(F.filter("_w", lambda w: F.lower(w).isin(known)), F.lower)
-        counted = counted.withColumn("_c", common).withColumn("_own", own)
-        hist = F.transform("_own", lambda r: (F.size("_c") - F.size(F.array_remove("_c", r))).cast("double"))
+        # common words as places in the language's list: numbers are counted faster than words
+        common = F.transform(F.filter("_w", lambda w: F.lower(w).isin(known)), lambda w: F.array_position("_own", F.lower(w)))
+        counted = counted.withColumn("_own", own).withColumn("_c", common)
+        hist = F.transform("_own", lambda r, i: (F.size("_c") - F.size(F.array_remove("_c", (i + 1).cast("long")))).cast("double"))
     else:
         hist = F.lit(None).cast("array<double>")
     counted = counted.withColumn("_hist", hist)

@@ -9,6 +9,7 @@ encoded again; their sums go up the tree.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -199,7 +200,7 @@ def apply_edits(text: str, tree: SegmentTree, edits: list[tuple[int, int, str]],
 
 def tree_column(spark: SparkSession, ranks: dict[bytes, int], text: Column) -> Column:
     """Segment tree of each text, in the layout of `TREE`; one empty leaf for null and empty texts."""
-    sent = spark.sparkContext.broadcast(ranks)
+    sent = _sent(spark, ranks)
 
     @F.arrow_udf(TREE)
     def trees(texts: pa.Array) -> pa.Array:
@@ -212,13 +213,20 @@ def tree_column(spark: SparkSession, ranks: dict[bytes, int], text: Column) -> C
     return trees(text)
 
 
-_TOKENIZERS: dict[int, Tokenizer] = {}
+_TOKENIZERS: dict[bytes, Tokenizer] = {}
+
+
+def _sent(spark: SparkSession, ranks: dict[bytes, int]):
+    """Broadcast of a vocabulary with a digest of all of it."""
+    whole = hashlib.blake2b(digest_size=16)
+    for token, rank in ranks.items():
+        whole.update(b"%d %d " % (rank, len(token)) + token)
+    return spark.sparkContext.broadcast((whole.digest(), ranks))
 
 
 def _tokenizer(sent) -> Tokenizer:
     """One tokenizer per worker process and vocabulary."""
-    ranks = sent.value
-    key = hash(frozenset(list(ranks.items())[:64])) ^ len(ranks)
+    key, ranks = sent.value
     if key not in _TOKENIZERS:
         _TOKENIZERS[key] = Tokenizer(ranks)
     return _TOKENIZERS[key]
@@ -230,7 +238,7 @@ def recount_column(spark: SparkSession, ranks: dict[bytes, int], text: Column, t
     chars_encoded is how much of the new text was encoded again. A null text is empty, null
     edits are none; edits are cut to the text and those that overlap an earlier one left out.
     """
-    sent = spark.sparkContext.broadcast(ranks)
+    sent = _sent(spark, ranks)
 
     @F.arrow_udf(COUNTS)
     def recount(texts: pa.Array, trees: pa.Array, edits: pa.Array) -> pa.Array:

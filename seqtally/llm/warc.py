@@ -40,11 +40,12 @@ RECORD = (
 def digest_column(payload: Column) -> Column:
     """Base32 SHA-1 of a binary column."""
     # 40 hex digits are 8 groups of 20 bits, and so 8 groups of 4 base32 digits
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    hexed = F.sha1(payload)
-    groups = [F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
-    digits = [F.substring(F.lit(alphabet), (F.shiftright(g, s).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for g in groups for s in (15, 10, 5, 0)]
-    return F.concat(*digits)
+    def digits(hexed: Column) -> Column:
+        groups = [F.lpad(F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+        return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+    # the digest is a variable of the lambda, so it is taken once however many digits read it
+    return F.get(F.transform(F.array(F.sha1(payload)), digits), F.lit(0))
 
 
 def sha1_base32(data: bytes) -> str:
@@ -264,8 +265,6 @@ def salvage(stream) -> Iterator[Record]:
         try:
             data, length = (_member_at if w.read(at, 3) == MAGIC else _plain_at)(w, at)
             headers, block, used = parse_record(data)
-            if used != len(data):
-                raise Damaged("member holds more than a record")
         except Damaged as e:
             reason = reason or str(e)
             at = w.find(BEGIN, at + 1)
@@ -274,6 +273,7 @@ def salvage(stream) -> Iterator[Record]:
         if at > bad:
             yield Record(bad, at - bad, reason=reason or "bytes outside records")
         yield Record(at, length, headers, block)
+        yield from _more(data, used, at)
         at = bad = at + length
         reason = ""
         w.drop(at)
@@ -281,6 +281,29 @@ def salvage(stream) -> Iterator[Record]:
         yield Record(bad, at - bad, reason=reason or "bytes outside records")
 
 
+def _more(data: bytes, used: int, at: int) -> Iterator[Record]:
+    """Records behind the first one of a member, and what damage lies between them.
+
+    They share the member's offset; its length counts with the first record.
+    """
+    bad, reason = used, ""
+    while used < len(data):
+        try:
+            headers, block, n = parse_record(data[used:])
+        except Damaged as e:
+            reason = reason or str(e)
+            found = VERSION.search(data, used + 1)
+            used = found.start() if found else len(data)
+            continue
+        if used > bad:
+            yield Record(at, 0, reason=f"{used - bad} bytes inside a member: {reason}")
+        yield Record(at, 0, headers, block)
+        used = bad = used + n
+        reason = ""
+    if used > bad:
+        yield Record(at, 0, reason=f"{used - bad} bytes inside a member: {reason}")
+
+
 def read_archives(files: DataFrame, keep_payload: bool = True) -> DataFrame:
     """Records and quarantined gaps of the archives named in the column `file`.
 
@@ -288,23 +311,30 @@ def read_archives(files: DataFrame, keep_payload: bool = True) -> DataFrame:
     payload_bytes, payload) or gap (gap_reason set, the rest null). A file is one task's work
     and is streamed, one record in memory at a time. A revisit has the digest and length of
     the payload it stands for. An empty file has no rows; a file that is all damage is one gap.
+    Records of a member that holds several share its offset, and its length counts with the
+    first. A column `n_records` says how many responses and revisits the writer put into a
+    file; where it is there, a file that gives another number is an error.
     """
     spark = files.sparkSession
-    named = files.select("file")
+    told = "n_records" in files.columns
+    named = files.select("file", F.col("n_records") if told else F.lit(None).cast("long").alias("n_records"))
 
     def read(batches):
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 place, inner = place_of(path)
-                rows, held = [], 0
+                rows, held, pages = [], 0, 0
                 with place.open_input_stream(inner, compression=None) as stream:
                     for r in salvage(stream):
                         rows.append(_row(path, r, keep_payload))
                         held += len(r.block)
+                        pages += r.headers.get("warc-type") in ("response", "revisit")
                         if held > READ_BYTES * 8 or len(rows) >= 5000:
                             yield _batch(rows)
                             rows, held = [], 0
                 yield _batch(rows)
+                if wanted is not None and pages != wanted:
+                    raise RuntimeError(f"{path} holds {pages} of the {wanted} records written to it")
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return named.repartition(n, "file").mapInArrow(read, RECORD)
@@ -342,10 +372,10 @@ def archived_pages(spark: SparkSession, pages: DataFrame, folder: str | None = N
     reads back as null. An empty table gives no archive and no rows.
     """
     folder = folder or scratch_path(spark, "warc")
-    listed = write_archives(pages.select("page_id", "url", "html"), folder).select("file")
+    listed = write_archives(pages.select("page_id", "url", "html"), folder).select("file", "n_records")
     path = scratch_path(spark, "warc-list")
     listed.write.parquet(path)
-    records = read_archives(spark.read.schema("file string").parquet(path), keep_payload=False)
+    records = read_archives(spark.read.schema("file string, n_records long").parquet(path), keep_payload=False)
     number = lambda c: F.regexp_extract(c, "urn:page:(-?\\d+)", 1)
     as_id = lambda c: F.when(number(c) != "", number(c)).cast(pages.schema["page_id"].dataType)
     return records.where("type in ('response', 'revisit')").select(

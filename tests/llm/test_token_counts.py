@@ -49,3 +49,11 @@ def test_table(spark, docs_of, odd_rows, ranks):
         assert (r.n_after, r.chars_after) == (len(tok.encoding.encode_ordinary(new)), len(new))
     assert {r.doc_id: r.n_edits for r in got}[30] == 4
     assert edit_aware_counts(docs_of(rows).where("false"), ranks).count() == 0
+
+
+def test_vocabularies_that_begin_alike_are_told_apart(spark):
+    ranks = {bytes([i]): i for i in range(256)}
+    other = ranks | {b"ab": 256}
+    longer = ranks | {b"cd": 256}
+    docs = spark.createDataFrame([(1, "ababab cdcd")], "doc_id long, text string")
+    assert [edit_aware_counts(docs, r).first()["n_before"] for r in (other, longer, other)] == [8, 9, 8]

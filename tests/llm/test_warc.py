@@ -66,3 +66,24 @@ def test_reader_lists_gaps_and_payloads(spark, tmp_path):
     assert [r.type for r in rows] == ["response", None, "response"]
     assert bytes(rows[0].payload) == body and rows[1].length == 3 and rows[1].gap_reason
     assert payload_of(b"plain") == b"plain"
+
+
+def test_a_member_may_hold_several_records():
+    parts = list(records(6))
+    got = list(salvage(io.BytesIO(member(b"".join(parts[:5])) + member(parts[5]))))
+    assert [r.headers["warc-record-id"][10:-1] for r in got] == [str(i) for i in range(6)]
+    assert [r.offset for r in got[:5]] == [0] * 5 and sum(r.length for r in got) == len(member(b"".join(parts[:5])) + member(parts[5]))
+    torn = parts[1].replace(b"Content-Length: ", b"Content-Length: 1", 1)
+    got = list(salvage(io.BytesIO(member(b"".join([parts[0], torn, *parts[2:5]])))))
+    assert [r.headers["warc-record-id"][10:-1] for r in got if not r.reason] == ["0", "2", "3", "4"]
+    assert [r.reason.startswith(f"{len(torn)} bytes") for r in got if r.reason] == [True]
+
+
+def test_a_lost_record_is_an_error(spark, tmp_path):
+    data = b"".join(member(r) for r in records(3))
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    files = lambda n: spark.createDataFrame([(str(path), n)], "file string, n_records long")
+    assert read_archives(files(3)).count() == 3 and read_archives(files(None)).count() == 3
+    with pytest.raises(Exception, match="3 of the 4 records"):
+        read_archives(files(4)).collect()
