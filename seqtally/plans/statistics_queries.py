@@ -16,8 +16,9 @@ from .registry import query
 from .shape import shown, single, single_sql
 from .views import Tables
 
-# every gene has hits here, so a gene is positive in the 2x2 tables when most of its hits are sense
-POSITIVE = "sense_hits * 2 > total_hits"
+# every gene has hits here, so a gene is positive in the 2x2 tables when they lie close together;
+# short transcripts have more hits per length, so sets by size are enriched or depleted in fact
+POSITIVE = "total_hits * 1000 > 24 * total_utr_len"
 GENE_HITS = f"gh as (select fbgn, total_hits, sense_hits, anti_hits, total_utr_len from ({BYG}) b)"
 SETS = "ss as (select distinct set_name, fbgn from gene_sets)"
 
@@ -45,7 +46,7 @@ def _(t: Tables):
 
 
 TABLE = f"""{GENE_HITS}, {SETS}, uni as (select fbgn from gh union select fbgn from ss),
- fl as (select u.fbgn, g.fbgn is not null and g.sense_hits * 2 > g.total_hits as p from uni u left join gh g on u.fbgn = g.fbgn),
+ fl as (select u.fbgn, g.fbgn is not null and g.total_hits * 1000 > 24 * g.total_utr_len as p from uni u left join gh g on u.fbgn = g.fbgn),
  ct as (select set_name, count(*) filter (where p) as a, count(*) filter (where not p) as b, (select count(*) from fl where p) - count(*) filter (where p) as c,
   (select count(*) from fl where not p) - count(*) filter (where not p) as d from ss join fl on ss.fbgn = fl.fbgn group by set_name),
  ora as (select *, case when a + b = 0 or c + d = 0 or a + c = 0 or b + d = 0 then cast('nan' as double) when b = 0 or c = 0 then cast('inf' as double)
@@ -241,7 +242,7 @@ def _(t: Tables):
 @query(
     "set_labels",
     """select distinct set_name, case when starts_with(set_name, 'go_') then concat('Go: ', upper(substr(s, 4, 1)), substr(s, 5, position(' ' in substr(s, 5))), upper(split_part(s, ' ', 3)))
-    else concat(upper(substr(s, 6, 1)), substr(s, 7)) end as label from (select set_name, replace(set_name, '_', ' ') as s from gene_sets) x""",
+    when starts_with(set_name, 'size_') then concat('Size ', substr(s, 6)) else concat(upper(substr(s, 6, 1)), substr(s, 7)) end as label from (select set_name, replace(set_name, '_', ' ') as s from gene_sets) x""",
 )
 def _(t: Tables):
     return t.gene_sets.select("set_name").distinct().withColumn("label", set_label(F.col("set_name")))

@@ -102,6 +102,9 @@ select distinct concat('go_', lower(replace(p_brand, '#', '_'))) as set_name,
   concat('gn', cast(p_partkey - p_partkey % 3 as string)) as fbgn from part
 union all
 select distinct concat('expr_', lower(p_type)) as set_name,
+  concat('gn', cast(p_partkey - p_partkey % 3 as string)) as fbgn from part
+union all
+select distinct concat('size_', cast(cast(floor(p_size / 10) as int) as string)) as set_name,
   concat('gn', cast(p_partkey - p_partkey % 3 as string)) as fbgn from part""",
     "gene_groups": """
 select distinct p_brand as group_name,
