@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from ..functions.coords import locus_id
-from ..scale import quantiles, skew_join, with_row_number
+from ..scale import quantiles, skew_join, stage, with_row_number
 from . import intervals as iv
 
+#: finest grid of a match search: cells as wide as a loss of 0.5 / 2 ** 12
+MAX_LEVEL = 12
+
 
 def classify_known(
     hits: DataFrame,
@@ -97,6 +102,7 @@ def best_match_join(
     right_order: str,
     payload: Sequence[str],
     min_score: float = 1.5,
+    few: int = 64,
 ) -> DataFrame:
     """For each left row the right row of the same keys with the best match score.
 
@@ -107,21 +113,51 @@ def best_match_join(
     to the first per (keys, identity, length) before they meet the left side, and left rows
     to their distinct (keys, identity, length): a pile of equal rows on either side is one
     row in the join. The winner is kept by a running max, not by collecting a group.
+
+    Keys with more than `few` right shapes are searched on grids. A cell is as wide in
+    identity and in log length as a loss of `reach`; who finds a match that loses no more than
+    that in its own cell and those around it has the best one, and only the others look again
+    on the next grid, twice as coarse, up to the loss that `min_score` allows. A crowded key
+    starts where its cells hold some `few` shapes, so its pairs grow with its rows.
     """
     on = list(on)
     shape = [*on, "pident", "length"]
     reps = (
         right.groupBy(*on, "r_pident", "r_length")
-        .agg(F.min(F.struct(right_order, *payload)).alias("_p"))
+        .agg(F.min(F.struct(right_order, *[c for c in payload if c != right_order])).alias("_p"))
     )
     wanted = left.select(*shape).distinct()
     score = match_score("pident", "r_pident", "length", "r_length")
     rank = F.struct(score.alias("score"), (-F.col(f"_p.{right_order}")).alias("neg"), F.col("_p"))
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("_rank", rank).groupBy(*shape).agg(F.max("_rank").alias("_best"))
+
+    reps = stage(reps, "shapes")
+    level = F.floor(F.log2(F.count(F.lit(1)) / few) / 2).cast("int")
+    crowded = stage(reps.groupBy(*on).agg(F.greatest(F.lit(0), F.least(level, F.lit(MAX_LEVEL))).alias("_level")).where("_level > 0"), "crowded")
+    deepest = crowded.select(F.max("_level")).first()[0] or 0
+    found = []
+    if deepest:
+        wanted = wanted.join(crowded, on, "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
+        open_ = stage(wanted, "wanted")
+        near = reps.join(crowded.select(*on), on, "left_semi")
+        for step in range(deepest, 0, -1):
+            reach = (2 - min_score) / 2**step
+            cells = _cells("r_pident", "r_length", reach)
+            around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+            x, y = _cells("pident", "length", reach)
+            looking = open_.where(F.col("_level") >= step).withColumn("_a", around)
+            looking = looking.select(*shape, (x + F.col("_a.i")).alias("_x"), (y + F.col("_a.j")).alias("_y"))
+            best = best_of(skew_join(looking, near.select("*", cells[0].alias("_x"), cells[1].alias("_y")), [*on, "_x", "_y"]))
+            # what lies outside the cells around loses more than `reach`; a hair less for rounding
+            settled = stage(best.where(F.col("_best.score") >= 2 - reach * (1 - 1e-9)), "settled")
+            found.append(settled)
+            open_ = stage(open_.join(settled.select(*shape), shape, "left_anti"), "open")
+        wanted = open_.select(*shape)
+    found.append(best_of(skew_join(wanted, reps, on)))
     best = (
-        skew_join(wanted, reps, on)
-        .withColumn("_rank", rank)
-        .groupBy(*shape)
-        .agg(F.max("_rank").alias("_best"))
+        reduce(DataFrame.unionByName, found)
         .where(F.col("_best.score") > min_score)
         .select(
             *shape,
@@ -132,6 +168,12 @@ def best_match_join(
     return skew_join(left, best, shape)
 
 
+def _cells(pident: str, length: str, reach: float) -> tuple[Column, Column]:
+    """Cell of an identity and a length; cells two apart in either lose at least `reach`."""
+    loss = F.log(F.greatest(F.col(length), F.lit(1)).cast("double"))
+    return F.floor(F.col(pident) / (100 * reach)), F.floor(loss / -math.log1p(-reach))
+
+
 def first_match_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], order: str, payload: Sequence[str]
 ) -> DataFrame:

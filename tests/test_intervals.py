@@ -109,3 +109,20 @@ def test_funnel_counts_removed_rows(spark):
     df = spark.range(10)
     got = [tuple(r) for r in lc.filter_funnel(df, {"a": F.col("id") > 2, "b": F.col("id") % 2 == 0}).orderBy("step").collect()]
     assert got == [(1, "a", 7, 3), (2, "b", 3, 4)]
+
+
+@pytest.mark.parametrize("few,min_score", [(1, 1.5), (64, 1.5), (1, 0.8)])
+def test_best_match_on_grids_equals_all_pairs(spark, few, min_score):
+    rng = random.Random(few)
+    shape = lambda: (round(rng.choice([rng.uniform(0, 100), rng.gauss(80, 3), 50.0]), 2), rng.choice([rng.randint(0, 5000), rng.randint(90, 110), 100]))
+    left = [("hot" if i < 250 else f"k{i % 40}", i, *shape()) for i in range(330)] + [("hot", 900, None, 5), (None, 901, 1.0, 5)]
+    right = [("hot" if i < 300 else f"k{i % 40}", i, *shape()) for i in range(380)] + [("hot", 950, None, 7), ("hot", 951, 80.0, None)]
+    ldf = spark.createDataFrame(left, "k string, i int, pident double, length int")
+    rdf = spark.createDataFrame(right, "k string, no int, r_pident double, r_length int").withColumn("tag", F.concat(F.lit("t"), F.col("no").cast("string")))
+    got = {r["i"]: (r["match_score"], r["no"]) for r in lc.best_match_join(ldf, rdf, ["k"], ["i"], "no", ["no", "tag"], min_score, few=few).collect()}
+    want = {}
+    for k, i, p, n in left:
+        scored = [((1 - abs(p - rp) / 100) + (1 - abs(n - rn) / max(n, rn, 1)), -no) for rk, no, rp, rn in right if rk == k and None not in (k, p, n, rp, rn)]
+        if scored and max(scored)[0] > min_score:
+            want[i] = (max(scored)[0], -max(scored)[1])
+    assert got == want and len(want) > 150
