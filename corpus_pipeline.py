@@ -4,14 +4,14 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it k
 writes a stage's result as Parquet and reads it again as the next one's docs. All stages but
 the last return the columns of `documents`, extra ones included.
 
-A row without a doc_id is scored like others where the row itself decides (toxicity,
-decontamination); it cannot be rejected by its id and so passes language ID and the near
-duplicates. Stages on an empty table return empty tables.
+Rows are told apart by what they hold, not by doc_id alone: a doc_id that occurs with a good
+and a bad text keeps the good one, and rows without a doc_id are judged like others. Stages on
+an empty table return empty tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqtally.llm.common import Bloom, table
@@ -25,58 +25,86 @@ from seqtally.llm.toxicity import fit, held_out, score
 from seqtally.scale import stage
 
 LOG_BITS = 24
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
-def _split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of `docs` whose doc_id is surely not in `ids`, and the others.
+def row_key() -> Column:
+    """Number of 63 bits that stands for a row's doc_id, text, lang and source, nulls included."""
+    columns = ("doc_id", "text", "lang", "source")
+    return F.shiftrightunsigned(F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]), 1)
+
+
+def _bounded(docs: DataFrame) -> DataFrame:
+    """Texts reach Python in batches of `BATCH_BYTES`, unless the session names a size of its own."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return docs
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with its row key under a free name."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, row_key()), name
+
+
+def _split(docs: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of `docs` whose key is surely not in `keys`, and the others.
 
     The test is a Bloom filter of fixed size, so the texts of the first part, nearly all of
-    them where `ids` are few, need no shuffle.
+    them where `keys` are few, need no shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids, LOG_BITS))
+    sent = docs.sparkSession.sparkContext.broadcast(Bloom.of(keys, LOG_BITS))
 
     @F.arrow_udf("boolean")
     def known(values):
         import pyarrow as pa
 
-        found = sent.value.has(values.fill_null(0).to_numpy(zero_copy_only=False))
-        return pa.array(found & values.is_valid().to_numpy(zero_copy_only=False))
+        return pa.array(sent.value.has(values.to_numpy(zero_copy_only=False)))
 
-    test = known(F.col("doc_id").cast("long"))
+    test = known(F.col(key))
     return docs.where(~test), docs.where(test)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are scored below the threshold."""
     settings = ToxicitySettings()
+    docs = _bounded(docs)
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
     return docs.where(score(docs, fit(docs, labels, settings)) < settings.threshold)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with enough confidence."""
-    rows = docs.select("doc_id", "text", "lang", F.col("source").alias("host"))
-    found = identify(rows, evidence=page_evidence(table(spark, sf_dir, "pages")).drop("page_host"))
-    rejected = stage(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "rejected")
-    clear, rest = _split(docs, rejected)
-    return clear.unionByName(rest.join(rejected, "doc_id", "left_anti"))
+    docs, key = _keyed(_bounded(docs))
+    rows = docs.select(F.col(key).alias("doc_id"), "text", "lang", F.col("source").alias("host"))
+    page = page_evidence(table(spark, sf_dir, "pages")).drop("page_host")
+    own = docs.where("doc_id is not null").select("doc_id", key).join(page, "doc_id").drop("doc_id")
+    found = identify(rows, evidence=own.withColumnRenamed(key, "doc_id").dropDuplicates(["doc_id"]))
+    rejected = stage(found.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "rejected")
+    clear, rest = _split(docs, key, rejected)
+    return clear.unionByName(rest.join(rejected, key, "left_anti")).drop(key)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component, once."""
-    found = stage(near_duplicates(docs), "components").where("doc_id is not null")
-    others = found.where("component_id <> doc_id").select("doc_id").distinct()
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
+    """One document of each component: that with the smallest row key, once."""
+    docs, key = _keyed(_bounded(docs))
+    found = stage(near_duplicates(docs.select(F.col(key).alias("doc_id"), "text")), "components")
+    found = found.withColumnRenamed("doc_id", key)
+    others = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
+    again = found.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(key)
     others, again = stage(others, "others"), stage(again, "again")
-    clear, rest = _split(docs, others.unionByName(again))
-    rest = rest.join(others, "doc_id", "left_anti")
-    # the few rows of a doc_id that occurs again: one of them, by text
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    number = "_copy"
+    clear, rest = _split(docs, key, others.unionByName(again))
+    rest = rest.join(others, key, "left_anti")
+    # the few rows that occur again: one of them
+    number = f"{key}_n"
     while number in docs.columns:
         number += "_"
+    order = Window.partitionBy(key).orderBy("doc_id")
     rest = rest.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
-    return clear.unionByName(rest.select(clear.columns))
+    return clear.unionByName(rest.select(clear.columns)).drop(key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +112,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     into = "_contamination"
     while into in docs.columns:
         into += "_"
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), into)
+    found = find_contamination(_bounded(docs), table(spark, sf_dir, "benchmark"), into)
     return found.where(F.col(into)["n_hit"] == 0).drop(into)
 
 
