@@ -110,3 +110,50 @@ def test_tallies_take_the_newest_row_of_each_subject(spark, tmp_path):
     ingest.ingest(spark, folder, out, state).awaitTermination()
     assert {r.te_id: r.total_hits for r in ingest.latest(spark, out).collect()} == {"te1": 1, "te2": 2, "te3": 1}
     assert spark.read.parquet(out).count() == 4  # changed subjects only
+
+
+def test_compacted_tallies_survive_retries(spark, tmp_path):
+    from seqtally.streaming import ingest
+
+    out = str(tmp_path / "out")
+    schema = "te_id string, total_hits long, sense_hits long, anti_hits long, total_bp long"
+
+    def batch(number, **hits):
+        rows = [(k, n, n, 0, 10 * n) for k, n in hits.items()]
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+
+    def totals(upto=None):
+        return {r.te_id: r.total_hits for r in ingest.latest(spark, out, upto).collect()}
+
+    batch(0, a=1, b=1)
+    batch(1, b=2)
+    # stopped before its manifest entry: no reader looks at what it wrote
+    spark.createDataFrame([("a", 99, 99, 0, 1)], schema).write.parquet(f"{out}/_compacted/upto=000000001")
+    assert totals() == {"a": 1, "b": 2}
+    for _ in range(2):  # done again, and again after it was finished
+        ingest.compact(spark, out, 1)
+        assert totals() == {"a": 1, "b": 2}
+    batch(1, b=2)  # a batch that is retried after its compaction
+    batch(2, c=5)
+    assert totals() == {"a": 1, "b": 2, "c": 5} and totals(1) == {"a": 1, "b": 2}
+    ingest.compact(spark, out, 2)
+    batch(3, a=7)
+    assert totals() == {"a": 7, "b": 2, "c": 5}
+    ingest.compact(spark, out, 3)
+    # what the entry before the last one names is still there, what is older is gone
+    kept = sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("batch"))
+    assert kept == ["batch=000000003"] and totals() == {"a": 7, "b": 2, "c": 5}
+    assert ingest._numbers(spark, f"{out}/_manifest", committed=True) == [2, 3]
+
+
+def test_ingest_compacts_as_it_goes(spark, tmp_path):
+    from seqtally.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    line = "q\tte{}\t90\t50\t0\t0\t1\t50\t1\t50\t0.001\t60\n"
+    for i in range(6):
+        (tmp_path / "in" / f"{i}.tsv").write_text(line.format(i % 4) + line.format("x"))
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), 1, compact_every=2).awaitTermination()
+    got = {r.te_id: r.total_hits for r in ingest.latest(spark, str(tmp_path / "out")).collect()}
+    assert got == {"te0": 2, "te1": 2, "te2": 1, "te3": 1, "tex": 6}
+    assert ingest._numbers(spark, str(tmp_path / "out")) == [4, 5]
