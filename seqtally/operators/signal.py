@@ -211,13 +211,27 @@ def find_peaks(signal: DataFrame, threshold: float = 0.1, min_distance: int = 10
 
 
 def _spans_with_family(hits: DataFrame, underscore: bool) -> DataFrame:
-    return hits.select(
-        "qseqid",
-        (F.col("qstart") - 1).alias("h_lo"),
-        F.col("qend").alias("h_hi"),
-        subject_token(F.col("sseqid"), underscore).alias("family"),
-        is_plus().alias("is_plus"),
-        inverse_evalue().alias("w"),
+    """Distinct spans of a family with their hits by strand and summed weight.
+
+    Equal spans are one row in the joins that follow: a query has no more of them per family
+    than its length allows, however many hits it has.
+    """
+    return (
+        hits.select(
+            "qseqid",
+            (F.col("qstart") - 1).alias("h_lo"),
+            F.col("qend").alias("h_hi"),
+            subject_token(F.col("sseqid"), underscore).alias("family"),
+            is_plus().alias("is_plus"),
+            inverse_evalue().alias("w"),
+        )
+        .groupBy("qseqid", "h_lo", "h_hi", "family")
+        .agg(
+            F.sum("w").alias("w"),
+            F.count_if("is_plus").alias("plus"),
+            F.count_if(~F.col("is_plus")).alias("minus"),
+            F.count(F.lit(1)).alias("hits"),
+        )
     )
 
 
@@ -247,8 +261,8 @@ def annotate_peaks(peaks: DataFrame, hits: DataFrame, bin_width: int = 512) -> D
         .groupBy("qseqid", F.col("p_lo").alias("pos"), "family")
         .agg(
             F.sum("w").alias("weight"),
-            F.count_if("is_plus").alias("plus"),
-            F.count_if(~F.col("is_plus")).alias("minus"),
+            F.sum("plus").alias("plus"),
+            F.sum("minus").alias("minus"),
         )
     )
     key = ["qseqid", "pos"]
@@ -351,7 +365,7 @@ def annotate_clusters(
             ("c_lo", "c_hi"), closed=False, bin_width=bin_width,
         )
         .groupBy(*key, "family")
-        .agg(F.count("*").alias("count"), F.sum("w").alias("score"))
+        .agg(F.sum("hits").alias("count"), F.sum("w").alias("score"))
     )
     top = _top_families(per_family, key, F.struct("count", "score"), "score")
     number = F.row_number().over(Window.partitionBy("qseqid").orderBy("c_lo"))

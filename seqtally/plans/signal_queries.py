@@ -57,11 +57,20 @@ def _(t: Tables):
     return single(signal.density_summary(signal.density_runs(t.hits), t.hits))
 
 
-@query("smoothed_signal")
+# smoothing with reflecting edges keeps every sum, and gives all positions of the tiles (of 4096)
+# that a covered position reaches over its kernel of 100 positions and one beside it
+@query(
+    "smoothed_signal",
+    f"""with {POS}, ti as (select distinct qseqid, qlen, unnest(range(greatest(cast(floor((pos - 101) / 4096) as bigint), 0),
+     least(cast(floor((pos + 101) / 4096) as bigint), cast(floor((qlen - 1) / 4096) as bigint)) + 1)) as t from dens),
+     n as (select qseqid, cast(sum(least(qlen, t * 4096 + 4096) - t * 4096) as bigint) as positions from ti group by qseqid)
+    select n.qseqid, positions, {', '.join(f'round(sum({m}), 4) as {m}, round(sum({m}), 4) as {m}_raw' for m in signal.METRICS)}
+    from n join dens d on n.qseqid = d.qseqid group by n.qseqid, positions""",
+)
 def _(t: Tables):
     # all positions, folded to the sums that smoothing must preserve
     sums = [F.sum(c).alias(c) for m in signal.METRICS for c in (m, f"{m}_raw")]
-    return signal.smooth(t.hits).groupBy("qseqid").agg(F.count("*").alias("positions"), *sums)
+    return single(signal.smooth(t.hits).groupBy("qseqid").agg(F.count("*").alias("positions"), *sums))
 
 
 # Level stretches must stay level, so both sides compare the leading bits of sums: the last
