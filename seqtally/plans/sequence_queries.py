@@ -290,10 +290,11 @@ def _(t: Tables):
     )
 
 
-CHAIN = f"""{WORDS.format(k=11)}, dg as (select *, sp - qp as d from sd), fl as (select *, case when qp - 1 <= max(qp - 1 + 11) over (partition by qseq, seq_id, strand, d order by qp rows between unbounded preceding and 1 preceding) + 10 then 0 else 1 end as f from dg),
+CHAINED = WORDS + """, dg as (select *, sp - qp as d from sd), fl as (select *, case when qp - 1 <= max(qp - 1 + {k}) over (partition by qseq, seq_id, strand, d order by qp rows between unbounded preceding and 1 preceding) + 10 then 0 else 1 end as f from dg),
  gr as (select *, sum(f) over (partition by qseq, seq_id, strand, d order by qp rows unbounded preceding) as g from fl),
- sg as (select qseq, seq_id, strand, d, min(qp) as a, max(qp) + 10 as b, count(*) as seeds from gr group by qseq, seq_id, strand, d, g),
+ sg as (select qseq, seq_id, strand, d, min(qp) as a, max(qp) + {k} - 1 as b, count(*) as seeds from gr group by qseq, seq_id, strand, d, g),
  sc as (select g.*, b - a + 1 as n, len(list_filter(range(0, b - a + 1), lambda i: qseq[a + i] = s.sseq[a + d + i])) as m from sg g join st s on g.seq_id = s.seq_id and g.strand = s.strand)"""
+CHAIN = CHAINED.format(k=11)
 
 
 @query(
@@ -326,10 +327,16 @@ def _(t: Tables):
     return grid.join(usable, "word_size").drop("combo_id")
 
 
-@query("search_sweep")
+def _sweep_sql(k: int) -> str:
+    return f"""select * from (with {CHAINED.format(k=k)}
+    select {k} as word_size, r as reward, p as penalty, count(*) as total_hits, count(*) filter (where strand = 'plus') as plus_hits, count(distinct qseq) as unique_queries,
+    round(avg(100 * m / n), 6) as mean_pident, round(avg(n), 6) as mean_length from sc cross join (values (1, -1), (1, -2), (1, -3), (2, -3)) z(r, p) where r * m + p * (n - m) >= 12 group by r, p) w{k}"""
+
+
+@query("search_sweep", " union all ".join(_sweep_sql(k) for k in (9, 11)))
 def _(t: Tables):
     reps = t.sequences.groupBy("seq").agg(F.min("seq_id").alias("seq_id"))
-    return sim.sweep(reps, t.subject_seqs, [9, 11], [(1, -1), (1, -2), (1, -3), (2, -3)])
+    return shown(sim.sweep(reps, t.subject_seqs, [9, 11], [(1, -1), (1, -2), (1, -3), (2, -3)]))
 
 
 def _as_hits(found: DataFrame) -> DataFrame:
