@@ -314,24 +314,29 @@ def region_overlap(hits: DataFrame, regions: DataFrame, family_map: DataFrame, k
 
     known = regions.select("region_id").distinct()
     mapped = family_map.join(known, "region_id", "left_semi")
-    tagged = (
-        hits.withColumn("family_key", F.lower("family"))
-        .join(mapped, "family_key", "left")
-        .drop("family_key")
-    )
+    # regions are looked up once per distinct span of a family, then hits fetch the answer by span:
+    # a family's name alone, of which there are few, is never the key of raw hits
+    spans = hits.select(F.lower("family").alias("family_key"), "s_lo", "s_hi").distinct().join(mapped, "family_key", "left")
     bp = F.least("s_hi", "reg_end") - F.greatest("s_lo", "reg_start")
+    at = ["region_id", "s_lo", "s_hi"]
     found = overlap_join(
-        tagged.where(F.col("region_id").isNotNull()).select("region_id", "s_lo", "s_hi", *key),
+        spans.where(F.col("region_id").isNotNull()).select(*at).distinct(),
         regions,
         ["region_id"],
         ("s_lo", "s_hi"),
         ("reg_start", "reg_end"),
         closed=False,
-    ).select(*key, "region", bp.alias("region_bp"))
+    ).select(*at, "region", bp.alias("region_bp"))
+    met = spans.join(found, at)
+    span = ["family_key", "s_lo", "s_hi"]
+    answers = met.unionByName(spans.join(met.select(*span).distinct(), span, "left_anti"), allowMissingColumns=True)
+    answers = answers.withColumnsRenamed({"family_key": "_family", "s_lo": "_lo", "s_hi": "_hi"})
+    same = F.lower("family").eqNullSafe(F.col("_family")) & F.col("s_lo").eqNullSafe(F.col("_lo")) & F.col("s_hi").eqNullSafe(F.col("_hi"))
     missing = F.when(F.col("region_id").isNull(), "unannotated").otherwise("intergenic")
     spare = F.when(F.col("region_id").isNull(), F.col("length")).otherwise(F.col("s_hi") - F.col("s_lo"))
     return (
-        tagged.join(found, list(key), "left")
+        hits.join(answers, same)
+        .drop("_family", "_lo", "_hi")
         .withColumn("region_bp", F.coalesce("region_bp", spare))
         .withColumn("region", F.coalesce("region", missing))
     )
