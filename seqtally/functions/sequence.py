@@ -142,17 +142,21 @@ def kmers(seqs: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> Dat
 
 def flanked_kmers(seqs: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """Words with the letters beside them: (key, pos, kmer, before, after), `''` at the ends."""
-    words = F.expr(
-        f"transform(sequence(0, least(core - 1, length(text) - lead - {k})), i -> named_struct("
-        f"'pos', offset + i + 1, 'kmer', substring(text, lead + i + 1, {k}), "
-        f"'before', if(lead + i > 0, substring(text, lead + i, 1), ''), "
-        f"'after', substring(text, lead + i + 1 + {k}, 1)))"
-    )
-    return (
+    # one cut a word, with both letters beside it; what is no letter at the text's start is a blank
+    words = F.expr(f"transform(sequence(0, least(core - 1, length(wide) - {k + 1})), i -> substring(wide, i + 1, {k + 2}))")
+    cut = (
         pieces(seqs, key, seq, before=1, after=k)
-        .where(F.length("text") >= F.col("lead") + k)
-        .select(key, F.explode(words).alias("w"))
-        .select(key, "w.pos", "w.kmer", "w.before", "w.after")
+        .withColumn("wide", F.when(F.col("lead") == 0, F.concat(F.lit(" "), "text")).otherwise(F.col("text")))
+        .where(F.length("wide") > k)
+        .select(key, "offset", F.posexplode(words).alias("i", "w"))
+    )
+    first = F.col("offset") + F.col("i") == 0
+    return cut.select(
+        key,
+        (F.col("offset") + F.col("i") + 1).alias("pos"),
+        F.substring("w", 2, k).alias("kmer"),
+        F.when(first, "").otherwise(F.substring("w", 1, 1)).alias("before"),
+        F.substring("w", k + 2, 1).alias("after"),
     )
 
 
