@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from seqtally.functions import sequence as sq
 from seqtally.operators import annotation as an
 from seqtally.sources import annotation, sinks
 
@@ -12,3 +13,19 @@ def test_no_set_inside_the_limits(spark, tmp_path):
     assert annotation.read_gene_sets(spark, str(tmp_path / "none"), one_file_per_set=False).collect() == []
     sinks.write_gene_sets(sets, str(tmp_path / "one"), 2, 9)
     assert {tuple(r) for r in annotation.read_set_folders(spark, str(tmp_path / "one")).collect()} == {("FBgn1", "a"), ("FBgn2", "a")}
+
+
+def test_match_line_of_empty_and_unequal_texts(spark):
+    rows = [(1, "", ""), (2, "AC", "A"), (3, "A-", "A"), (4, None, "A"), (5, "\U0001f600-", "\U0001f600\u00e9")]
+    df = spark.createDataFrame(rows, "n int, q string, s string")
+    got = {r.n: r.m for r in df.select("n", sq.match_line(F.col("q"), F.col("s")).alias("m")).collect()}
+    assert got == {1: "", 2: "|.", 3: "| ", 4: None, 5: "| "}
+
+
+def test_alignment_lines_of_long_texts(spark):
+    q, s = "AC-T" * 40, "ACGA" * 40
+    df = spark.createDataFrame([(q, s, 5, 300, False), ("", "", 1, 1, True)], "q string, s string, a int, b int, plus boolean")
+    lines = df.select(F.inline(sq.alignment_lines(*[F.col(c) for c in ("q", "s", "a", "b", "plus")]))).collect()
+    assert [(r.q_from, r.q_to, r.s_from, r.s_to) for r in lines] == [(5, 64, 300, 241), (65, 124, 240, 181), (125, 164, 180, 141)]
+    assert "".join(r["query"] for r in lines) == q and "".join(r.subject for r in lines) == s
+    assert "".join(r.marks for r in lines) == "|| ." * 40
