@@ -1,9 +1,16 @@
+import math
+
+import duckdb
+import oracle
 from pyspark.sql import functions as F
 
 from seqtally.functions import sequence as sq
 from seqtally.operators import annotation as an
+from seqtally.plans.registry import CHECKS, _load, check_texts, run
+from seqtally.plans.statistics_queries import RANK_P
 from seqtally.sources import annotation, sinks
 
+_load()
 
 def test_no_set_inside_the_limits(spark, tmp_path):
     sets = spark.createDataFrame([("a", "FBgn1"), ("a", "FBgn2"), ("b", "FBgn1")], "set_name string, fbgn string")
@@ -29,3 +36,40 @@ def test_alignment_lines_of_long_texts(spark):
     assert [(r.q_from, r.q_to, r.s_from, r.s_to) for r in lines] == [(5, 64, 300, 241), (65, 124, 240, 181), (125, 164, 180, 141)]
     assert "".join(r["query"] for r in lines) == q and "".join(r.subject for r in lines) == s
     assert "".join(r.marks for r in lines) == "|| ." * 40
+
+
+def test_far_rank_tails_in_sql():
+    xs = [0.5, 2.0, 5.9, 6.1, 12.0, 20.0]
+    z = "z as (select 's' as set_name, 9 as n_in, 9 as n_out, x as u, 1.0 as median_in, 1.0 as median_out, x from unnest(" + str(xs) + "::double[]) t(x))"
+    pv = RANK_P[RANK_P.index(" pv as (select set_name") :]
+    got = duckdb.sql(f"with {z}, {pv} select u, mw_p from pv order by u").fetchall()
+    for x, p in got:
+        assert math.isclose(p, math.erfc(x), rel_tol=1e-4, abs_tol=1e-13)
+
+
+def test_top_hits_sql_orders_by_the_value_itself():
+    con = duckdb.connect()
+    con.sql("""create table hits as select i as l_orderkey, 1 as l_linenumber, 1 as l_partkey, 1 as l_suppkey,
+      1e-3 - i * 1e-13 as evalue from range(100) r(i)""")
+    best = [r[0] for r in con.sql(CHECKS["top_hits_by_evalue"]).fetchall()]
+    assert sorted(best) == list(range(50, 100))
+
+
+def test_subject_coverage_sql_with_equal_starts():
+    con = duckdb.connect()
+    # stretches of 10 bases, 20 apart; every start 100 times with ends that differ
+    con.sql("""create table hits as select concat('te', i % 50) as sseqid, 1 + i // 5000 % 60 * 20 as sstart,
+      1 + i // 5000 % 60 * 20 + i * 7 % 10 as send from range(300000) r(i)""")
+    con.sql("create table subjects as select concat('te', i) as te_id, 'f' as family, 2000 as te_length from range(50) r(i)")
+    got = con.sql(CHECKS["subject_coverage"]).fetchall()
+    want = con.sql("""select sseqid, count(distinct p) from (select sseqid, unnest(range(sstart, send + 1)) as p
+      from (select distinct sseqid, sstart, send from hits)) group by 1""").fetchall()
+    assert {r[0]: r[3] for r in got} == dict(want)
+
+
+def test_hit_and_rest_means_are_exact(spark):
+    folder = "/root/testdata/sf0.001"
+    got = run("hit_vs_rest_scores", spark, folder)
+    assert oracle.compare(got, oracle.connect(folder), check_texts()["hit_vs_rest_scores"])[0] == "OK"
+    # no value was rounded on the way
+    assert got.where("hit_mean <> round(hit_mean, 6)").count() > 0
