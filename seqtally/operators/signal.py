@@ -187,6 +187,14 @@ def run_maxima(runs: DataFrame, threshold: float = 0.1) -> DataFrame:
     )
 
 
+def crests(positions: DataFrame) -> DataFrame:
+    """Smoothed positions above 0 that no neighbour exceeds: all local maxima and each query's
+    maximum, so `find_peaks` finds the same in them as in all positions."""
+    c = F.col("combined")
+    beside = [(c >= F.col(side)) | F.col(side).isNull() for side in ("prev_combined", "next_combined")]
+    return positions.where((c > 0) & beside[0] & beside[1])
+
+
 def local_maxima(positions: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Interior positions above the threshold share of the query's maximum that rise
     strictly from the left and do not rise to the right (smoothed positions)."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqtally.functions import sequence as sq
 from seqtally.operators import annotation as an
-from seqtally.operators import nullmodel, similarity
+from seqtally.operators import nullmodel, signal, similarity
 from seqtally.plans.registry import CHECKS, _load, check_texts, run
 from seqtally.plans.statistics_queries import RANK_P
 from seqtally.sources import annotation, sinks
@@ -138,3 +138,18 @@ def test_gc_of_a_long_text(spark):
     for i in (0, 10, 25, 65535, 65536, 69990, 69999):
         w = t[max(i - 25, 0) : i + 25]
         assert got[i].gc == sum(c in "GC" for c in w) / len(w)
+
+
+def test_crests_hold_all_peaks(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        a, n = rng.randrange(1, 8800), rng.randrange(5, 200)
+        rows.append((f"q{i % 4}", "s", 90.0, n, a, a + n, 1 + i % 2, 3 - i % 2 * 2, rng.random() + 0.01, 50.0, 9000))
+    cols = "qseqid string, sseqid string, pident double, length int, qstart int, qend int, sstart int, send int, evalue double, bitscore double, qlen int"
+    hits = spark.createDataFrame([*rows, ("edge", "s", 90.0, 30, 1, 30, 1, 30, 0.5, 50.0, 40)], cols)
+    d = signal.smooth(hits, metrics=("combined",))
+    tops = signal.crests(d)
+    want = {(r.qseqid, r.pos) for r in signal.find_peaks(d).collect()}
+    assert want and {(r.qseqid, r.pos) for r in signal.find_peaks(tops).collect()} == want
+    assert tops.count() * 10 < d.count()
