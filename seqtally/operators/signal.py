@@ -7,7 +7,7 @@ halo, so the unit of work is bounded whatever the length or popularity of a quer
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import is_plus
 from ..functions.names import subject_token
+from ..scale import stage
 from . import intervals as iv
-from .tile_tree import span_sums, spaced
+from .tile_tree import groups, span_sums, spaced, whole_tiles
 
 METRICS = (
     "hit_count",
@@ -28,6 +29,8 @@ METRICS = (
     "combined_minus",
 )
 EVALUE_FLOOR = 1e-180
+#: positions that a task smooths at once
+SMOOTHED = 1 << 17
 
 
 def inverse_evalue():
@@ -85,6 +88,68 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
     return w / w.sum()
 
 
+def _smoothed_tiles(runs: DataFrame, kernel: np.ndarray, metrics: Sequence[str], tile: int, fold, schema: str) -> DataFrame:
+    """`fold` of every few smoothed tiles: their rows' batch, first rows, borders and values.
+
+    Each tile is smoothed on its own with a halo of one kernel radius and reflecting edges;
+    the tiles of a batch lie in one line, some SMOOTHED positions at a time.
+    """
+    radius = len(kernel) // 2
+    halo = radius + 1
+    if tile <= halo:
+        raise ValueError("tile must exceed the kernel radius")
+    last = F.floor((F.col("qlen") - 1) / tile)
+    from_tile = F.greatest(F.floor((F.col("lo") - halo) / tile), F.lit(0))
+    to_tile = F.least(F.floor((F.col("hi") - 1 + halo) / tile), last)
+    dealt = (
+        runs.withColumn("tile", F.explode(F.sequence(from_tile, to_tile).cast("array<int>")))
+        .repartition("qseqid", "tile")
+        .sortWithinPartitions("qseqid", "tile", "lo")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_tiles(batches, ["qseqid", "tile"]):
+            first = groups(batch, ["qseqid", "tile"])
+            qlen = batch.column("qlen").to_numpy()[first].astype(np.int64)
+            start = batch.column("tile").to_numpy()[first].astype(np.int64) * tile
+            wide = np.minimum(qlen, start + tile) - start + 2 * (halo + radius)
+            part = np.cumsum(wide) // SMOOTHED
+            for i in np.flatnonzero(np.r_[True, part[1:] != part[:-1]]):
+                j = np.searchsorted(part, part[i], "right")
+                to = first[j] if j < len(first) else batch.num_rows
+                rows = batch.slice(first[i], to - first[i])
+                yield from fold(rows, first[i:j] - first[i], qlen[i:j], start[i:j], *smoothed(rows, first[i:j] - first[i], qlen[i:j], start[i:j]))
+
+    def smoothed(rows: pa.RecordBatch, first: np.ndarray, qlen: np.ndarray, start: np.ndarray):
+        """Raw and smoothed values in one line and the line's place of each tile's first position."""
+        a, b = np.maximum(0, start - halo), np.minimum(qlen, start + tile + halo)
+        n, group = b - a, np.repeat(np.arange(len(first)), np.diff(np.r_[first, rows.num_rows]))
+        base = np.cumsum(n) - n
+        lo, hi = (np.clip(rows.column(c).to_numpy(), a[group], b[group]) - a[group] for c in ("lo", "hi"))
+        values = np.stack([rows.column(m).to_numpy() for m in metrics])
+        raw = np.zeros((len(metrics), int(n.sum())))
+        size = hi - lo  # runs are disjoint
+        at = np.repeat(base[group] + lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        raw[:, at] = np.repeat(values, size, axis=1)
+        left, right = np.where(a == 0, radius, 0), np.where(b == qlen, radius, 0)
+        wide = left + n + right
+        begin = np.cumsum(wide) - wide
+        x = (np.arange(int(wide.sum())) - np.repeat(begin + left, wide)) % np.repeat(2 * n, wide)
+        x = np.where(x < np.repeat(n, wide), x, np.repeat(2 * n, wide) - 1 - x)
+        line = raw[:, np.repeat(base, wide) + x]
+        return line, np.stack([np.convolve(row, kernel, mode="same") for row in line]), begin + left + start - a
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _core(qlen: np.ndarray, start: np.ndarray, begin: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tile, position and place in the line of every position that the tiles answer for."""
+    n = np.minimum(qlen, start + tile) - start
+    group = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return group, start[group] + inside, begin[group] + inside
+
+
 def smooth(
     hits: DataFrame, sigma: float = 25, metrics: Sequence[str] = METRICS, tile: int = 4096
 ) -> DataFrame:
@@ -95,60 +160,73 @@ def smooth(
     next_combined (null outside the query). Tiles that no hit reaches are all zero and
     left out.
     """
-    kernel = gaussian_kernel(sigma)
-    radius = len(kernel) // 2
-    halo = radius + 1
-    if tile <= halo:
-        raise ValueError("tile must exceed the kernel radius")
     metrics = tuple(metrics)
     beside = "combined" in metrics
-    last = F.floor((F.col("qlen") - 1) / tile)
-    from_tile = F.greatest(F.floor((F.col("lo") - halo) / tile), F.lit(0))
-    to_tile = F.least(F.floor((F.col("hi") - 1 + halo) / tile), last)
-    runs = density_runs(hits, metrics).withColumn(
-        "tile", F.explode(F.sequence(from_tile, to_tile).cast("array<int>"))
-    )
     names = [f"{m}_raw" for m in metrics] + list(metrics)
     names += ["prev_combined", "next_combined"] if beside else []
-    schema = "qseqid string, qlen int, pos int, " + ", ".join(f"{n} double" for n in names)
-    out_schema = pa.schema(
-        [pa.field("qseqid", pa.string()), pa.field("qlen", pa.int32()), pa.field("pos", pa.int32())]
-        + [pa.field(n, pa.float64()) for n in names]
-    )
 
-    def smooth_one(table: pa.Table) -> pa.Table:
-        qlen = table.column("qlen")[0].as_py()
-        t = table.column("tile")[0].as_py()
-        a, b = max(0, t * tile - halo), min(qlen, (t + 1) * tile + halo)
-        core = slice(t * tile - a, min(qlen, (t + 1) * tile) - a)
-        lo = np.clip(table.column("lo").to_numpy(), a, b) - a
-        hi = np.clip(table.column("hi").to_numpy(), a, b) - a
-        values = np.stack([table.column(m).to_numpy() for m in metrics])
-        raw = np.zeros((len(metrics), b - a))
-        size = hi - lo  # runs are disjoint
-        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-        raw[:, at] = np.repeat(values, size, axis=1)
-        left = radius if a == 0 else 0
-        right = radius if b == qlen else 0
-        padded = np.pad(raw, ((0, 0), (left, right)), mode="symmetric")
-        done = np.stack([np.convolve(row, kernel, mode="same") for row in padded])
-        done = done[:, left : left + raw.shape[1]]
-        n = core.stop - core.start
-        columns = [
-            pa.repeat(pa.scalar(table.column("qseqid")[0].as_py(), pa.string()), n),
-            pa.repeat(pa.scalar(qlen, pa.int32()), n),
-            pa.array(np.arange(t * tile, t * tile + n, dtype=np.int32)),
-        ]
-        columns += [pa.array(row[core]) for row in raw]
-        columns += [pa.array(row[core]) for row in done]
+    def fold(rows, first, qlen, start, raw, done, begin):
+        group, pos, at = _core(qlen, start, begin, tile)
+        columns = [rows.column("qseqid").take(pa.array(first[group])), pa.array(qlen[group].astype(np.int32)), pa.array(pos.astype(np.int32))]
+        columns += [pa.array(row[at]) for row in (*raw, *done)]
         if beside:
-            line = np.concatenate(([np.nan], done[metrics.index("combined")], [np.nan]))
-            for shift in (0, 2):
-                side = line[core.start + shift : core.stop + shift]
-                columns.append(pa.array(side, from_pandas=True))
-        return pa.Table.from_arrays(columns, schema=out_schema)
+            line = np.r_[done[metrics.index("combined")], 0.0]
+            columns.append(pa.array(line[at - 1], mask=pos == 0))
+            columns.append(pa.array(line[at + 1], mask=pos == qlen[group] - 1))
+        yield from pa.Table.from_arrays(columns, ["qseqid", "qlen", "pos", *names]).to_batches(max_chunksize=16384)
+
+    schema = "qseqid string, qlen int, pos int, " + ", ".join(f"{n} double" for n in names)
+    return _smoothed_tiles(density_runs(hits, metrics), gaussian_kernel(sigma), metrics, tile, fold, schema)
 
-    return runs.groupBy("qseqid", "tile").applyInArrow(smooth_one, schema)
+
+def smoothed_totals(hits: DataFrame, sigma: float = 25, metrics: Sequence[str] = METRICS, tile: int = 4096) -> DataFrame:
+    """Per query: positions and the sums of <metric>_raw and <metric> over all that `smooth` gives."""
+    metrics = tuple(metrics)
+    names = [f"{m}_raw" for m in metrics] + list(metrics)
+
+    def fold(rows, first, qlen, start, raw, done, begin):
+        group, _, at = _core(qlen, start, begin, tile)
+        new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        columns = [rows.column("qseqid").take(pa.array(first)), pa.array(np.bincount(group))]
+        columns += [pa.array(np.add.reduceat(row[at], new)) for row in (*raw, *done)]
+        yield pa.RecordBatch.from_arrays(columns, ["qseqid", "positions", *names])
+
+    schema = "qseqid string, positions long, " + ", ".join(f"{n} double" for n in names)
+    sums = _smoothed_tiles(density_runs(hits, metrics), gaussian_kernel(sigma), metrics, tile, fold, schema)
+    return sums.groupBy("qseqid").agg(*[F.sum(c).alias(c) for c in ("positions", *names)])
+
+
+def smoothed_stretches(hits: DataFrame, threshold: float = 0.1, sigma: float = 25, tile: int = 4096) -> DataFrame:
+    """Smoothed positions as stretches all above the threshold share of their query's maximum, or
+    all not above it: qseqid, lo, hi, combined and hit_count (maxima), total (of combined).
+
+    A cluster is made of whole stretches, so `find_clusters` and `annotate_clusters` find in
+    them what they find in positions. The maxima of the queries are found first, then all is
+    smoothed again: a few rows per tile leave the tasks, not its positions.
+    """
+    kernel = gaussian_kernel(sigma)
+    runs = stage(density_runs(hits, ["combined", "hit_count"]), "density")
+
+    def tops(rows, first, qlen, start, raw, done, begin):
+        group, _, at = _core(qlen, start, begin, tile)
+        new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        columns = [rows.column("qseqid").take(pa.array(first)), pa.array(np.maximum.reduceat(done[0][at], new))]
+        yield pa.RecordBatch.from_arrays(columns, ["qseqid", "_top"])
+
+    def stretches(rows, first, qlen, start, raw, done, begin):
+        group, pos, at = _core(qlen, start, begin, tile)
+        value, hit_count = done[0][at], done[1][at]
+        above = value > rows.column("_top").to_numpy()[first][group] * threshold
+        new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (above[1:] != above[:-1])])
+        end = np.r_[new[1:], len(pos)] - 1
+        columns = [rows.column("qseqid").take(pa.array(first[group[new]])), pa.array(pos[new].astype(np.int32)), pa.array((pos[end] + 1).astype(np.int32))]
+        columns += [pa.array(f.reduceat(x, new)) for f, x in ((np.maximum, value), (np.maximum, hit_count), (np.add, value))]
+        yield pa.RecordBatch.from_arrays(columns, ["qseqid", "lo", "hi", "combined", "hit_count", "total"])
+
+    top = _smoothed_tiles(runs.drop("hit_count"), kernel, ["combined"], tile, tops, "qseqid string, _top double")
+    top = top.groupBy("qseqid").agg(F.max("_top").alias("_top"))
+    schema = "qseqid string, lo int, hi int, combined double, hit_count double, total double"
+    return _smoothed_tiles(runs.join(top, "qseqid"), kernel, ["combined", "hit_count"], tile, stretches, schema)
 
 
 def _span(df: DataFrame) -> DataFrame:
@@ -332,7 +410,7 @@ def find_clusters(
 ) -> DataFrame:
     """Regions above the threshold share of the query's maximum, joined over gaps of at
     most `merge`, at least `min_length` long: qseqid, c_lo, c_hi (0-based half-open).
-    Takes positions or runs."""
+    Takes positions, runs or stretches."""
     above = _above(_span(positions), threshold).select(
         "qseqid", F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi")
     )
@@ -354,16 +432,18 @@ def annotate_clusters(
     """
     key = ["qseqid", "c_lo", "c_hi"]
     cl = clusters.select(*key)
-    points = _span(positions).select(
-        "qseqid", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), "combined", "hit_count"
-    )
+    points = _span(positions).withColumnsRenamed({"lo": "p_lo", "hi": "p_hi"})
+    summed = ["total"] if "total" in positions.columns else []
+    points = points.select("qseqid", "p_lo", "p_hi", "combined", "hit_count", *summed)
     inside = F.least("p_hi", "c_hi") - F.greatest("p_lo", "c_lo")
+    # stretches come with their totals and lie wholly inside
+    total = F.col("total") if summed else F.col("combined") * inside
     stats = (
         iv.overlap_join(points, cl, ["qseqid"], ("p_lo", "p_hi"), ("c_lo", "c_hi"), closed=False, bin_width=bin_width)
         .groupBy(*key)
         .agg(
             F.max("combined").alias("max_signal"),
-            F.sum(F.col("combined") * inside).alias("total_signal"),
+            F.sum(total).alias("total_signal"),
             F.max("hit_count").alias("max_hit_count"),
         )
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..scale import stage
 
 
-def _groups(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+def groups(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     """First row of every run of equal keys."""
     new = np.zeros(batch.num_rows, bool)
     new[:1] = True
@@ -117,7 +117,7 @@ def span_sums(spans: DataFrame, key: str, metrics: Sequence[str], tile: int, len
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first = _groups(batch, [key, "_tile"])
+            first = groups(batch, [key, "_tile"])
             at = pa.array(first)
             keys, numbers = batch.column(key).take(at), batch.column("_tile").take(at).to_numpy()
             lengths = np.maximum.reduceat(batch.column(length).fill_null(-1).to_numpy(), first)
@@ -154,13 +154,13 @@ def _walk(place: np.ndarray, group: np.ndarray, size: int, gap: int) -> np.ndarr
     return np.where(inside, to, len(place))
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+def whole_tiles(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Batches cut so that no tile is split; a tile has no more rows than positions."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        start = _groups(batch, keys)[-1]
+        start = groups(batch, keys)[-1]
         same = held and all(held[0].column(k)[0] == batch.column(k)[0] for k in keys)
         if start or (held and not same):
             done = pa.Table.from_batches([*held, batch.slice(0, start)] if same or not held else held)
@@ -195,8 +195,8 @@ def spaced(places: DataFrame, key: str, pos: str, gap: int, tile: int = 4096) ->
     open_ = stage(open_, "open")
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_tiles(batches, [key, "_tile"]):
-            first = _groups(batch, [key, "_tile"])
+        for batch in whole_tiles(batches, [key, "_tile"]):
+            first = groups(batch, [key, "_tile"])
             number = batch.column("_tile").to_numpy()
             place = batch.column("_p").to_numpy() - number * size
             group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, batch.num_rows]))
@@ -231,8 +231,8 @@ def spaced(places: DataFrame, key: str, pos: str, gap: int, tile: int = 4096) ->
     entered = exits_.select(key, (F.col("_tile") + 1).alias("_tile"), F.get("_exit", F.lit(0)).alias("_entry"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_tiles(batches, [key, "_tile"]):
-            first = _groups(batch, [key, "_tile"])
+        for batch in whole_tiles(batches, [key, "_tile"]):
+            first = groups(batch, [key, "_tile"])
             place = batch.column("_p").to_numpy() - batch.column("_tile").to_numpy() * size
             group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, batch.num_rows]))
             entry = batch.column("_entry").fill_null(0).to_numpy()[first]

@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqtally.functions.sequence import codes_of
-from seqtally.operators import similarity
+from seqtally.operators import signal, similarity
 
 
 def _plan(df) -> str:
@@ -65,3 +66,35 @@ def test_stretches_of_a_crowded_text_come_in_lists_of_bounded_length(monkeypatch
         monkeypatch.setattr(similarity, "MARKS", 1000)
         many, got = rows(gap)
         assert once == 1 and many > 3 and got == want
+
+
+@pytest.fixture(scope="module")
+def hits(spark):
+    rng = random.Random(4)
+    rows = []
+    for q, n, size in (("a", 40, 1500), ("b", 6, 90), ("c", 25, 5000), ("d", 1, 1)):
+        for _ in range(n):
+            lo = rng.randint(1, size)
+            ends = rng.sample([5, 50], 2)
+            rows.append((q, f"f{rng.randint(1, 3)}_x", 80.0, lo, min(size, lo + rng.randint(0, 60)), *ends, 10.0 ** -rng.randint(1, 3), 50.0, size))
+    return spark.createDataFrame(rows, "qseqid string, sseqid string, pident double, qstart int, qend int, sstart int, send int, evalue double, bitscore double, qlen int")
+
+
+def _near(got, want):
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[0] == w[0] and tuple(g)[1:] == pytest.approx(tuple(w)[1:], rel=1e-9)
+
+
+@pytest.mark.parametrize("tile", [300, 4096])
+def test_smoothing_folded_in_tasks_is_that_of_all_positions(hits, tile):
+    names = [c for m in signal.METRICS for c in (m, f"{m}_raw")]
+    every = signal.smooth(hits, tile=tile).cache()
+    want = every.groupBy("qseqid").agg(F.count("*").alias("positions"), *[F.sum(c).alias(c) for c in names]).orderBy("qseqid")
+    _near(signal.smoothed_totals(hits, tile=tile).select(*want.columns).orderBy("qseqid").collect(), want.collect())
+    stretches = signal.smoothed_stretches(hits, tile=tile).cache()
+    assert stretches.count() * 5 < every.count()
+    cols = ["qseqid", "start", "end", "max_signal", "total_signal", "mean_signal", "max_hit_count"]
+    a, b = (signal.annotate_clusters(signal.find_clusters(d), d, hits).orderBy("qseqid", "start").select(cols).collect() for d in (every, stretches))
+    assert len(a) > 5
+    _near(b, a)
