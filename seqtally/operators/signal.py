@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import is_plus
@@ -498,29 +498,28 @@ def binned_signal(hits: DataFrame, width: int = 50) -> DataFrame:
 def covered_positions(hits: DataFrame) -> DataFrame:
     """Per query: positions covered by sense only, antisense only, both, any.
 
-    Lengths of merged spans per strand and of their union; no position is expanded.
+    Both strands are counted over the stretches between span borders; no position is expanded.
     """
-    spans = hits.select(
-        "qseqid", (F.col("qstart") - 1).alias("lo"), F.col("qend").alias("hi"), is_plus().alias("plus")
-    ).where(F.col("lo") < F.col("hi"))
-    each = iv.merge_intervals(spans, ["qseqid", "plus"], "lo", "hi")
-    union = iv.merge_intervals(each, ["qseqid"], "lo", "hi")
-    size = F.col("hi") - F.col("lo")
-    strands = each.groupBy("qseqid").agg(
-        F.coalesce(F.sum(F.when(F.col("plus"), size)), F.lit(0)).alias("_s"),
-        F.coalesce(F.sum(F.when(~F.col("plus"), size)), F.lit(0)).alias("_a"),
+    spans = (
+        hits.select("qseqid", (F.col("qstart") - 1).alias("lo"), F.col("qend").alias("hi"), is_plus().alias("_plus"))
+        .where(F.col("lo") < F.col("hi"))
+        .groupBy("qseqid", F.lit(0).alias("qlen"), "lo", "hi")
+        .agg(F.count_if("_plus").cast("double").alias("plus"), F.count_if(~F.col("_plus")).cast("double").alias("minus"))
     )
-    both = F.col("_s") + F.col("_a") - F.col("covered")
+    size = (F.col("hi") - F.col("lo")).cast("long")
+
+    def bases(where) -> Column:
+        return F.sum(F.when(where, size).otherwise(0))
+
+    plus, minus = F.col("plus") > 0, F.col("minus") > 0
     return (
-        union.groupBy("qseqid")
-        .agg(F.sum(size).alias("covered"))
-        .join(strands, "qseqid")
-        .select(
-            "qseqid",
-            "covered",
-            (F.col("_s") - both).alias("sense_only"),
-            (F.col("_a") - both).alias("anti_only"),
-            both.alias("both_strands"),
+        span_sums(spans, "qseqid", ["plus", "minus"], 4096, "qlen")
+        .groupBy("qseqid")
+        .agg(
+            F.sum(size).alias("covered"),
+            bases(plus & ~minus).alias("sense_only"),
+            bases(minus & ~plus).alias("anti_only"),
+            bases(plus & minus).alias("both_strands"),
         )
     )
 

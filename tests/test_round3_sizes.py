@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from seqtally.functions.sequence import codes_of
 from seqtally.operators import signal, similarity
+from seqtally.plans.registry import run
+from seqtally.session import _WRITTEN
 
 
 def _plan(df) -> str:
@@ -98,3 +101,22 @@ def test_smoothing_folded_in_tasks_is_that_of_all_positions(hits, tile):
     a, b = (signal.annotate_clusters(signal.find_clusters(d), d, hits).orderBy("qseqid", "start").select(cols).collect() for d in (every, stretches))
     assert len(a) > 5
     _near(b, a)
+
+
+def test_covered_positions_are_found_without_windows(hits):
+    got = signal.covered_positions(hits)
+    assert "Window" not in _plan(got)
+    want = {}
+    for r in hits.collect():
+        for p in range(r["qstart"] - 1, r["qend"]):
+            want.setdefault(r["qseqid"], {}).setdefault(p, set()).add(r["sstart"] < r["send"])
+    kinds = {q: [len(v), *(sum(x == s for x in v.values()) for s in ({True}, {False}, {True, False}))] for q, v in want.items()}
+    assert {r["qseqid"]: list(r)[1:] for r in got.collect()} == kinds
+
+
+def test_arrivals_of_the_stream_grow_in_number_not_in_share(spark):
+    before = set(_WRITTEN.get(spark.sparkContext.applicationId, []))
+    run("streamed_strand_tallies", spark, "/root/testdata/sf0.001").collect()
+    made = [p for p in _WRITTEN[spark.sparkContext.applicationId] if p not in before and "/arrivals-" in p]
+    files = list(Path(made[0].removeprefix("file:")).glob("part-*"))
+    assert len(files) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
