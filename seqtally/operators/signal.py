@@ -321,7 +321,10 @@ def _spans_with_family(hits: DataFrame, underscore: bool) -> DataFrame:
     )
 
 
-def _top_families(per_family: DataFrame, key: Sequence[str], value, score: str, n: int = 5) -> DataFrame:
+def _top_families(
+    per_family: DataFrame, key: Sequence[str], value, score: str, n: int = 5, carry: Sequence[str] = ()
+) -> DataFrame:
+    """The n best families of a key; `carry` names columns that are the same in all its rows."""
     ranked = per_family.withColumn(
         "_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(score), "family"))
     ).where(F.col("_r") <= n)
@@ -330,6 +333,7 @@ def _top_families(per_family: DataFrame, key: Sequence[str], value, score: str,
     return ranked.groupBy(*key).agg(
         F.map_from_entries(entries).alias("families"),
         F.max(F.when(F.col("_r") == 1, F.col("family"))).alias("dominant_family"),
+        *[F.max(c).alias(c) for c in carry],
     )
 
 
@@ -339,26 +343,27 @@ def annotate_peaks(peaks: DataFrame, hits: DataFrame, bin_width: int = 512) -> D
     peaks: qseqid, pos, combined, combined_plus, combined_minus.
     """
     spans = peaks.select("qseqid", F.col("pos").alias("p_lo"), (F.col("pos") + 1).alias("p_hi"))
+    key = ["qseqid", "pos"]
+    # pairs are dealt by peak once; families, their ranks and the strands are all folded there
     per_family = (
         iv.overlap_join(
             _spans_with_family(hits, underscore=False), spans, ["qseqid"], ("h_lo", "h_hi"),
             ("p_lo", "p_hi"), closed=False, bin_width=bin_width,
         )
-        .groupBy("qseqid", F.col("p_lo").alias("pos"), "family")
+        .select("qseqid", F.col("p_lo").alias("pos"), "family", "w", "plus", "minus")
+        .repartition(*key)
+        .groupBy(*key, "family")
         .agg(
             F.sum("w").alias("weight"),
             F.sum("plus").alias("plus"),
             F.sum("minus").alias("minus"),
         )
     )
-    key = ["qseqid", "pos"]
-    strands = per_family.groupBy(*key).agg(
-        F.sum("plus").alias("plus_hits"), F.sum("minus").alias("minus_hits")
-    )
-    top = _top_families(per_family, key, F.col("weight"), "weight")
+    whole = Window.partitionBy(*key)
+    strands = {"plus_hits": F.sum("plus").over(whole), "minus_hits": F.sum("minus").over(whole)}
+    top = _top_families(per_family.withColumns(strands), key, F.col("weight"), "weight", carry=list(strands))
     return (
         peaks.select(*key, "combined", "combined_plus", "combined_minus")
-        .join(strands, key, "left")
         .join(top, key, "left")
         .select(
             "qseqid",
@@ -452,6 +457,8 @@ def annotate_clusters(
             _spans_with_family(hits, underscore=True), cl, ["qseqid"], ("h_lo", "h_hi"),
             ("c_lo", "c_hi"), closed=False, bin_width=bin_width,
         )
+        .select(*key, "family", "hits", "w")
+        .repartition(*key)
         .groupBy(*key, "family")
         .agg(F.sum("hits").alias("count"), F.sum("w").alias("score"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -120,3 +121,12 @@ def test_arrivals_of_the_stream_grow_in_number_not_in_share(spark):
     made = [p for p in _WRITTEN[spark.sparkContext.applicationId] if p not in before and "/arrivals-" in p]
     files = list(Path(made[0].removeprefix("file:")).glob("part-*"))
     assert len(files) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pairs_of_peaks_and_clusters_are_dealt_once(hits):
+    runs = signal.density_runs(hits)
+    peaks = signal.annotate_peaks(signal.run_maxima(runs), hits)
+    clusters = signal.annotate_clusters(signal.find_clusters(runs), runs, hits)
+    for found in (peaks, clusters):
+        dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", _plan(found))
+        assert not [x for x in dealt if ("pos#" in x or "c_hi#" in x) and "family#" in x]
