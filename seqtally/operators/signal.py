@@ -284,16 +284,27 @@ def local_maxima(positions: DataFrame, threshold: float = 0.1) -> DataFrame:
 def space_out(peaks: DataFrame, min_distance: int = 10) -> DataFrame:
     """Walk peaks from the left and keep those at least `min_distance` after the last kept.
 
-    Positions count once; runs of close peaks may be of any length.
+    Positions count once; runs of close peaks may be of any length. Peaks are read several
+    times, so they are written first: what they come from runs once.
     """
+    peaks = stage(peaks, "peaks")
     kept = spaced(peaks.select("qseqid", "pos").distinct(), "qseqid", "pos", min_distance)
     return peaks.join(kept, ["qseqid", "pos"], "left_semi")
 
 
 def find_peaks(signal: DataFrame, threshold: float = 0.1, min_distance: int = 10) -> DataFrame:
     """Spaced local maxima of a smoothed signal or of a density in run-length form."""
+    return space_out(_maxima(signal, threshold), min_distance)
+
+
+def peak_places(signal: DataFrame, threshold: float = 0.1, min_distance: int = 10) -> DataFrame:
+    """(qseqid, pos) of what `find_peaks` finds, without going back to the signal for the rest."""
+    return spaced(_maxima(signal, threshold).select("qseqid", "pos"), "qseqid", "pos", min_distance)
+
+
+def _maxima(signal: DataFrame, threshold: float) -> DataFrame:
     maxima = run_maxima if "lo" in signal.columns else local_maxima
-    return space_out(maxima(signal, threshold), min_distance)
+    return maxima(signal, threshold)
 
 
 def _spans_with_family(hits: DataFrame, underscore: bool) -> DataFrame:
