@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from seqtally.operators import signal
+from seqtally.operators import rollups, signal
 
 
 def _counted(spark, df):
@@ -33,3 +33,13 @@ def test_places_of_peaks_are_those_of_the_peaks(spark):
     got = sorted(tuple(r) for r in signal.peak_places(counted).collect())
     assert got == sorted((r["qseqid"], r["pos"]) for r in signal.find_peaks(runs).collect()) and len(got) > 10
     assert made.value == 80
+
+
+def test_genes_are_made_once_for_both_orders(spark):
+    rows = [(f"g{i}", 100 + i, float(i % 5), float(i % 3)) for i in range(30)]
+    df, made = _counted(spark, spark.createDataFrame(rows, "gene string, total_length long, max_signal double, signal_per_kb double"))
+    got = {r["gene"]: (r["rank_signal"], r["rank_per_kb"]) for r in rollups.signal_ranking(df).collect()}
+    for at, name in ((2, 0), (3, 1)):
+        want = [r[0] for r in sorted(rows, key=lambda r: (-r[at], r[0]))]
+        assert [g for g, _ in sorted(got.items(), key=lambda x: x[1][name])] == want
+    assert made.value == 30
