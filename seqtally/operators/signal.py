@@ -493,23 +493,35 @@ def binned_signal(hits: DataFrame, width: int = 50) -> DataFrame:
     """Mean combined signal per fixed-width bin of every query that has hits.
 
     Works on spans cut at bin borders instead of single positions; bins nothing covers
-    are reported as 0.
+    are reported as 0. Spans and the stretch that each query has are dealt by tile, whole numbers
+    of bins; a tile's bins are summed where they lie, so its pieces take no memory and no join.
     """
+    tile = width * max(1, 4096 // width)
+
+    def cut(df: DataFrame, *columns: Column) -> DataFrame:
+        tiles = F.explode(F.sequence(F.floor(F.col("lo") / tile), F.floor((F.col("hi") - 1) / tile)))
+        t0 = F.col("_tile") * tile
+        return df.withColumn("_tile", tiles).select(
+            "qseqid", "_tile", F.greatest("lo", t0).alias("lo"), F.least("hi", t0 + tile).alias("hi"), *columns
+        )
+
     spans = weighted_spans(hits).select("qseqid", "qlen", "lo", "hi", "combined")
-    bins = spans.withColumn(
-        "bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))
+    own = spans.groupBy("qseqid").agg(F.max("qlen").alias("qlen")).withColumns({"lo": F.lit(0), "hi": F.col("qlen")})
+    none = F.lit(None).cast(spans.schema["qlen"].dataType)
+    dealt = (
+        cut(spans, "combined", none.alias("qlen"))
+        .unionByName(cut(own, F.lit(0.0).alias("combined"), F.col("qlen")))
+        .repartition("qseqid", "_tile")
+        .withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     )
     b = F.col("bin") * width
     shared = F.least(F.col("hi"), b + width) - F.greatest(F.col("lo"), b)
-    sums = bins.groupBy("qseqid", "bin").agg(F.sum(F.col("combined") * shared).alias("_s"))
-    grid = (
-        spans.groupBy("qseqid")
-        .agg(F.max("qlen").alias("qlen"))
-        .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("qlen") - 1) / width))))
-    )
-    size = F.least(F.col("bin") * width + width, F.col("qlen")) - F.col("bin") * width
-    return grid.join(sums, ["qseqid", "bin"], "left").select(
-        "qseqid", "bin", (F.coalesce("_s", F.lit(0.0)) / size).alias("mean_signal")
+    size = F.least(b + width, F.col("qlen")) - b
+    return (
+        dealt.groupBy("qseqid", "_tile", "bin")
+        .agg(F.sum(F.col("combined") * shared).alias("_s"), F.max("qlen").alias("qlen"))
+        .where(F.col("qlen").isNotNull())
+        .select("qseqid", "bin", (F.col("_s") / size).alias("mean_signal"))
     )
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
 
 from seqtally.operators import rollups, signal
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def _counted(spark, df):
     """`df` with an accumulator that counts how often its rows are made."""
     made = spark.sparkContext.accumulator(0)
@@ -43,3 +48,27 @@ def test_genes_are_made_once_for_both_orders(spark):
         want = [r[0] for r in sorted(rows, key=lambda r: (-r[at], r[0]))]
         assert [g for g, _ in sorted(got.items(), key=lambda x: x[1][name])] == want
     assert made.value == 30
+
+
+def test_bins_are_summed_where_they_lie(spark):
+    """Long queries of several tiles, two lengths for one query, tiles without hits."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(120):
+        q, qlen = rng.choice([("a", 130), ("b", 9000), ("b", 12345), ("c", None)])
+        start = rng.randint(1, 120 if q == "a" else 4200)
+        rows.append((q, qlen, start, start + rng.randint(0, 300), 50.0 + rng.random(), rng.random(), 1.0, 1, 2))
+    hits = spark.createDataFrame(rows, "qseqid string, qlen int, qstart int, qend int, pident double, evalue double, bitscore double, sstart int, send int")
+    df = signal.binned_signal(hits)
+    assert "Join" not in _plan(df)
+    got = {(r["qseqid"], r["bin"]): r["mean_signal"] for r in df.collect()}
+    want = {}
+    for q, size in (("a", 130), ("b", 12345)):
+        line = [0.0] * size
+        for r in rows:
+            lo, hi = r[2] - 1, min(r[3], r[1] or r[3])
+            for p in range(lo, min(hi, size)) if r[0] == q and lo < hi else ():
+                line[p] += r[4] / 100 / r[5] / (hi - lo)
+        want |= {(q, i): sum(line[50 * i : 50 * i + 50]) / len(line[50 * i : 50 * i + 50]) for i in range(-(-size // 50))}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) <= 1e-9 * max(1, want[k]) for k in want)
