@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from seqtally.operators import rollups, signal
+from seqtally.operators import enrichment, rollups, signal
 
 
 def _plan(df) -> str:
@@ -72,3 +72,11 @@ def test_bins_are_summed_where_they_lie(spark):
         want |= {(q, i): sum(line[50 * i : 50 * i + 50]) / len(line[50 * i : 50 * i + 50]) for i in range(-(-size // 50))}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) <= 1e-9 * max(1, want[k]) for k in want)
+
+
+def test_cohort_hits_are_counted_once_and_may_come_in_many_rows(spark):
+    rows = [("a", "x", 2), ("a", "x", 1), ("b", "x", 4), ("a", "y", 1), ("b", "z", 1)]
+    df, made = _counted(spark, spark.createDataFrame(rows, "cohort string, family string, hits long"))
+    got = sorted(tuple(r) for r in enrichment.family_contrast(df, "a", "b").collect())
+    assert got == [("x", 3, 4, 75.0, 80.0, 0.9375), ("y", 1, 0, 25.0, 0.0, float("inf")), ("z", 0, 1, 0.0, 20.0, 0.0)]
+    assert made.value == 5
