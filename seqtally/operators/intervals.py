@@ -180,18 +180,17 @@ def overlap_columns(
     )
 
 
-def overlaps_any(
+def overlapping(
     a: DataFrame,
     b: DataFrame,
     by: Sequence[str],
     a_span: tuple[str, str],
     b_span: tuple[str, str],
     key: Sequence[str],
-    keep: bool = True,
     closed: bool = False,
     bin_width: int = 2048,
 ) -> DataFrame:
-    """Rows of `a` (unique by `key`) that do, or with keep=False do not, overlap any `b`.
+    """Distinct `key` of the rows of `a` that overlap any `b`.
 
     `b` is first reduced to its disjoint cover, so pile-ups in `b` cost nothing. Under the
     strict rule touching spans stay apart in the cover and empty spans are dropped.
@@ -201,13 +200,23 @@ def overlaps_any(
         cover = merge_intervals(slim, by, *b_span)
     else:
         cover = merge_intervals(slim.where(F.col(b_span[0]) < F.col(b_span[1])), by, *b_span, gap=-1)
-    found = (
-        overlap_join(
-            a.select(*by, *a_span, *key), cover, by, a_span, b_span, closed, bin_width=bin_width
-        )
-        .select(*key)
-        .distinct()
-    )
+    pairs = overlap_join(a.select(*by, *a_span, *key), cover, by, a_span, b_span, closed, bin_width=bin_width)
+    return pairs.select(*key).distinct()
+
+
+def overlaps_any(
+    a: DataFrame,
+    b: DataFrame,
+    by: Sequence[str],
+    a_span: tuple[str, str],
+    b_span: tuple[str, str],
+    key: Sequence[str],
+    keep: bool = True,
+    closed: bool = False,
+    bin_width: int = 2048,
+) -> DataFrame:
+    """Rows of `a` (unique by `key`) that do, or with keep=False do not, overlap any `b`."""
+    found = overlapping(a, b, by, a_span, b_span, key, closed, bin_width)
     return a.join(found, list(key), "left_semi" if keep else "left_anti")
 
 

@@ -317,7 +317,11 @@ def filter_funnel(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
     for name in names:
         passed = passed & F.coalesce(stages[name], F.lit(False))
         flags.append(F.count_if(passed).alias(name))
-    one = df.agg(F.count(F.lit(1)).alias("_all"), *flags)
+    return funnel_rows(df.agg(F.count(F.lit(1)).alias("_all"), *flags), names)
+
+
+def funnel_rows(one: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The funnel of one row of counts: all rows (`_all`) and those kept by each stage, by its name."""
     rows, before = [], F.col("_all")
     for i, name in enumerate(names, 1):
         rows.append(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from seqtally.operators import enrichment, rollups, signal
+from seqtally.operators import enrichment, intervals, rollups, signal
+from seqtally.plans.registry import run
 
 
 def _plan(df) -> str:
@@ -80,3 +81,15 @@ def test_cohort_hits_are_counted_once_and_may_come_in_many_rows(spark):
     got = sorted(tuple(r) for r in enrichment.family_contrast(df, "a", "b").collect())
     assert got == [("x", 3, 4, 75.0, 80.0, 0.9375), ("y", 1, 0, 25.0, 0.0, float("inf")), ("z", 0, 1, 0.0, 20.0, 0.0)]
     assert made.value == 5
+
+
+def test_funnel_joins_no_hit_with_itself(spark):
+    plan = _plan(run("filter_funnel", spark, "/root/testdata/sf0.001"))
+    assert "Join [l_orderkey" not in plan
+
+
+def test_overlapping_gives_each_key_once(spark):
+    a = spark.createDataFrame([("c", 0, 5000, 1), ("c", 10, 10, 2), ("d", 0, 9, 3), ("c", 100, 120, 4)], "chrom string, s int, e int, k int")
+    b = spark.createDataFrame([("c", 5, 30), ("c", 20, 40), ("c", 4000, 4100), ("c", 110, 110)], "chrom string, bs int, be int")
+    found = intervals.overlapping(a, b, ["chrom"], ("s", "e"), ("bs", "be"), ["k"])
+    assert [r["k"] for r in found.collect()] == [1]
