@@ -240,13 +240,24 @@ def complexity_counts(df: DataFrame, seq: str = "qseq", **limits) -> DataFrame:
 
 
 def collapse_loci(
-    df: DataFrame, by: Sequence[str] = ("transcript", "chrom"), gap: int = 10, ties: Sequence[str] = ()
+    df: DataFrame,
+    by: Sequence[str] = ("transcript", "chrom"),
+    gap: int = 10,
+    ties: Sequence[str] = (),
+    details: bool = True,
 ) -> DataFrame:
     """Hits of a transcript to loci: joined while start <= running end + gap.
 
     The best score keeps its identity and length; among equal scores the hit that starts
-    first wins, then the lowest `ties` (numeric columns).
+    first wins, then the lowest `ties` (numeric columns). details=False leaves out the
+    subjects, the maxima and all of the best hit but its score, which the shuffles need not carry then.
     """
+    if not details:
+        kept = [iv.count_rows("n_hits"), iv.set_of("te_families", F.col("te_family")), iv.max_of("best_score", F.col("score"))]
+        out = iv.collapse(df, by, gap=gap, measures=kept)
+        return out.select(
+            *by, "start", "end", "n_hits", "te_families", F.size("te_families").alias("n_families"), "best_score"
+        )
     ranking = [F.col("score"), -F.col("start"), *[-F.col(t) for t in ties]]
     payload = {"score": F.col("score"), "pident": F.col("pident"), "length": F.col("length")}
     out = iv.collapse(

@@ -9,7 +9,7 @@ from ..operators import intervals as iv
 from ..operators import loci as lc
 from ..scale import stage
 from .hit_queries import KEYS
-from .interval_queries import ANCIENT, CPLX, LOCI, MATCH, _matched, _qseq
+from .interval_queries import ANCIENT, CPLX, LOCI, MATCH, _judged, _matched, _repeated
 from .registry import query
 from .shape import shown
 from .views import Tables
@@ -21,11 +21,15 @@ MATCHED = (
     "where rn = 1 and ms > 1.5 and syntenic_species >= 2 and phylo > 1"
 )
 
+#: what loci without details are made of
+LOCUS = ["transcript", "te_id", "chrom", "start_pos", "end_pos", "score"]
+
 
 def _to_loci(t: Tables, hits: DataFrame) -> DataFrame:
     fam = t.subjects.select("te_id", F.col("family").alias("te_family"))
-    named = hits.join(fam, "te_id").withColumnsRenamed({"start_pos": "start", "end_pos": "end"})
-    return lc.collapse_loci(named, ties=KEYS)
+    named = hits.select(*LOCUS).join(fam, "te_id").withColumnsRenamed({"start_pos": "start", "end_pos": "end"})
+    # islands read their hits twice; what finds the hits runs once
+    return lc.collapse_loci(stage(named.drop("te_id"), "named"), details=False)
 
 
 @query(
@@ -39,7 +43,7 @@ def _to_loci(t: Tables, hits: DataFrame) -> DataFrame:
     group by 1, 2, 3, 4""",
 )
 def _(t: Tables):
-    loci = _to_loci(t, lc.ancient_candidates(_matched(t)))
+    loci = _to_loci(t, lc.ancient_candidates(_matched(t, F.col("syntenic_species") >= 2)))
     out = lc.annotate_loci(stage(loci), t.cds)
     return shown(out.select("locus_id", "n_hits", "te_families", "best_score", "has_overlap", "owners"), raw=("best_score",))
 
@@ -57,11 +61,10 @@ FILTERED = f"""select s.* from synteny s join r on {SAME.format('r')} where synt
     row_number() over (partition by n_families = 1 order by best_score desc, transcript, chrom, start) as rank from loci""",
 )
 def _(t: Tables):
-    ancient = lc.ancient_candidates(t.synteny)
+    simple = _judged(t, _repeated(t), *LOCUS).where("simple_ok")
     outside = iv.overlaps_any(
-        ancient, t.cds, ["chrom"], ("start_pos", "end_pos"), ("c_start", "c_end"), KEYS, keep=False
+        simple, t.cds, ["chrom"], ("start_pos", "end_pos"), ("c_start", "c_end"), ["row_id"], keep=False
     )
-    passed = lc.complexity_filter(_qseq(t)).select(*KEYS)
-    out = lc.split_loci(_to_loci(t, outside.join(passed, KEYS, "left_semi")))
+    out = lc.split_loci(_to_loci(t, outside))
     cols = ["transcript", "chrom", "start", "end", "te_families", "n_hits", "best_score", "verdict", "rank"]
     return shown(out.select(*cols), raw=("best_score",))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import random
 
-from seqtally.operators import enrichment, intervals, rollups, signal
-from seqtally.plans.registry import run
+import duckdb
+import pytest
+from oracle import connect
+
+from seqtally.operators import enrichment, intervals, loci, rollups, signal
+from seqtally.plans.registry import check_texts, run
 
 
 def _plan(df) -> str:
@@ -93,3 +97,29 @@ def test_overlapping_gives_each_key_once(spark):
     b = spark.createDataFrame([("c", 5, 30), ("c", 20, 40), ("c", 4000, 4100), ("c", 110, 110)], "chrom string, bs int, be int")
     found = intervals.overlapping(a, b, ["chrom"], ("s", "e"), ("bs", "be"), ["k"])
     assert [r["k"] for r in found.collect()] == [1]
+
+
+def test_loci_without_details_carry_only_what_they_show(spark):
+    rows = [("t", "c", 10 * i * (1 + i // 7), 10 * i * (1 + i // 7) + 8, f"f{i % 3}", i % 5 + 0.5) for i in range(30)]
+    named = spark.createDataFrame(rows, "transcript string, chrom string, start long, end long, te_family string, score double")
+    lean = loci.collapse_loci(named, details=False)
+    extra = {"te_id": "te_family", "pident": "score", "length": "end", "syntenic_species": "start"}
+    full = loci.collapse_loci(named.selectExpr("*", *[f"{v} as {k}" for k, v in extra.items()]))
+    assert lean.count() > 3
+    assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, full.select(*lean.columns).collect()))
+
+
+@pytest.mark.parametrize("name", ["filtered_ranked_loci", "matched_annotated_loci"])
+def test_loci_queries_carry_no_best_hit_and_join_no_hit_with_itself(spark, name):
+    plan = _plan(run(name, spark, "/root/testdata/sf0.001"))
+    assert "Join [l_orderkey" not in plan and "max(struct" not in plan
+
+
+def test_hits_that_share_their_keys_are_paired_as_the_sql_pairs_them(spark):
+    """Some hits of the smallest tables share all four keys."""
+    folder = "/root/testdata/sf0.001"
+    con = connect(folder)
+    for name in ("filter_funnel", "filtered_ranked_loci"):
+        df = run(name, spark, folder)
+        want = con.sql(check_texts()[name]).select(*[duckdb.ColumnExpression(c) for c in df.columns]).fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want)
