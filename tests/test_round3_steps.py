@@ -116,3 +116,36 @@ def test_hits_that_share_their_keys_are_paired_as_the_sql_pairs_them(spark):
         df = run(name, spark, folder)
         want = con.sql(check_texts()[name]).select(*[duckdb.ColumnExpression(c) for c in df.columns]).fetchall()
         assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def _shuffled(spark) -> int:
+    """Rows that the session's stages have shuffled so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+
+def test_pairs_of_hits_and_regions_are_not_shuffled(spark):
+    rng = random.Random(3)
+    hits = [(i, rng.choice(["fa", "Fb", "none", None]), 9, a, a + 300) for i in range(200) for a in [rng.randrange(600)]]
+    hits += [(200, "fa", 9, 5000, 5010), (201, "fa", 9, None, 7), (202, "fb", 9, 4, 4), (203, "fc", 9, 10, 90)]
+    regions = [(rng.choice(["r1", "r2"]), rng.choice(["LTR", "CDS"]), a, a + 400) for _ in range(400) for a in [rng.randrange(500)]]
+    maps = [("fa", "r1"), ("fb", "r2"), ("fb", "r1"), ("fb", "r9"), ("fc", "r9")]
+    h = spark.createDataFrame(hits, "id int, family string, length int, s_lo int, s_hi int").repartition(3)
+    r = spark.createDataFrame(regions, "region_id string, region string, reg_start int, reg_end int")
+    m = spark.createDataFrame(maps, "family_key string, region_id string")
+    broadcast, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+    got = sorted(map(str, rollups.region_overlap(h, r, m, ["id"]).select("id", "region", "region_bp").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    moved = _shuffled(spark) - before
+    known, want = {x[0] for x in regions}, []
+    for i, family, length, lo, hi in hits:
+        ids = [rid for f, rid in maps if family is not None and f == family.lower() and rid in known]
+        own = [(region, min(hi, e) - max(lo, b)) for rid in ids for x, region, b, e in regions if x == rid and lo is not None and max(lo, b) < min(hi, e)]
+        if not own:
+            own = [("intergenic", None if lo is None else hi - lo) for _ in ids] or [("unannotated", length)]
+        want += [f"Row(id={i}, region='{region}', region_bp={bp})" for region, bp in own]
+    assert got == sorted(want)
+    assert moved < len(want) / 2
