@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles, as 64-bit hashes. If two se
 similarity, their prefixes share tokens under every global order of tokens. Two unrelated
 orders are used: documents whose prefix shares too little under the first are out; what is
 left is filtered under the second, whose shared tokens are then taken rarest first; a pair
-that meets there must share enough of the first order's prefix as well before it is verified.
+that meets there must share enough 32-bit halves of its hashes, then enough of the first
+order's prefix, before it is verified. Whole hashes are sent only for what is left.
 
 Equal sets are one class from the start. A bucket's most central set is compared with all
 others of the bucket. Pairs that are then in different components are compared in blocks,
@@ -16,9 +17,11 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,21 +123,30 @@ def summaries(docs: DataFrame, s: Settings) -> DataFrame:
     return own.mapInArrow(rows, "doc_id long, n long, digest binary, prefix array<long>")
 
 
-def _only_known(rows: DataFrame, bloom: Bloom) -> DataFrame:
-    """(node, n, tokens) with the tokens that may be in the filter."""
-    sent = rows.sparkSession.sparkContext.broadcast(bloom)
+def _each(parts: list, then=lambda batch: batch) -> DataFrame:
+    """(node, n, tokens): `then` after each part's own function, batch by batch in one Python worker."""
 
-    def keep(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            values = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)]).astype(np.int64)
-            known = sent.value.has(values)
-            left = np.r_[0, np.cumsum(known)][ends].astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(left), pa.array(values[known]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], ["node", "n", "tokens"])
+    def rows(own):
+        return lambda batches: (then(own(batch)) for batch in batches)
+
+    made = [df.mapInArrow(rows(own), "node long, n long, tokens array<long>") for df, own in parts]
+    return reduce(DataFrame.unionByName, made)
+
+
+def _only_known(parts: list, bloom: Bloom) -> DataFrame:
+    """(node, n, tokens) of `parts` with the tokens that may be in the filter."""
+    sent = parts[0][0].sparkSession.sparkContext.broadcast(bloom)
 
-    return rows.mapInArrow(keep, "node long, n long, tokens array<long>")
+    def keep(batch):
+        lists = batch.column(2)
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)]).astype(np.int64)
+        known = sent.value.has(values)
+        left = np.r_[0, np.cumsum(known)][ends].astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(left), pa.array(values[known]))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], ["node", "n", "tokens"])
+
+    return _each(parts, keep)
 
 
 def _needed(s: Settings):
@@ -143,23 +155,25 @@ def _needed(s: Settings):
     return 1 + F.floor(least / s.slack)
 
 
-def shared_tokens(sets: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, token, df) for tokens in the prefixes of two or more of `sets` (node, n, tokens),
-    for the nodes that have as many of them as any partner asks for.
+def shared_tokens(parts: list, s: Settings) -> DataFrame:
+    """(node, n, token, df, s) for tokens in the prefixes of two or more sets, for the nodes that
+    have as many of them, s, as any partner asks for.
+
+    `parts` are pairs of a table (node, n, tokens) and a function that makes prefixes of its batches.
 
     Tokens are counted with a map-side combine; the few that are shared go into a Bloom filter
     of fixed size, so that hardly any others reach the exact join.
     """
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counts = _each(parts).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     counts = stage(counts.where("df > 1"), "shared")
-    known = _only_known(sets.select("node", "n", "tokens"), Bloom.of(counts.select("token"), s.token_log_bits))
+    known = _only_known(parts, Bloom.of(counts.select("token"), s.token_log_bits))
     hits = known.select("node", "n", F.explode("tokens").alias("token")).join(counts, "token")
     own = Window.partitionBy("node", "n")  # no more rows than a prefix has
     return hits.withColumn("s", F.count(F.lit(1)).over(own)).where(F.col("s") >= _needed(s)).select("node", "n", "token", "df", "s")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, all tokens in the first order, prefix in the second) of documents in `nodes`.
+    """(node, n, all tokens in the first order) of documents in `nodes`.
 
     Texts are read again and looked up in a Bloom filter, so they are not shuffled; documents
     that pass it by chance only add work.
@@ -172,23 +186,58 @@ def full_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
             picked = np.flatnonzero(sent.value.has(ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
             sets = [shingles(batch.column(1)[i].as_py(), s.shingle) for i in picked]
             some = [(i, x) for i, x in zip(picked, sets) if len(x)]
-            second = [second_order(x)[: s.prefix(len(x))] for _, x in some]
             cols = [pa.array([int(ids[i]) for i, _ in some], pa.int64()), pa.array([len(x) for _, x in some], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, _longs([x for _, x in some]), _longs(second)], ["node", "n", "tokens", "second"])
+            yield pa.RecordBatch.from_arrays([*cols, _longs([x for _, x in some])], ["node", "n", "tokens"])
 
     own = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(rows, "node long, n long, tokens array<long>, second array<long>")
+    return own.mapInArrow(rows, "node long, n long, tokens array<long>")
+
+
+def second_prefixes(s: Settings):
+    """Function that turns batches of (node, n, tokens) into those with the prefix in the second order."""
+
+    def prefixes(batch):
+        lists = batch.column(2)
+        values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
+        second = [second_order(values[i:j])[: s.prefix(j - i)] for i, j in zip(ends, ends[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _longs(second)], ["node", "n", "tokens"])
+
+    return prefixes
+
+
+def sets_of(nodes: DataFrame, sets: DataFrame, s: Settings, halves: bool = False) -> DataFrame:
+    """The `sets` whose node is in `nodes`, and a few others: what no join needs is not shuffled.
+
+    `halves` gives the leading 32 bits of each token only.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(Bloom.of(nodes.select("node"), s.doc_log_bits))
+
+    def keep(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy(zero_copy_only=False))))
+            if halves:
+                lists = batch.column(1)
+                ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)]).astype(np.int32)
+                lead = (lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(lead.view(np.int32)))
+                batch = pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "tokens"])
+            yield batch
 
+    return sets.select("node", "tokens").mapInArrow(keep, f"node long, tokens array<{'int' if halves else 'long'}>")
 
-def verify(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose sets link.
+
+def verify(pairs: DataFrame, sets: DataFrame, s: Settings, halves: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets link or, from `halves` of their tokens only, may link.
 
     Rows of a popular `a` are cut into chunks; a chunk's task reads the set of `a` once and
     then streams those of its partners.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("salt"))
-    own = sets.select("node", "tokens")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    own = sets_of(nodes, sets, s, halves)
+    test, kind = (may_link, np.uint32) if halves else (linked, np.uint64)
     firsts = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("salt"))
     firsts = firsts.join(own, firsts.a == own.node).select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens")
     others = salted.join(own, salted.b == own.node).select("a", "salt", "b", "tokens")
@@ -200,14 +249,14 @@ def verify(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             found = []
             lists = batch.column(3)
-            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(kind)
             ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
             for i, (a, salt, b) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)))):
                 own = values[ends[i] : ends[i + 1]]
                 if b is None:
                     held = [*held, own.copy()] if key == (a, salt) else [own.copy()]
                     key = (a, salt)
-                elif any(linked(x, own, s) for x in held):
+                elif any(test(x, own, s) for x in held):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]
@@ -235,6 +284,17 @@ def linked(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
     return 100 * both >= s.percent * (nx + ny - both)
 
 
+def may_link(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
+    """Necessary for a link, from sorted halves of tokens: equal tokens have equal halves."""
+    nx, ny = len(x), len(y)
+    if min(nx, ny) * 100 < s.percent * max(nx, ny):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == ny] = 0
+    most = int(np.count_nonzero(y[at] == x))
+    return 100 * most >= s.percent * (nx + ny - most)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): smallest node that each linked node reaches over `links` (a, b).
 
@@ -258,21 +318,48 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) between classes that make them the components they form."""
-    first = shared_tokens(classes.select("node", "n", F.col("prefix").alias("tokens")), s)
+def one_a_class(named: DataFrame, copies: DataFrame, s: Settings) -> list:
+    """Parts for `shared_tokens`: each digest of `named` (doc_id, n, digest, prefix) once.
+
+    Only documents in a Bloom filter of those with equal sets are grouped; the prefixes of
+    all others, which are alone in their class, stay where they are.
+    """
+    same = named.select("doc_id", "digest").join(copies.select("digest"), "digest", "left_semi")
+    sent = named.sparkSession.sparkContext.broadcast(Bloom.of(same.select("doc_id"), s.doc_log_bits))
+
+    def marked(batch):
+        return pa.array(sent.value.has(batch.column(0).to_numpy(zero_copy_only=False)))
+
+    def pick(batches):
+        for batch in batches:
+            yield batch.filter(marked(batch))
+
+    def alone(batch):
+        return batch.filter(pc.invert(marked(batch)))
+
+    kind = "doc_id long, n long, digest binary, prefix array<long>"
+    grouped = named.select("doc_id", "n", "digest", "prefix").mapInArrow(pick, kind).groupBy("digest").agg(
+        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("tokens")
+    )
+    grouped = stage(grouped.select("node", "n", "tokens"), "classes")
+    single = named.select(F.col("doc_id").alias("node"), "n", F.col("prefix").alias("tokens"))
+    return [(single, alone), (grouped, lambda batch: batch)]
+
+
+def near_links(docs: DataFrame, classes: list, s: Settings) -> DataFrame:
+    """Links (a, b) between classes, given as parts, that make them the components they form."""
+    first = shared_tokens(classes, s)
     first = stage(first.select("node").distinct(), "first")
     sets = stage(full_sets(docs, first, s), "sets")
-    second = stage(shared_tokens(sets.select("node", "n", F.col("second").alias("tokens")), s), "second")
+    second = shared_tokens([(sets, second_prefixes(s))], s)
     # rarest first, as many as the filter asks for; an average df tells how central a set is
-    own = Window.partitionBy("node", "n").orderBy("df", "token")
-    ranked = second.withColumn("r", F.row_number().over(own)).where(F.col("r") <= F.col("s") - _needed(s) + 1)
-    centre = second.groupBy("node").agg((F.sum("df") / F.max("n")).alias("c"))
-    rows = stage(ranked.select("node", "n", "token").join(centre, "node"), "buckets")
+    own = Window.partitionBy("node", "n")
+    ranked = second.withColumns({"r": F.row_number().over(own.orderBy("df", "token")), "c": F.sum("df").over(own) / F.col("n")})
+    rows = stage(ranked.where(F.col("r") <= F.col("s") - _needed(s) + 1).select("node", "n", "token", "c"), "buckets")
     leaders = rows.groupBy("token").agg(F.max(F.struct("c", F.negative("node").alias("k"))).alias("x"))
     met = rows.join(leaders.select("token", F.negative("x.k").alias("leader")), "token").where("node <> leader")
     met = stage(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "met")
-    links = stage(verify(met, sets, s), "links")
+    links = stage(verify(stage(verify(met, sets, s, halves=True), "near"), sets, s), "links")
     return links.unionByName(settle(met, components(links), sets, s))
 
 
@@ -292,9 +379,11 @@ def settle(met: DataFrame, comp: DataFrame, sets: DataFrame, s: Settings) -> Dat
     stats = members.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("k"))
     live = members.join(stats.where("lo < hi").select("key", "k"), "key")
     live = live.withColumn("i", F.pmod(F.xxhash64("b"), F.col("k")))
+    live = stage(live, "live")
     blocks = live.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     blocks = blocks.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "b", "own")
-    rows = blocks.join(sets.select(F.col("node").alias("b"), "tokens"), "b").select("key", "lo", "hi", "i", "b", "own", "tokens")
+    own = sets_of(live.select(F.col("b").alias("node")), sets, s)
+    rows = blocks.join(own.select(F.col("node").alias("b"), "tokens"), "b").select("key", "lo", "hi", "i", "b", "own", "tokens")
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
@@ -372,17 +461,14 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = stage(summaries(docs, s), "summaries")
     named = seen.where("doc_id is not null and n > 0")
-    classes = named.groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("k")
-    )
-    classes = stage(classes, "classes")
-    copies = classes.where("k > 1").select("digest", "node")
+    copies = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("k"))
+    copies = stage(copies.where("k > 1").select("digest", "node"), "copies")
     rows = stage(seen.select("doc_id", "n", "digest").join(copies, "digest", "left"), "rows")
     rows = rows.select("doc_id", "n", "digest", F.coalesce("node", "doc_id").alias("node"))
     # a doc_id of several texts holds their classes together
     twice = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
     twice = rows.join(twice.where("lo < hi").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = near_links(docs, classes, s).unionByName(twice)
+    links = near_links(docs, one_a_class(named, copies, s), s).unionByName(twice)
     comp = components(links)
     # a class that is not linked keeps its node; n = 0 rows have their own doc_id as node
     return rows.join(comp, "node", "left").select(

@@ -102,3 +102,31 @@ def test_shingles_and_empty(spark, docs_of, odd_rows):
     assert near_duplicates(docs_of(odd_rows).where("false")).count() == 0
     path = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
     assert {r.comp for r in components(path).collect()} == {1}
+
+
+def test_halves_of_tokens_lose_no_link():
+    s, rnd = Settings(), random.Random(8)
+    kept = 0
+    for _ in range(300):
+        n = rnd.choice([1, 2, 5, 20, 100, 333])
+        x = {rnd.randrange(1 << 64) for _ in range(n)}
+        y = set(rnd.sample(sorted(x), max(1, n - rnd.randint(0, n // 4)))) | {rnd.randrange(1 << 64) for _ in range(rnd.randint(0, n // 5))}
+        a, b = (np.array(sorted(v), np.uint64) for v in (x, y))
+        half = [(v >> np.uint64(32)).astype(np.uint32) for v in (a, b)]
+        assert jaccard_join.may_link(*half, s) >= linked(a, b, s)
+        kept += jaccard_join.may_link(*half, s)
+    assert 0 < kept < 300
+    same = np.array([1 << 40, (1 << 40) + 1], np.uint64)  # different tokens with equal halves
+    assert jaccard_join.may_link(*[(same >> np.uint64(32)).astype(np.uint32)] * 2, s)
+
+
+def test_prefixes_of_single_texts_are_not_shuffled(spark, docs_of):
+    rnd = random.Random(1)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(400))) for i in range(300)]
+    named = jaccard_join.stage(jaccard_join.summaries(docs_of([*rows, (900, rows[0][1])]), Settings()), "summaries").where("n > 0")
+    copies = named.groupBy("digest").agg({"doc_id": "min", "n": "count"}).where("`count(n)` > 1").select("digest", "min(doc_id)").toDF("digest", "node")
+    parts = jaccard_join.one_a_class(named, copies, Settings())
+    assert parts[1][0].count() < 10  # all that was grouped: the one class of two, and what the filter let through
+    classes = jaccard_join._each(parts)
+    assert "Exchange" not in classes._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.node, r.n, len(r.tokens)) for r in classes.collect()) == sorted((i, 396, Settings().prefix(396)) for i, _ in rows)
