@@ -1,16 +1,18 @@
 """Collocations: phrases that occur often, and far more often than their parts would make them.
 
-1. Every task hashes the contiguous phrases of its texts and adds up what it meets; the sums over
-   all tasks leave the hashes that may belong to phrases of `min_count` occurrences. A hash can
-   only count too much, and the parts of a frequent phrase are frequent themselves (Apriori), so
-   no phrase and no part of one is lost.
-2. The phrases behind those hashes become double-array tries over word numbers, one for every
-   shard of at most `shard_phrases` hashes; a shard holds all phrases of its first words.
-3. A trie is broadcast, and in every task all positions of a text step through it together, one
-   word a level; accepting states are counted by bincount and the counts of tasks are summed.
-   These counts are exact; phrases that a hash let through by chance fall out here.
+1. Every task hashes the contiguous phrases of its texts and adds up what it meets; hashes go in
+   buckets, as sorted blocks, to the tasks that sum them. A hash can only count too much, and the
+   parts of a frequent phrase are frequent themselves (Apriori), so no phrase and no part of one
+   is lost. What may be frequent is marked in a filter of fixed size, which is broadcast.
+2. Every task lists the phrases of some texts that the filter lets through and makes a
+   double-array trie over word numbers of them; all positions of these texts step through it
+   together, one word a level, and accepting states are counted by bincount.
+3. The counts of all tries are summed. They are exact, as a phrase is in the trie of all texts that
+   hold it; phrases that the filter let through by chance fall out here.
 4. Parts, scores, contained phrases and ranks are joins and windows over the counted phrases.
 
+The texts are read twice, whatever the number of phrases.
+
 Everything is per language. A null language is named by `no_lang`, a null text has no words.
 Other columns are not read. Rows that repeat count again. Ties in score and count go to the
 phrase that is smaller in UTF-8 byte order. Texts are counted whole. Empty tables give none.
@@ -19,25 +21,28 @@ phrase that is smaller in UTF-8 byte order. Texts are counted whole. Empty table
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import stage, with_row_number
+from ..scale import stage
 from .common import LOWER
-from .word_arrays import byte_kinds, slices, split_words
+from .word_arrays import byte_kinds, hashes_of, slices, split_words
 
 KINDS = byte_kinds(b"\t ", b".,;:!?\n\x0b\x0c\r")
 LOWER_CASE = np.frombuffer(LOWER, np.uint8)
 SLICE_BYTES = 2 << 20
-#: codes a task holds before it hands them on
-HELD_CODES = 3_000_000
-#: A hash has 18 bits of the first word and 38 of the phrase; 7 more hold a task's count.
-FIRST_BITS, HASH_BITS, COUNT_BITS = 18, 56, 7
+#: codes a task holds before it hands them on, and bytes of texts whose phrases are in one trie
+HELD_CODES = 4_000_000
+HELD_BYTES = 32 << 20
+#: 8 bits beside a hash hold a task's count; the first bits of a hash name its bucket. Hashes are
+#: short, as they are shuffled: where two phrases share one, the filter may let an infrequent one through.
+HASH_BITS, COUNT_BITS, BUCKET_BITS = 40, 8, 12
 MOST = (1 << COUNT_BITS) - 1
+#: bits of the filter for every bucket (32 MB over all of them)
+FILTER_BITS = 16
 #: bits of a trie symbol, and neighbouring places looked at together for a node
 DIGIT_BITS, TRIES = 10, 32
 LOW_DIGIT = (1 << DIGIT_BITS) - 1
@@ -51,7 +56,7 @@ class Settings:
     contained_percent: int = 50
     top: int = 2000
     no_lang: str = "und"
-    #: phrases in one broadcast trie (with its words some 60 bytes each)
+    #: phrases of one trie (with its words some 60 bytes each), beyond which its texts are counted
     shard_phrases: int = 1 << 20
     #: parts a language's phrases are ranked in before the best of all parts are
     rank_parts: int = 16
@@ -67,6 +72,15 @@ def _name_hashes(names: list[str]) -> np.ndarray:
     return np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
 
 
+@dataclass
+class Numbered:
+    """Of `Words`, the distinct ones, and the number and piece of every word."""
+
+    dictionary: object
+    code: np.ndarray
+    piece: np.ndarray
+
+
 class Texts:
     """Words of a slice of texts, and which positions begin phrases of k words."""
 
@@ -74,10 +88,15 @@ class Texts:
         import pyarrow.compute as pc
 
         self.words = split_words(texts, KINDS, LOWER_CASE)
+        self.bytes = texts.nbytes
         coded = pc.fill_null(langs, no_lang).dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
         self.lang = coded.indices.to_numpy(zero_copy_only=False)[self.words.row]
 
+    def shrink(self) -> None:
+        """Keep only what a trie reads."""
+        self.words = Numbered(self.words.dictionary, self.words.code.astype(np.int32), self.words.piece.astype(np.int32))
+
     def longer(self, at: np.ndarray, k: int) -> np.ndarray:
         """Which of the positions `at` are followed by `k` - 1 more words in their piece."""
         piece = self.words.piece
@@ -86,26 +105,62 @@ class Texts:
         inside[inside] = piece[last[inside]] == piece[at[inside]]
         return inside
 
-    def codes(self, most: int):
-        """(k, positions, 56-bit hash of the phrase there) for k = 1 .. `most`."""
+    def codes(self, most: int, frequent: "Frequent | None" = None):
+        """(k, positions, 40-bit hash of the phrase there) for k = 1 .. `most`.
+
+        With a filter only those that it lets through; no longer phrase is there without them.
+        """
         words = self.words
-        own = words.hashes()
+        # with a filter the distinct words are needed anyway: each is hashed once then
+        own = words.hashes() if frequent is None else hashes_of(words.dictionary)[words.code]
         state = _mixed(own + _name_hashes(self.langs)[self.lang])
-        first = state >> np.uint64(64 - FIRST_BITS) << np.uint64(HASH_BITS - FIRST_BITS)
         at = np.arange(len(own))
         for k in range(1, most + 1):
             if k > 1:
                 keep = self.longer(at, k)
-                at, first = at[keep], first[keep]
+                at = at[keep]
                 state = _mixed(state[keep] ^ (own[at + (k - 1)] + np.uint64(k)))
-            yield k, at, (first | (state >> np.uint64(64 - HASH_BITS + FIRST_BITS))).astype(np.int64)
+            codes = state >> np.uint64(64 - HASH_BITS)
+            if frequent is not None:
+                keep = frequent.has(codes)
+                at, state, codes = at[keep], state[keep], codes[keep]
+            yield k, at, codes
+
+    def phrases(self, frequent: "Frequent", most: int):
+        """Table (lang, phrase) of the distinct phrases that the filter lets through."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words, found = self.words, []
+        dictionary = words.dictionary.cast(pa.binary())
+        for k, at, codes in self.codes(most, frequent):
+            # one position for every phrase: equal hashes side by side, and of those all but
+            # repeats of the very same words; words are numbered
+            if k == 1:
+                some = np.full(len(self.langs) * len(dictionary), -1)
+                some[self.lang[at] * len(dictionary) + words.code[at]] = at
+                at = some[some >= 0]
+            else:
+                at = at[np.argsort(codes, kind="stable")]
+            key = [self.lang[at], *(words.code[at + j] for j in range(k))]
+            new = np.ones(len(at), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in key], axis=0)
+            parts = [dictionary.take(pa.array(c[new])) for c in key[1:]]
+            langs = pa.array(self.langs, pa.string()).take(pa.array(key[0][new]))
+            found.append(pa.table([langs, pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]], ["lang", "phrase"]))
+        return pa.concat_tables(found)
+
+
+def _digit(number: np.ndarray, digits: int, j: int) -> np.ndarray:
+    """The j-th of the symbols of a number; -1 where the number is negative."""
+    return np.where(number < 0, -1, number >> DIGIT_BITS * (digits - 1 - j) & LOW_DIGIT)
 
 
 class Trie:
     """Double-array trie of phrases over numbered words; the first level is the language.
 
-    A word is two symbols, the high and the low `DIGIT_BITS` bits of its number; frequent words
-    have small numbers. The state after symbol x in state s is `base[s] + x` where `check` says
+    A word is as many symbols of `DIGIT_BITS` bits as the largest number takes, high bits first;
+    frequent words have small numbers. So is a language. The state after symbol x in state s is `base[s] + x` where `check` says
     that it belongs to s. `accept[s]` is the number of the phrase that ends in s, or -1.
     """
 
@@ -122,16 +177,17 @@ class Trie:
         often = np.argsort(-np.bincount(code, minlength=len(numbers.dictionary)), kind="stable")
         self.symbols = numbers.dictionary.take(pa.array(often))
         code = np.argsort(often)[code] if len(often) else code
-        if len(often) > 1 << 2 * DIGIT_BITS or len(self.langs) > 1 << DIGIT_BITS:
-            raise ValueError("a shard holds too many words or languages for its symbols")
+        self.digits = [max(1, -(-(n - 1).bit_length() // DIGIT_BITS)) for n in (max(len(self.langs), 1), max(len(often), 1))]
+        head, per_word = self.digits
         n_words = words.value_lengths().to_numpy().astype(np.int64)
-        size = 2 * n_words + 1
-        symbols = np.full((len(size), int(size.max(initial=1))), -1, np.int64)
-        symbols[:, 0] = coded.indices.to_numpy()
+        size = head + per_word * n_words
+        symbols = np.full((len(size), int(size.max(initial=1))), -1, np.int16)
         row = np.repeat(np.arange(len(size)), n_words)
         place = np.arange(len(code)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
-        symbols[row, 2 * place + 1] = code >> DIGIT_BITS
-        symbols[row, 2 * place + 2] = code & LOW_DIGIT
+        for j in range(head):
+            symbols[:, j] = _digit(coded.indices.to_numpy().astype(np.int64), head, j)
+        for j in range(per_word):
+            symbols[row, head + per_word * place + j] = _digit(code, per_word, j)
         # level by level: an edge is (parent, symbol), equal edges are one node
         state, rows, total = np.zeros(len(size), np.int64), np.arange(len(size)), 1
         parents, taken = [np.zeros(1, np.int64)], [np.full(1, -1)]
@@ -192,6 +248,14 @@ class Trie:
         to = np.where(inside, to, 0)
         return np.where(inside & (self.check[to] == state) & (to > 0), to, -1)
 
+    def walk(self, at: np.ndarray, state: np.ndarray, number: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that get through all symbols of their number, and their states."""
+        for j in range(digits):
+            state = self.step(state, _digit(number, digits, j))
+            on = state >= 0
+            at, state, number = at[on], state[on], number[on]
+        return at, state
+
     def count(self, texts: Texts, known, most: int) -> np.ndarray:
         """Occurrences of every phrase; all positions take each level together."""
         import pyarrow.compute as pc
@@ -199,25 +263,39 @@ class Trie:
         numbers = pc.fill_null(pc.index_in(texts.words.dictionary, value_set=known), -1)
         symbol = numbers.to_numpy(zero_copy_only=False).astype(np.int64)[texts.words.code]
         lang = np.array([self.langs.get(x, -1) for x in texts.langs], np.int64)
-        state = self.step(np.zeros(len(symbol), np.int64), lang[texts.lang])
-        at = np.arange(len(symbol))
+        at, state = self.walk(np.arange(len(symbol)), np.zeros(len(symbol), np.int64), lang[texts.lang], self.digits[0])
         out = np.zeros(len(self.accept), np.int64)
         for k in range(1, most + 1):
-            at, state = at[state >= 0], state[state >= 0]
             if k > 1:
                 inside = texts.longer(at, k)
                 at, state = at[inside], state[inside]
-            word = symbol[at + (k - 1)]
-            state = self.step(state, np.where(word < 0, -1, word >> DIGIT_BITS))
-            at, word, state = at[state >= 0], word[state >= 0], state[state >= 0]
-            state = self.step(state, word & LOW_DIGIT)
-            out += np.bincount(state[state >= 0], minlength=len(out))
+            at, state = self.walk(at, state, symbol[at + (k - 1)], self.digits[1])
+            out += np.bincount(state, minlength=len(out))
         ends = np.flatnonzero(self.accept >= 0)
         counts = np.zeros(len(ends), np.int64)
         counts[self.accept[ends]] = out[ends]
         return counts
 
 
+class Frequent:
+    """Filter over hashes, two bits for each in the bits of its bucket: it forgets none."""
+
+    def __init__(self):
+        self.bits = np.zeros(1 << (BUCKET_BITS + FILTER_BITS - 3), np.uint8)
+
+    @staticmethod
+    def places(codes: np.ndarray) -> list[np.ndarray]:
+        """Bits of the hashes, from their buckets' first."""
+        return [(codes >> np.uint64(shift) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64) for shift in (12, 0)]
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        bucket = (codes >> np.uint64(HASH_BITS - BUCKET_BITS)).astype(np.int64) << FILTER_BITS
+        out = np.ones(len(codes), bool)
+        for at in self.places(codes):
+            out &= (self.bits[(bucket | at) >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
 def _each(batches, no_lang: str):
     for batch in batches:
         for lo, hi in slices(batch.column(1), SLICE_BYTES):
@@ -225,78 +303,68 @@ def _each(batches, no_lang: str):
             yield Texts(part.column(0), part.column(1), no_lang)
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and their summed counts."""
-    codes = np.concatenate([c for c, _ in parts])
-    order = np.argsort(codes, kind="stable")  # merges the sorted runs
-    codes, n = codes[order], np.concatenate([n for _, n in parts])[order]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else order
-    return codes[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def frequent_hashes(docs: DataFrame, settings: Settings) -> DataFrame:
-    """h: hashes of phrases whose counts add up to `min_count` or more, over all texts."""
+def frequent_hashes(docs: DataFrame, settings: Settings) -> Frequent:
+    """The hashes of phrases whose counts add up to `min_count` or more, over all texts."""
     import pyarrow as pa
 
-    most, no_lang = settings.max_words, settings.no_lang
+    most, no_lang, buckets = settings.max_words, settings.no_lang, 1 << BUCKET_BITS
+    borders = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(HASH_BITS - BUCKET_BITS)
 
     def run(batches):
-        held = []  # sorted codes and counts of some slices
+        held = []
 
-        def packed():
-            codes, n = _summed(held)
+        def dealt():
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes << COUNT_BITS | np.minimum(n, MOST))], ["packed"])
+            packed = codes << np.uint64(COUNT_BITS) | np.minimum(n, MOST).astype(np.uint64)
+            cuts = np.searchsorted(codes, borders)
+            some = np.flatnonzero(np.diff(cuts))
+            # the first bytes of all, then the second ones: neighbours are alike and compress
+            blocks = [packed[cuts[i] : cuts[i + 1]].view(np.uint8).reshape(-1, 8).T.tobytes() for i in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
         for texts in _each(batches, no_lang):
-            for _, _, codes in texts.codes(most):
-                held.append(np.unique(codes, return_counts=True))
-            if sum(len(codes) for codes, _ in held) > HELD_CODES:
-                yield packed()
+            held += [codes for _, _, codes in texts.codes(most)]
+            if sum(map(len, held)) > HELD_CODES:
+                yield dealt()
         if held:
-            yield packed()
-
-    # dealt by hash as they are: few of a task's codes meet again in it
-    counted = docs.mapInArrow(run, "packed long").select(
-        F.shiftrightunsigned("packed", COUNT_BITS).alias("h"), F.col("packed").bitwiseAND(MOST).alias("n")
-    )
-    return counted.repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.min_count).select("h")
-
-
-def candidates(docs: DataFrame, hashes: np.ndarray, settings: Settings) -> DataFrame:
-    """(lang, phrase): the distinct phrases with one of the sorted `hashes`."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    most, no_lang = settings.max_words, settings.no_lang
-    sent = docs.sparkSession.sparkContext.broadcast(hashes)
-
-    def run(batches):
-        wanted = sent.value
-        # a bit per remainder keeps most positions from the binary search
-        mask = (1 << 24) - 1
-        near = np.zeros(mask + 1, bool)
-        near[wanted & mask] = True
-        for texts in _each(batches, no_lang):
-            words = texts.words
-            dictionary = words.dictionary.cast(pa.binary())
-            for k, at, codes in texts.codes(most):
-                hit = np.flatnonzero(near[codes & mask])
-                place = np.searchsorted(wanted, codes[hit])
-                hit = hit[wanted[np.minimum(place, len(wanted) - 1)] == codes[hit]] if len(wanted) else hit[:0]
-                # one position for every phrase of the slice: equal hashes side by side, and of
-                # those all but repeats of the very same words
-                hit = hit[np.argsort(codes[hit], kind="stable")]
-                key = [texts.lang[at[hit]], *(words.code[at[hit] + j] for j in range(k))]
-                again = np.zeros(len(hit), bool)
-                again[1:] = np.all([c[1:] == c[:-1] for c in key], axis=0)
-                distinct = [c[~again] for c in key]
-                parts = [dictionary.take(pa.array(distinct[1 + j])) for j in range(k)]
-                phrases = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
-                langs = pa.array(texts.langs, pa.string()).take(pa.array(distinct[0]))
-                yield pa.RecordBatch.from_arrays([langs, phrases.cast(pa.string())], ["lang", "phrase"])
-
-    return docs.mapInArrow(run, "lang string, phrase string").distinct()
+            yield dealt()
+
+    def marked(parts):
+        """Bits of a bucket whose blocks are in `parts`."""
+        packed = np.sort(np.concatenate(parts))
+        codes = packed >> np.uint64(COUNT_BITS)
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        often = np.add.reduceat(packed & np.uint64(MOST), first) >= settings.min_count
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for at in Frequent.places(codes[first[often]]):
+            bits[at] = True
+        return np.packbits(bits, bitorder="little").tobytes() if often.any() else None
+
+    def summed(batches):
+        own, parts = None, []
+        for batch in batches:
+            done = []
+            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != own:
+                    done += [(own, marked(parts))] if parts else []
+                    own, parts = bucket, []
+                parts.append(np.frombuffer(block.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(np.uint64)[:, 0])
+            yield rows(done)
+        if parts:
+            yield rows([(own, marked(parts))])
+
+    def rows(done):
+        done = [x for x in done if x[1]]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int32()), pa.array([x[1] for x in done], pa.binary())], ["bucket", "bits"])
+
+    # a bucket's blocks one after the other: a task holds one bucket at a time
+    dealt = docs.mapInArrow(run, "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket")
+    out, size = Frequent(), 1 << (FILTER_BITS - 3)
+    found = dealt.mapInArrow(summed, "bucket int, bits binary").toArrow()
+    for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("bits")):
+        out.bits[bucket * size : (bucket + 1) * size] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out
 
 
 def counted_phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -306,42 +374,45 @@ def counted_phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[D
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
     most, no_lang = settings.max_words, settings.no_lang
-    numbered = stage(with_row_number(stage(frequent_hashes(docs, settings), "hashes"), F.col("h"), name="at"), "numbered")
-    total = numbered.count()
-    shards, totals = [], None
-    for lo in range(0, max(total, 1), settings.shard_phrases):
-        # one bounded shard at a time; phrases of one first word may begin in one and go on in the next
-        own = numbered.where(F.col("at").between(lo + 1, lo + settings.shard_phrases)).orderBy("h").toArrow()
-        hashes = own.column("h").to_numpy()
-        found = stage(candidates(docs, hashes, settings), "candidates")
-        found = stage(with_row_number(found, F.col("lang"), F.col("phrase"), name="id"), "listed")
-        listed = found.orderBy("id").select("lang", "phrase").toArrow().combine_chunks()
-        trie = Trie(*(listed.column(c).combine_chunks() for c in ("lang", "phrase")))
-        symbols, trie.symbols = trie.symbols, None
-        sent = spark.sparkContext.broadcast((trie, symbols))
-
-        def run(batches, sent=sent):
-            trie, symbols = sent.value
-            counts, words = np.zeros(0, np.int64), {}
-            for texts in _each(batches, no_lang):
-                found = trie.count(texts, symbols, most)
-                counts = counts + found if len(counts) else found
-                for i, n in enumerate(np.bincount(texts.lang, minlength=len(texts.langs))):
-                    words[texts.langs[i]] = words.get(texts.langs[i], 0) + int(n)
-            counts = np.asarray(counts)
-            ids = np.flatnonzero(counts)
-            columns = [[None] * len(ids) + list(words), [*(ids + 1).tolist(), *[0] * len(words)], [*counts[ids].tolist(), *words.values()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["lang", "id", "n"])
-
-        sums = docs.mapInArrow(run, "lang string, id long, n long").groupBy("lang", "id").agg(F.sum("n").alias("f"))
-        sums = stage(sums, "counts")
-        if totals is None:
-            totals = sums.where("id = 0 and f > 0").select("lang", F.col("f").alias("n"))
-        shards.append(found.join(sums.where("id > 0").select("id", "f"), "id").where(F.col("f") >= settings.min_count).select("lang", "phrase", "f"))
-        sent.unpersist()
-    return stage(reduce(DataFrame.unionByName, shards), "phrases"), totals
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_hashes(docs, settings))
+
+    def counted(held, found):
+        langs, phrases = (found.column(c).combine_chunks() for c in ("lang", "phrase"))
+        trie = Trie(langs, phrases)
+        n = sum(trie.count(texts, trie.symbols, most) for texts in held)
+        return pa.RecordBatch.from_arrays([langs, phrases.cast(pa.string()), pa.array(n)], ["lang", "phrase", "f"])
+
+    def run(batches):
+        held, listed, rest, words = [], None, [], {}
+
+        def distinct():
+            return pa.concat_tables([*([] if listed is None else [listed]), *rest]).group_by(["lang", "phrase"]).aggregate([])
+
+        for texts in _each(batches, no_lang):
+            for name, n in zip(texts.langs, np.bincount(texts.lang, minlength=len(texts.langs)).tolist()):
+                words[name] = words.get(name, 0) + n
+            rest.append(texts.phrases(sent.value, most))
+            texts.shrink()
+            held.append(texts)
+            full = sum(x.bytes for x in held) > HELD_BYTES
+            if full or sum(map(len, rest)) > settings.shard_phrases // 2:
+                listed, rest = distinct(), []
+                if full or len(listed) > settings.shard_phrases:
+                    yield counted(held, listed)
+                    held, listed = [], None
+        if held:
+            yield counted(held, distinct())
+        # rows without a phrase count all words
+        columns = [pa.array(list(words), pa.string()), pa.nulls(len(words), pa.string()), pa.array(words.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+
+    # dealt as they are: a trie has a phrase once
+    counts = docs.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
+    sums = counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    sums = stage(sums.where((F.col("f") >= settings.min_count) | F.col("phrase").isNull()), "phrases")
+    sent.unpersist()
+    return sums.where("phrase is not null"), sums.where("phrase is null and f > 0").select("lang", F.col("f").alias("n"))
 
 
 def _joined(words: Column, first, n) -> Column:

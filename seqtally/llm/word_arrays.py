@@ -47,16 +47,22 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of every word; equal words have equal ones."""
-        offsets = np.frombuffer(self.array.buffers()[1], np.int64)[: len(self.array) + 1]
-        size = np.diff(offsets)
-        if not len(size):
-            return np.zeros(0, np.uint64)
-        data = np.frombuffer(self.array.buffers()[2], np.uint8).astype(np.uint64) + np.uint64(1)
-        powers = np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers)
-        data *= powers[np.arange(len(data)) - np.repeat(offsets[:-1], size)]
-        return np.add.reduceat(data, offsets[:-1])
+        return hashes_of(self.array)
+
+
+def hashes_of(words) -> np.ndarray:
+    """64-bit hashes of an Arrow array of large binaries, none of them empty or null."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    size = np.diff(offsets)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+    powers = np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    starts = offsets[:-1] - offsets[0]
+    data *= powers[np.arange(len(data)) - np.repeat(starts, size)]
+    return np.add.reduceat(data, starts)
 
 
 def split_words(texts, kinds: np.ndarray, lower: np.ndarray | None = None, cuts: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
@@ -86,11 +92,13 @@ def split_words(texts, kinds: np.ndarray, lower: np.ndarray | None = None, cuts:
     first[begins] = inside[begins]
     starts = np.flatnonzero(first)
     kept = data[inside]
-    ends = np.cumsum(inside, dtype=np.int64)
-    offsets = np.append(ends[starts] - 1, len(kept)).astype(np.int64)
+    # a word ends with its run, or where the next one begins in that run
+    stops = np.flatnonzero(inside & np.append(~inside[1:], True)) + 1 if len(data) else starts
+    ends = np.minimum(stops[np.searchsorted(stops, starts, "right")], np.append(starts[1:], len(data))) if len(starts) else starts
+    offsets = np.append(0, np.cumsum(ends - starts, dtype=np.int64))
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
     row = np.searchsorted(at, starts, "right") - 1
-    piece = np.cumsum(kind == BREAK, dtype=np.int64)[starts] + row
+    piece = np.searchsorted(np.flatnonzero(kind == BREAK), starts) + row
     return Words(words, row, piece, len(texts))
 
 

@@ -90,3 +90,17 @@ def test_scores_past_64_bits(spark):
 def test_empty_tables(spark, docs_of, odd_rows):
     assert collocations(docs_of(odd_rows).where("false")).count() == 0
     assert collocations(docs_of([(1, None, "en", "s"), (2, " .,\n", None, "s")])).count() == 0
+
+
+def test_texts_are_read_twice_however_many_the_phrases(spark, docs_of):
+    rows = [(i, text, lang, "s") for i, (lang, text) in enumerate(texts_of(random.Random(7), 100))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = docs_of(rows).select("lang", F.udf(read, "string")("text").alias("text"))
+    counts, totals = counted_phrases(docs, Settings(min_count=2, shard_phrases=100))
+    assert counts.count() > 300 and totals.count() == 3
+    assert seen.value == 2 * len(rows)
