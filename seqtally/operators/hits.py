@@ -142,6 +142,18 @@ def hit_statistics(hits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.withColumns({"median_pident": pid.scalar(), "median_length": length.scalar()})
 
 
+def kind_statistics(kinds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counts and means as in `hit_statistics`, of hits that come as length, matches and their number n."""
+    n, pident = F.col("n"), 100 * F.col("matches") / F.col("length")
+    good = (pident >= 80) & (F.col("length") >= 50)
+    return kinds.groupBy(*by).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("total_hits"),
+        (F.sum(n * pident) / F.sum(n)).alias("mean_pident"),
+        (F.sum(n * F.col("length")) / F.sum(n)).alias("mean_length"),
+        F.coalesce(F.sum(F.when(good, n)), F.lit(0)).alias("hits_hq"),
+    )
+
+
 def top_hits(
     hits: DataFrame, n: int = 50, by: str = "bitscore", ties: Sequence[str] = ()
 ) -> DataFrame:
