@@ -1,4 +1,4 @@
-"""Searches of shuffled copies."""
+"""Searches of shuffled copies; regions that hits meet."""
 
 import random
 
@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqtally.operators import hits as ht
-from seqtally.operators import nullmodel, similarity
+from seqtally.operators import intervals as iv
+from seqtally.operators import nullmodel, rollups, similarity
 from seqtally.plans import sequence_queries
 from seqtally.plans.registry import run
 
@@ -42,3 +43,33 @@ def test_null_comparison_writes_kinds_and_not_hits(spark, monkeypatch):
     rows = {r.metric: r for r in run("null_search_comparison", spark, "/root/testdata/sf0.001").collect()}
     assert set(rows) == {"total_hits", "hits_hq", "mean_pident", "mean_length"} and rows["total_hits"].real > 0
     assert written == [["replicate", "length", "matches", "n"]]
+
+
+def test_lists_of_regions_give_the_pairs_of_a_join(spark):
+    rnd = random.Random(9)
+
+    def spans(n, by):
+        rows = []
+        for _ in range(n):
+            lo = rnd.choice([None, rnd.randint(-40, 900)])
+            rows.append((rnd.choice([*by, None]), lo, rnd.choice([None, (lo or 0) + rnd.randint(-3, 120)]), rnd.choice(["x", "y", None])))
+        return rows
+
+    a = spark.createDataFrame([(i, *r) for i, r in enumerate(spans(150, "pq"))], "id int, by string, s int, e int, own string")
+    # equal rows, more of them than a list holds
+    b = spark.createDataFrame(spans(120, "pr") + [("p", 10, 300, "x")] * 23 + [("p", 10, 300, None)] * 9, "by string, bs long, be long, name string")
+    want = iv.overlap_join(a, b, ["by"], ("s", "e"), ("bs", "be"), closed=False, bin_width=64)
+    want = want.select("by", "id", "s", "e", "own", "name", (F.least("e", "be") - F.greatest("s", "bs")).alias("bp"))
+    got = iv.listed_overlaps(a, b, ["by"], ("s", "e"), ("bs", "be"), ["name"], ["id"], "bp", bin_width=64, list_size=4)
+    rows = sorted(map(str, want.collect()))
+    assert sorted(map(str, got.select(want.columns).collect())) == rows and len(rows) > 300
+
+
+def test_hits_meet_lists_of_regions(spark):
+    h = spark.createDataFrame([(1, "f", 50, 5, 60), (2, "f", 30, 700, 730)], "id int, family string, length int, s_lo int, s_hi int")
+    r = spark.createDataFrame([("r", "LTR", 10, 40)] * 700 + [("r", "CDS", 0, 20)] * 2, "region_id string, region string, reg_start long, reg_end long")
+    m = spark.createDataFrame([("f", "r")], "family_key string, region_id string")
+    found = rollups.region_overlap(h, r, m, ["id"])
+    assert found.groupBy("id", "region", "region_bp").count().sort("id", "region").collect() == [(1, "CDS", 15, 2), (1, "LTR", 30, 700), (2, "intergenic", 30, 1)]
+    # one hit, one bin: 702 regions are two rows of at most two lists
+    assert "collect_list(" in found._jdf.queryExecution().optimizedPlan().toString()
